@@ -49,28 +49,45 @@ def _no_chunks() -> Column:
     return F.array().cast(f"array<{CHUNK}>")
 
 
-def fixed_chunks(c: Column, cfg: ChunkConfig) -> Column:
-    """Sliding windows; short windows are skipped and do not count."""
+def _windows(t: Column, size: int, step: int, minimum: int) -> Column:
+    """ARRAY<STRUCT<text, start, end>>: stripped windows of at least ``minimum`` characters.
 
-    def windows(t: Column) -> Column:
-        last = F.greatest(F.lit(0), F.ceil((F.length(t) - cfg.size) / cfg.step)).cast("int")
+    The text is cut once into blocks of one step; a window is a few blocks
+    joined. Cost is linear in the text (a substring per window would walk the
+    text from its beginning each time).
+    """
+    per_window = -(-size // step)
 
-        def window(i: Column) -> Column:
-            start = i * cfg.step
-            end = F.least(F.length(t), start + cfg.size)
-            return F.struct(
-                T.strip(F.substring(t, start + 1, F.lit(cfg.size))).alias("text"),
-                start.alias("start"),
-                end.alias("end"),
+    def build(blocks: Column) -> Column:
+        def within(n: Column) -> Column:
+            last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
+
+            def window(i: Column) -> Column:
+                raw = F.left(F.array_join(F.slice(blocks, i + 1, per_window), ""), F.lit(size))
+                return F.struct(
+                    T.strip(raw).alias("text"), (i * step).alias("start"), F.least(n, i * step + size).alias("end")
+                )
+
+            return F.filter(
+                F.transform(F.sequence(F.lit(0), last), window),
+                lambda w: F.length(w["text"]) >= max(1, minimum),
             )
 
-        kept = F.filter(
-            F.transform(F.sequence(F.lit(0), last), window),
-            lambda w: (w["text"] != "") & (F.length(w["text"]) >= cfg.min_size),
-        )
-        return F.transform(kept, lambda w, i: _chunk(w["text"], i, w["start"], w["end"]))
+        return T.let(F.length(t), within)
+
+    return T.let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), build)
 
-    return T.let(T.clean_text(c), lambda t: F.when(t == "", _no_chunks()).otherwise(windows(t)))
+
+def _numbered(windows: Column) -> Column:
+    return F.transform(windows, lambda w, i: _chunk(w["text"], i, w["start"], w["end"]))
+
+
+def fixed_chunks(c: Column, cfg: ChunkConfig) -> Column:
+    """Sliding windows; short windows are skipped and do not count."""
+    return T.let(
+        T.clean_text(c),
+        lambda t: F.when(t == "", _no_chunks()).otherwise(_numbered(_windows(t, cfg.size, cfg.step, cfg.min_size))),
+    )
 
 
 def _length_sum(parts: Column) -> Column:
@@ -179,10 +196,18 @@ def _split_from(c: Column, level: int, cfg: ChunkConfig) -> Column:
     none = F.array().cast("array<string>")
     whole = F.when(T.strip(c) != "", F.array(c)).otherwise(none)
     if level == len(RECURSIVE_SEPARATORS):
-        starts = F.sequence(F.lit(0), F.length(c) - 1, F.lit(max(1, cfg.size - cfg.overlap)))
-        forced = F.filter(
-            F.transform(starts, lambda i: F.substring(c, i + 1, F.lit(cfg.size))),
-            lambda p: T.strip(p) != "",
+        step = max(1, cfg.size - cfg.overlap)
+        blocks = F.regexp_extract_all(c, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+        per_window = -(-cfg.size // step)
+        forced = T.let(
+            blocks,
+            lambda bs: F.filter(
+                F.transform(
+                    F.sequence(F.lit(1), F.size(bs)),
+                    lambda i: F.left(F.array_join(F.slice(bs, i, per_window), ""), F.lit(cfg.size)),
+                ),
+                lambda p: T.strip(p) != "",
+            ),
         )
         return F.when(F.length(c) <= cfg.size, whole).otherwise(forced)
 
@@ -359,29 +384,11 @@ def legacy_windows(docs: DataFrame, size: int, overlap: int, text_col: str = "te
     """Older window form: no cleaning, no minimum size; size <= 0 keeps the text whole."""
     t = T.strip(F.coalesce(F.col(text_col), F.lit("")))
     if size <= 0:
-        one = F.array(_chunk(t, F.lit(0), F.lit(0), F.length(t)))
-        rows = docs.withColumn("_c", F.explode(F.when(t == "", _no_chunks()).otherwise(one)))
+        chunks = F.array(_chunk(t, F.lit(0), F.lit(0), F.length(t)))
     else:
-        step = max(1, size - max(0, overlap))
-
-        def windows(x: Column) -> Column:
-            last = F.greatest(F.lit(0), F.ceil((F.length(x) - size) / step)).cast("int")
-            cut = F.transform(
-                F.sequence(F.lit(0), last),
-                lambda i: F.struct(
-                    T.strip(F.substring(x, i * step + 1, F.lit(size))).alias("text"),
-                    (i * step).alias("start"),
-                    F.least(F.length(x), i * step + size).alias("end"),
-                ),
-            )
-            kept = F.filter(cut, lambda w: w["text"] != "")
-            return F.transform(kept, lambda w, i: _chunk(w["text"], i, w["start"], w["end"]))
-
-        rows = docs.withColumn(
-            "_c", F.explode(T.let(t, lambda x: F.when(x == "", _no_chunks()).otherwise(windows(x))))
-        )
+        chunks = _numbered(_windows(t, size, max(1, size - max(0, overlap)), 1))
     others = [x for x in docs.columns if x != text_col]
-    return rows.select(
+    return docs.withColumn("_c", F.explode(F.when(t == "", _no_chunks()).otherwise(chunks))).select(
         *others,
         F.col("_c.text").alias(text_col),
         F.col("_c.index").alias("chunk_index"),

@@ -7,6 +7,10 @@ whole extraction stays in the JVM and inside the text's row.
 
 from __future__ import annotations
 
+import json
+import re
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,29 +22,44 @@ ENTITY = (
 )
 
 
-def located(text: Column, pattern: str) -> Column:
-    """ARRAY<STRUCT<text, start_pos>> of all matches, left to right."""
-    spot = "array<struct<text:string,start_pos:int>>"
+def folded(text: Column) -> Column:
+    """Lower case of the same length, so that offsets stay true.
+
+    Matching lower-cased text with lower-cased patterns is several times faster
+    than case-insensitive patterns. The rare texts whose lower case is longer
+    have their ASCII letters lowered only.
+    """
+    ascii_only = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    low = F.lower(text)
+    return F.when(F.length(low) == F.length(text), low).otherwise(ascii_only)
+
+
+def fold_pattern(pattern: str) -> str:
+    """Lower-cased pattern; escapes such as \\S keep their letter."""
+    return re.sub(r"(\\.)|([^\\]+)", lambda m: m.group(1) or m.group(2).lower(), pattern)
+
+
+def located(low: Column, pattern: Column) -> Column:
+    """ARRAY<STRUCT<start, stop>> of all matches in folded text, left to right."""
+    spots = "array<struct<start:int,stop:int>>"
 
     def place(found: Column) -> Column:
-        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-        pairs = F.zip_with(found, gaps, lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-        start = F.struct(F.array().cast(spot).alias("out"), F.lit(0).alias("at"))
+        gaps = F.slice(F.split(low, pattern, -1), 1, F.size(found))
+        pairs = F.zip_with(found, gaps, lambda h, g: F.struct(F.length(h).alias("hit"), F.length(g).alias("gap")))
+        start = F.struct(F.array().cast(spots).alias("out"), F.lit(0).alias("at"))
 
         def add(st: Column, pair: Column) -> Column:
-            begin = st["at"] + F.length(pair["gap"])
-            spot_here = F.struct(pair["hit"].alias("text"), begin.alias("start_pos"))
-            return F.struct(
-                F.array_append(st["out"], spot_here).alias("out"), (begin + F.length(pair["hit"])).alias("at")
-            )
+            begin = st["at"] + pair["gap"]
+            spot = F.struct(begin.alias("start"), (begin + pair["hit"]).alias("stop"))
+            return F.struct(F.array_append(st["out"], spot).alias("out"), spot["stop"].alias("at"))
 
-        none = F.array().cast(spot)
+        none = F.array().cast(spots)
         return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, start, add, lambda st: st["out"]))
 
-    return T.let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
+    return T.let(F.regexp_extract_all(low, pattern, F.lit(0)), place)
 
 
-def _opening(pattern: str) -> str | None:
+def _openings(pattern: str) -> str | None:
     """Characters a match can begin with, where the pattern plainly shows them."""
     chars = ""
     for choice in pattern.split("|"):
@@ -48,7 +67,7 @@ def _opening(pattern: str) -> str | None:
             first, rest = choice[1:].split("]", 1)
         else:
             first, rest = choice[:1], choice[1:]
-        if not first or set(first) & set(r"\^.(){}+*?-") or rest[:1] in ("?", "*", "{"):
+        if not first or set(first) & set(r"\\^.(){}+*?-") or rest[:1] in ("?", "*", "{"):
             return None
         chars += first
     return chars
@@ -57,33 +76,37 @@ def _opening(pattern: str) -> str | None:
 def category_test(patterns: list[str]) -> str:
     """One regular expression that tells whether any pattern of a category occurs.
 
-    A look-ahead for the possible first characters comes first, so that most
-    positions of most texts are passed after one set test.
+    A look-ahead for CJK or one of the other first characters comes first, so
+    that most positions are passed after a single cheap test.
     """
     either = "|".join(f"(?:{p})" for p in patterns)
-    openings = [_opening(p) for p in patterns]
+    openings = [_openings(p) for p in patterns]
     if any(o is None for o in openings):
-        return f"(?iu)(?:{either})"
-    return f"(?iu)(?=[{''.join(dict.fromkeys(''.join(openings)))}])(?:{either})"
+        return f"(?:{either})"
+    other = [c for c in dict.fromkeys("".join(openings)) if not "一" <= c <= "鿿"]
+    return f"(?=[{T.CJK}{''.join(other)}])(?:{either})"
 
 
-def _category(text: Column, kind: str, rows: list[tuple[str, str]]) -> Column:
+def _category(text: Column, low: Column, kind: str, rows: list[tuple[str, str]]) -> Column:
     """Entities of one category; same name and start count once."""
 
-    def entity(name: str, hit: Column) -> Column:
+    def entity(name: Column, spot: Column) -> Column:
         return F.struct(
             F.lit(kind).alias("entity_type"),
-            F.lit(name).alias("normalized"),
-            hit["text"].alias("text"),
-            hit["start_pos"].alias("start_pos"),
-            (hit["start_pos"] + F.length(hit["text"])).alias("end_pos"),
+            name.alias("normalized"),
+            F.substring(text, spot["start"] + 1, spot["stop"] - spot["start"]).alias("text"),
+            spot["start"].alias("start_pos"),
+            spot["stop"].alias("end_pos"),
             F.lit(L.ENTITY_CONFIDENCE).alias("confidence"),
         )
 
-    def of(pattern: str, name: str) -> Column:
-        return F.transform(located(text, f"(?iu){pattern}"), lambda hit: entity(name, hit))
-
-    found = F.flatten(F.array(*[of(p, n) for p, n in rows]))
+    listed = json.dumps([{"pattern": fold_pattern(p), "name": n} for p, n in rows])
+    table = F.from_json(F.lit(listed), "array<struct<pattern:string,name:string>>")
+    found = F.flatten(
+        F.transform(
+            table, lambda p: F.transform(located(low, p["pattern"]), lambda spot: entity(p["name"], spot))
+        )
+    )
     names = [n for _, n in rows]
     if len(set(names)) == len(names):
         return found
@@ -103,15 +126,22 @@ def _category(text: Column, kind: str, rows: list[tuple[str, str]]) -> Column:
 def entities_of(text: Column, patterns: dict[str, list[tuple[str, str]]] | None = None) -> Column:
     """ARRAY of entity structs in the order of the pattern table.
 
-    One test per category decides whether its patterns are tried at all. Every
-    pattern is a literal of the expression, compiled once per task.
+    One test per category decides whether its patterns are tried at all. The
+    pattern table is one folded constant, so the plan stays small however many
+    patterns there are.
     """
     none = F.array().cast(ENTITY)
-    per_type = [
-        F.when(text.rlike(category_test([p for p, _ in rows])), _category(text, kind, rows)).otherwise(none)
-        for kind, rows in (patterns or L.ENTITY_PATTERNS).items()
-    ]
-    return F.flatten(F.array(*per_type))
+
+    def every(low: Column) -> Column:
+        per_type = [
+            F.when(
+                low.rlike(category_test([fold_pattern(p) for p, _ in rows])), _category(text, low, kind, rows)
+            ).otherwise(none)
+            for kind, rows in (patterns or L.ENTITY_PATTERNS).items()
+        ]
+        return F.flatten(F.array(*per_type))
+
+    return T.let(folded(text), every)
 
 
 def extract_entities(

@@ -182,15 +182,15 @@ def expand_synonyms_table(queries: DataFrame, terms: DataFrame, query_col: str =
     q = F.col(query_col)
 
     def cuts(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(q) - (n - 1))
-        pieces = F.transform(starts, lambda i: F.substring(q, i, F.lit(n)))
-        return F.when(F.length(q) >= n, pieces).otherwise(F.array().cast("array<string>"))
+        # an empty match at every position, the following n characters captured
+        return F.regexp_extract_all(q, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
     pieces = F.flatten(F.array(*[cuts(n) for n in lengths]))
-    cut = queries.select("query_id", F.lower(q).alias("_low"), F.explode(F.array_distinct(pieces)).alias("term"))
-    found = cut.join(terms.filter("syn_ord <= 2"), "term")
-    kept = found.filter(~F.contains("_low", F.lower("synonym")))
-    return kept.select("query_id", "synonym").distinct()
+    cut = queries.select("query_id", F.explode(F.array_distinct(pieces)).alias("term"))
+    found = cut.join(terms.filter("syn_ord <= 2"), "term").select("query_id", "synonym").distinct()
+    # the text itself joins back only for the few (query, synonym) pairs found
+    lowered = queries.select("query_id", F.lower(q).alias("_low"))
+    return found.join(lowered, "query_id").filter(~F.contains("_low", F.lower("synonym"))).drop("_low")
 
 
 def check_ambiguity(q: Column) -> Column:

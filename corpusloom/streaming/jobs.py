@@ -54,6 +54,8 @@ def ingest_stream(
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MEMORY_OUT = StructType(
     [
         StructField("session_id", StringType()),
@@ -122,7 +124,12 @@ def session_memory_stream(
     topics: list[str] | None = None,
     idle_ms: int | None = None,
 ) -> DataFrame:
-    """State of each session after every micro-batch; ``messages(session_id, turn, role, content)``."""
+    """State of each session after every micro-batch; ``messages(session_id, turn, role, content)``.
+
+    Keyed state of this kind lives in RocksDB; the session is told so if it
+    still has another provider.
+    """
+    messages.sparkSession.conf.set(STATE_PROVIDER, ROCKSDB)
     processor = SessionMemory(threshold, max_history, topics or L.SUMMARY_TOPICS, idle_ms)
     return messages.groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=processor,
