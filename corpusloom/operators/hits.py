@@ -52,6 +52,13 @@ def overlap_f1(a: Column, b: Column) -> Column:
     )
 
 
+def word_overlap(query: Column, text: Column) -> Column:
+    """Word-set F1 of two texts, each tokenised once."""
+    return T.let(
+        T.content_words(query), lambda a: T.let(T.content_words(text), lambda b: overlap_f1(a, b))
+    )
+
+
 def rerank(
     hits: DataFrame,
     k: int,
@@ -66,7 +73,7 @@ def rerank(
     A query with one candidate keeps it unscored.
     """
     body = F.coalesce(F.col("original_text"), F.col(text_col)) if "original_text" in hits.columns else F.col(text_col)
-    score = scorer if scorer is not None else overlap_f1(T.content_words(F.col(query_col)), T.content_words(body))
+    score = scorer if scorer is not None else word_overlap(F.col(query_col), body)
     n = F.count("*").over(Window.partitionBy("query_id"))
     scored = (
         hits.withColumn("_n", n)

@@ -1,35 +1,43 @@
 """BM25 over a whole table of chunks and a whole table of queries.
 
 k1/b are the usual published values; idf is ln(1 + (N - df + .5)/(df + .5)).
-The search prunes exactly (the MaxScore bound), so a term that occurs in a
-third of all chunks is not joined with every query that mentions it.
+
+The postings are stored bucketed by chunk. A search then joins the (small)
+query terms to them where they lie, sums per (query, chunk) without a shuffle
+and sends on only each task's k best per query. A hot term is spread over all
+buckets with its chunks.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.ranking import top_per_group
-from corpusloom.session import materialize
+from corpusloom.session import materialize, scratch_path
 
 K1, B = 1.2, 0.75
 DIGITS = 6
 SLACK = 1e-5  # keeps documents that tie after rounding
+BUCKET_BYTES = 256 << 20
+PRUNE_OVER = 2_000_000_000  # (posting, query) pairs
+SEED_POSTINGS = 100  # postings per wanted hit that are read to find a floor
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """Tables of one index; all columns needed by the search and nothing else."""
-
-    forward: DataFrame  # chunk_id, len, bag ARRAY<STRUCT<term, tf>>
-    postings: DataFrame  # term, chunk_id, tf, len
+    postings: DataFrame  # term, chunk_id, tf, len - bucketed by chunk_id
     terms: DataFrame  # term, df, max_impact
     n_chunks: int
     avg_len: float
+    table: str
+
+    def drop(self) -> None:
+        self.postings.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def impact(tf: Column, length: Column, avg_len: float) -> Column:
@@ -37,118 +45,116 @@ def impact(tf: Column, length: Column, avg_len: float) -> Column:
 
 
 def bags(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    toks = T.tokens(F.col(text_col))
-    return chunks.select(
-        F.col(id_col).alias("chunk_id"),
-        F.size(toks).alias("len"),
-        T.term_counts(toks).alias("bag"),
-    )
-
-
-def postings_of(forward: DataFrame) -> DataFrame:
-    return forward.select("chunk_id", "len", F.inline("bag")).select("term", "chunk_id", "tf", "len")
+    """chunk_id, len, bag: each text tokenised once, terms counted inside the row."""
+    toks = chunks.select(F.col(id_col).alias("chunk_id"), T.tokens(F.col(text_col)).alias("_t"))
+    return toks.select("chunk_id", F.size("_t").alias("len"), T.term_counts(F.col("_t")).alias("bag"))
 
 
 def build_bm25_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> Bm25Index:
-    """Tokenise once, write the tables, return readers over them.
+    """Write the bucketed postings in one pass over the texts, then the term table.
 
-    Term counting happens inside the row; the only shuffle is the clustering
-    of the postings. They are range-clustered by (term, chunk) so that files
-    carry narrow term ranges for pruning and a hot term spreads over many.
+    Corpus totals are observed while the postings are written.
     """
-    forward = materialize(bags(chunks, id_col, text_col), "bm25-forward")
-    totals = forward.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
-    clustered = postings_of(forward).repartitionByRange("term", "chunk_id")
-    postings = materialize(clustered.sortWithinPartitions("term", "chunk_id"), "bm25-postings")
-    avg_len = float(totals["avg"] or 0.0)
+    spark = chunks.sparkSession
+    size = int(chunks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    buckets = max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
+    seen = Observation()
+    counted = bags(chunks, id_col, text_col).observe(
+        seen, F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens")
+    )
+    rows = counted.select("chunk_id", "len", F.inline("bag")).select("term", "chunk_id", "tf", "len")
+    table = f"corpusloom_postings_{uuid.uuid4().hex}"
+    writer = rows.repartition(buckets, "chunk_id").write.bucketBy(buckets, "chunk_id").format("parquet")
+    writer.option("path", scratch_path(spark, "bm25-postings")).saveAsTable(table)
+    n, tokens = int(seen.get["n"]), int(seen.get["tokens"] or 0)
+    avg_len = tokens / n if n else 0.0
+    postings = spark.table(table)
     stats = postings.groupBy("term").agg(
         F.count("*").alias("df"), F.max(impact(F.col("tf"), F.col("len"), avg_len)).alias("max_impact")
     )
-    return Bm25Index(forward, postings, materialize(stats, "bm25-terms"), totals["n"], avg_len)
-
-
-def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
-    """query_id, term, qtf; repeated words count."""
-    return queries.select(
-        "query_id", F.inline(T.term_counts(T.tokens(F.col(text_col))))
-    ).withColumnRenamed("tf", "qtf")
+    return Bm25Index(postings, materialize(stats, "bm25-terms"), n, avg_len, table)
 
 
 def weighted_terms(index: Bm25Index, queries: DataFrame, text_col: str = "text") -> DataFrame:
+    """query_id, term, df, weight (qtf x idf) and bound (largest possible share of a score)."""
     n = F.lit(float(index.n_chunks))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    counted = queries.select("query_id", F.inline(T.term_counts(T.tokens(F.col(text_col)))))
     return (
-        query_terms(queries, text_col)
+        counted.withColumnRenamed("tf", "qtf")
         .join(index.terms, "term")
         .withColumn("weight", F.col("qtf") * idf)
         .withColumn("bound", F.col("weight") * F.col("max_impact"))
+        .select("query_id", "term", "df", "weight", "bound")
     )
 
 
+def _sum_shares(index: Bm25Index, joined: DataFrame, out: str) -> DataFrame:
+    share = F.col("weight") * impact(F.col("tf"), F.col("len"), index.avg_len)
+    return joined.groupBy("query_id", "chunk_id").agg(F.sum(share).alias(out))
+
+
+def _score(index: Bm25Index, terms: DataFrame, out: str = "score") -> DataFrame:
+    """Scores of every (query, chunk) that shares one of ``terms``."""
+    return _sum_shares(index, index.postings.join(terms.select("query_id", "term", "weight"), "term"), out)
+
+
+def _complete(index: Bm25Index, pairs: DataFrame, terms: DataFrame, out: str) -> DataFrame:
+    """Scores of given (query, chunk) pairs over ``terms``: only those postings are looked up."""
+    wanted = pairs.select("query_id", "chunk_id").join(terms.select("query_id", "term", "weight"), "query_id")
+    return _sum_shares(index, wanted.join(index.postings, ["chunk_id", "term"]), out)
+
+
 def bm25_search(
-    index: Bm25Index, queries: DataFrame, k: int = 20, text_col: str = "text"
+    index: Bm25Index, queries: DataFrame, k: int = 20, text_col: str = "text", prune_over: int = PRUNE_OVER
 ) -> DataFrame:
     """query_id, chunk_id, score, rank: the exact top ``k`` per query.
 
-    1. Score the rarest terms of each query until they cover k chunks; the
-       k-th best partial score is a floor for the final k-th score.
-    2. Terms whose joint upper bound stays below that floor cannot lift a chunk
-       into the result alone: only the other terms' postings are joined.
-    3. Candidates that can still reach the floor get the remaining terms from
-       their own forward row.
+    Up to ``prune_over`` (posting, query) pairs are summed in one pass. Beyond
+    that the same result is found with fewer pairs, see ``_pruned``.
     """
     terms = materialize(weighted_terms(index, queries, text_col), "bm25-query")
-    share = F.col("weight") * impact(F.col("tf"), F.col("len"), index.avg_len)
+    pairs = terms.agg(F.sum("df")).first()[0] or 0
+    scored = _score(index, terms) if pairs <= prune_over else _pruned(index, terms, k)
+    rounded = scored.withColumn("score", F.round("score", DIGITS))
+    return top_per_group(rounded, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+
 
+def _pruned(index: Bm25Index, terms: DataFrame, k: int) -> DataFrame:
+    """Candidates that can reach the top ``k``, fully scored (the MaxScore bound).
+
+    1. The rarest terms of each query name some chunks; the full scores of the
+       best of them give a floor under the final k-th score.
+    2. Terms whose joint upper bound stays below the floor cannot lift a chunk
+       into the result by themselves: only the other terms' postings are joined.
+    3. Pairs that can still reach the floor get the remaining terms looked up.
+    """
     rare_first = Window.partitionBy("query_id").orderBy("df", "term")
-    seeds = terms.withColumn(
-        "_before",
-        F.coalesce(F.sum("df").over(rare_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).filter(F.col("_before") < k)
-    seed_scores = (
-        index.postings.join(seeds.select("query_id", "term", "weight"), "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(share).alias("score"))
-    )
-    floor = (
-        top_per_group(seed_scores, ["query_id"], [F.desc("score")], k)
-        .groupBy("query_id")
-        .agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("floor"))
+    before = F.sum("df").over(rare_first.rowsBetween(Window.unboundedPreceding, -1))
+    seeds = terms.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < k * SEED_POSTINGS)
+    best = top_per_group(_score(index, seeds), ["query_id"], [F.desc("score"), F.asc("chunk_id")], 2 * k)
+    sure = top_per_group(_complete(index, best, terms, "score"), ["query_id"], [F.desc("score")], k)
+    floor = sure.groupBy("query_id").agg(
+        F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("floor")
     )
-
     weak_first = Window.partitionBy("query_id").orderBy("bound", "term")
-    judged = terms.join(floor, "query_id").withColumn(
-        "weak", F.sum("bound").over(weak_first) < F.col("floor") - SLACK
+    judged = materialize(
+        terms.join(floor, "query_id").withColumn("weak", F.sum("bound").over(weak_first) < F.col("floor") - SLACK),
+        "bm25-judged",
     )
-    strong = judged.filter(~F.col("weak")).select("query_id", "term", "weight")
-    rest = judged.groupBy("query_id").agg(
+    weak = judged.filter("weak")
+    limits = judged.groupBy("query_id").agg(
         F.first("floor").alias("floor"),
         F.sum(F.when(F.col("weak"), F.col("bound")).otherwise(0.0)).alias("rest_bound"),
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("weak"), F.struct("term", "weight")))
-        ).alias("rest"),
     )
-    candidates = (
-        index.postings.join(strong, "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(share).alias("part"))
-        .join(rest, "query_id")
+    strong = (
+        _score(index, judged.filter("not weak"), "part")
+        .join(limits, "query_id")
         .filter(F.col("part") + F.col("rest_bound") >= F.col("floor") - SLACK)
+        .select("query_id", "chunk_id", "part")
     )
-
-    def finish(hit: Column) -> Column:
-        return F.element_at("rest", hit["term"]) * impact(hit["tf"], F.col("len"), index.avg_len)
-
-    matched = F.filter("bag", lambda t: F.map_contains_key("rest", t["term"]))
-    done = candidates.filter(F.size("rest") == 0).select("query_id", "chunk_id", F.col("part").alias("score"))
-    lifted = (
-        candidates.filter(F.size("rest") > 0)
-        .join(index.forward, "chunk_id")
-        .select(
-            "query_id",
-            "chunk_id",
-            (F.col("part") + F.aggregate(matched, F.lit(0.0), lambda s, t: s + finish(t))).alias("score"),
-        )
+    candidates = materialize(strong, "bm25-candidates")
+    rest = _complete(index, candidates, weak, "rest")
+    return candidates.join(rest, ["query_id", "chunk_id"], "left").select(
+        "query_id", "chunk_id", (F.col("part") + F.coalesce("rest", F.lit(0.0))).alias("score")
     )
-    scored = done.unionByName(lifted).withColumn("score", F.round("score", DIGITS))
-    return top_per_group(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)

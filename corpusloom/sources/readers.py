@@ -32,8 +32,24 @@ PubmedData struct<ArticleIdList: struct<ArticleId: array<struct<_IdType: string,
 """
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every task slot a share of a small input.
+
+    A table of fewer full splits than slots would leave most of them idle in
+    the text operators, which are bound by computation. Only such small tables
+    (at most one split per slot) are redistributed; larger ones already come in
+    enough splits and are left without a shuffle.
+    """
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(slots) if size < split * slots else df
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A table of parsed texts, spread over the slots when it is small."""
+    return spread(spark.read.parquet(path))
 
 
 def read_markdown_dir(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
