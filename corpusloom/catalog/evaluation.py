@@ -20,14 +20,15 @@ KS = [1, 5, 10]
 
 
 # ---- ranking: vectors of the same label are relevant to each other -------
-def labelled_run(spark: SparkSession, sf: str, metric: str = "cosine") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(hits, queries, qrels). Items are ``label:vec_id``; qrels join on the label."""
+def labelled_run(spark: SparkSession, sf: str, reverse: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The judged vector run, also with its top ten turned round."""
     queries, corpus = vector_tables(spark, sf)
-    v = table(spark, sf, "embeddings").select("vec_id", "label")
-    hits = dense_search(queries, corpus, K, metric).select("query_id", F.col("chunk_id").alias("item"), "rank")
-    a = v.select(F.col("vec_id").alias("query_id"), "label")
-    b = v.select(F.col("vec_id").alias("item"), "label")
-    return hits, queries.select("query_id"), a.join(b, "label").select("query_id", "item")
+    v = table(spark, sf, "embeddings")
+    rank = K + 1 - F.col("rank") if reverse else F.col("rank")
+    hits = dense_search(queries, corpus, K).select("query_id", F.col("chunk_id").alias("item"), rank.alias("rank"))
+    return M.judge_by_labels(
+        hits, v.select(F.col("vec_id").alias("query_id"), "label"), v.select(F.col("vec_id").alias("item"), "label")
+    )
 
 
 def sql_metrics(knn: str, ks: list[int]) -> str:
@@ -53,17 +54,17 @@ def _one(metric: str, k: int = 10) -> str:
 
 @query("mrr_at_k", _one("mrr"))
 def mrr_q(spark: SparkSession, sf: str) -> DataFrame:
-    return M.mrr_at_k(*labelled_run(spark, sf))
+    return M.mrr_at_k(labelled_run(spark, sf))
 
 
 @query("recall_at_k", _one("recall"))
 def recall_q(spark: SparkSession, sf: str) -> DataFrame:
-    return M.recall_at_k(*labelled_run(spark, sf))
+    return M.recall_at_k(labelled_run(spark, sf))
 
 
 @query("ndcg_at_k", _one("ndcg"))
 def ndcg_q(spark: SparkSession, sf: str) -> DataFrame:
-    return M.ndcg_at_k(*labelled_run(spark, sf))
+    return M.ndcg_at_k(labelled_run(spark, sf))
 
 
 _LONG = " UNION ALL ".join(f"SELECT '{m}' AS metric, k, round(avg({m}), 6) AS value FROM per GROUP BY k" for m in M.METRICS)
@@ -71,7 +72,7 @@ _LONG = " UNION ALL ".join(f"SELECT '{m}' AS metric, k, round(avg({m}), 6) AS va
 
 @query("evaluate_run", f"{_PER} {_LONG}")
 def evaluate_run_q(spark: SparkSession, sf: str) -> DataFrame:
-    return M.evaluate_run(*labelled_run(spark, sf), KS)
+    return M.evaluate_run(labelled_run(spark, sf), KS)
 
 
 @query(
@@ -84,9 +85,8 @@ SELECT metric, k, a.value AS first, b.value AS second, round(b.value - a.value,
 )
 def compare_runs_q(spark: SparkSession, sf: str) -> DataFrame:
     """The run against its own top ten in reverse order."""
-    hits, queries, qrels = labelled_run(spark, sf)
-    back = hits.withColumn("rank", K + 1 - F.col("rank"))
-    return M.compare_runs(M.evaluate_run(hits, queries, qrels, KS), M.evaluate_run(back, queries, qrels, KS))
+    run, back = labelled_run(spark, sf), labelled_run(spark, sf, reverse=True)
+    return M.compare_runs(M.evaluate_run(run, KS), M.evaluate_run(back, KS))
 
 
 # each benchmark text with its first half as positive, the next text's half as negative
@@ -129,7 +129,8 @@ def evaluate_dense_corpus_q(spark: SparkSession, sf: str) -> DataFrame:
     hits = dense_search(
         embed(queries, "query").select("query_id", "embedding"), embed(corpus).select("chunk_id", "embedding"), K
     )
-    return M.evaluate_run(hits.select("query_id", F.col("chunk_id").alias("item"), "rank"), queries, qrels, KS)
+    run = hits.select("query_id", F.col("chunk_id").alias("item"), "rank")
+    return M.evaluate_run(M.judge_by_qrels(run, queries, qrels), KS)
 
 
 # ---- multiple choice: items derived from the benchmark -------------------

@@ -17,6 +17,7 @@ from corpusloom.operators import embedding as E
 from corpusloom.operators.chunking import ChunkConfig, chunk, hashed_sentence_encoder
 from corpusloom.operators.enrichment import apply_contexts, build_context_prompts, truncate_document
 from corpusloom.operators.metadata import extract_metadata, to_index_rows
+from corpusloom.session import scratch_path
 from corpusloom.plans.index_job import index_documents, outcome_summary
 
 md5 = F.md5
@@ -335,7 +336,7 @@ def index_job(spark: SparkSession, sf: str) -> DataFrame:
     """Every document is pending; a tenth of the files is missing."""
     d = table(spark, sf, "documents").withColumn("path", F.col("source")).withColumn("indexed_at", F.lit("2024-03-01"))
     present = d.filter("doc_id % 10 <> 9").select("doc_id", "text", "source", "path", "indexed_at")
-    return index_documents(d.select("doc_id"), present, "fixed")[1]
+    return index_documents(d.select("doc_id"), present, scratch_path(spark, "index-job"), "fixed")
 
 
 @query(
@@ -347,4 +348,4 @@ FROM documents LEFT JOIN n USING (doc_id) GROUP BY 1""",
 def index_job_summary(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").withColumn("path", F.col("source")).withColumn("indexed_at", F.lit("2024-03-01"))
     docs = d.select("doc_id", "text", "source", "path", "indexed_at")
-    return outcome_summary(index_documents(d.select("doc_id"), docs, "fixed")[1])
+    return outcome_summary(index_documents(d.select("doc_id"), docs, scratch_path(spark, "index-job"), "fixed"))

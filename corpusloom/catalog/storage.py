@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.catalog.base import query, table
-from corpusloom.catalog.evaluation import labelled_run, KS
+from corpusloom.catalog.evaluation import _LONG, _PER, KS, labelled_run
 from corpusloom.catalog.ingest import _FIXED
 from corpusloom.catalog.training import SQL_PAIRS, _valid
 from corpusloom.operators import contrastive as N
@@ -269,8 +269,8 @@ def write_training_jsonl_q(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("query", md5(F.get("pos", F.lit(0))).alias("pos_md5"), F.size("neg").alias("n_neg"), "split")
 
 
-@query("write_metrics")
+@query("write_metrics", f"{_PER} {_LONG}")
 def write_metrics_q(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "metrics")
-    W.write_metrics(M.evaluate_run(*labelled_run(spark, sf), KS), path)
+    W.write_metrics(M.evaluate_run(labelled_run(spark, sf), KS), path)
     return spark.read.schema("metric string, k int, value double").json(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import materialize
+
 
 def top_per_group(
     df: DataFrame,
@@ -40,7 +42,7 @@ def hash_order(*cols: Column | str, seed: int) -> Column:
 
 
 def global_position(
-    df: DataFrame, key: Column, tie: list[str], out: str = "pos", total: str = "total", digits: int = 3
+    df: DataFrame, key: Column, tie: list[str], out: str = "pos", total: str = "total", digits: int = 4
 ) -> DataFrame:
     """0-based position in the order of the hex hash ``key`` over all rows, and their number.
 
@@ -65,6 +67,25 @@ def global_position(
     )
 
 
+def value_at(df: DataFrame, col: str, position: int):
+    """The ``position``-th smallest value (0-based) of a unique column, None past the end.
+
+    Range-partitioned ids are stored with their partition number; the counts
+    per partition lead to the one that holds the position, and only that one is
+    numbered. Nothing but the value itself reaches the driver.
+    """
+    ranged = df.select(col).repartitionByRange(col).withColumn("_part", F.spark_partition_id())
+    placed = materialize(ranged, "ranged")
+    left = position
+    for row in placed.groupBy("_part").count().orderBy("_part").collect():
+        if left < row["count"]:
+            inside = Window.partitionBy("_part").orderBy(col)
+            one = placed.filter(F.col("_part") == row["_part"]).withColumn("_n", F.row_number().over(inside))
+            return one.filter(F.col("_n") == left + 1).first()[col]
+        left -= row["count"]
+    return None
+
+
 def previous_in_group(
     df: DataFrame, group: str, position: str, value: str, out: str, span: int = 4096
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import lexicon as L
 from corpusloom.functions import text as T
-from corpusloom.functions.ranking import global_position, hash_order, top_per_group
+from corpusloom.functions.ranking import global_position, hash_order, top_per_group, value_at
 
 
 @dataclass(frozen=True)
@@ -131,10 +131,10 @@ def shuffle_split(pairs: DataFrame, ratio: float, seed: int = 42, id_col: str =
 
 def ordered_split(pairs: DataFrame, ratio: float, id_col: str = "pair_id") -> DataFrame:
     """Unshuffled prefix split in id order: only the id at the cut is looked up."""
-    edge = pairs.select(id_col).orderBy(id_col).offset(int(pairs.count() * ratio)).first()
+    edge = value_at(pairs, id_col, int(pairs.count() * ratio))
     if edge is None:
         return pairs.withColumn("split", F.lit("train"))
-    return pairs.withColumn("split", F.when(F.col(id_col) < F.lit(edge[0]), "train").otherwise("val"))
+    return pairs.withColumn("split", F.when(F.col(id_col) < F.lit(edge), "train").otherwise("val"))
 
 
 def build_all(sources: dict[str, DataFrame], cfg: PairConfig = PairConfig()) -> DataFrame:

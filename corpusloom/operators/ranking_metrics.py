@@ -1,8 +1,9 @@
 """MRR, Recall, NDCG and answer-accuracy over whole runs.
 
-``hits(query_id, item, rank)`` is a ranked run, ``qrels(query_id, item)`` the
-relevant items. Both meet in one equi-join on (query, item); everything else
-is one aggregation per query.
+``hits(query_id, item, rank)`` is a ranked run. What is relevant comes either
+as ``qrels(query_id, item)`` or as labels: an item is relevant to a query of
+the same label. Labels are compared on the hits only, so a label that holds a
+third of all items never pairs them up.
 """
 
 from __future__ import annotations
@@ -16,22 +17,29 @@ METRICS = ["mrr", "recall", "ndcg"]
 DIGITS = 6
 
 
-def _judged(hits: DataFrame, qrels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits that are relevant, number of relevant items per query)."""
+def judge_by_qrels(hits: DataFrame, queries: DataFrame, qrels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(relevant hits, queries with their number ``n_rel`` of relevant items)."""
     rel = qrels.select("query_id", "item").distinct()
-    relevant = rel.groupBy("query_id").agg(F.count("*").alias("n_rel"))
-    return hits.join(rel, ["query_id", "item"], "left_semi"), relevant
+    counts = rel.groupBy("query_id").agg(F.count("*").alias("n_rel"))
+    good = hits.join(rel, ["query_id", "item"], "left_semi").select("query_id", "item", "rank")
+    return good, queries.select("query_id").join(counts, "query_id", "left")
 
 
-def per_query_metrics(
-    hits: DataFrame, queries: DataFrame, qrels: DataFrame, ks: list[int] = [1, 5, 10], dedupe: bool = False
-) -> DataFrame:
+def judge_by_labels(hits: DataFrame, queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same from ``queries(query_id, label)`` and ``items(item, label)``."""
+    counts = items.groupBy("label").agg(F.count("*").alias("n_rel"))
+    q = queries.select("query_id", F.col("label").alias("_wanted"))
+    good = hits.join(q, "query_id").join(items.select("item", "label"), "item").filter("label = _wanted")
+    return good.select("query_id", "item", "rank"), queries.select("query_id", "label").join(counts, "label", "left")
+
+
+def per_query_metrics(judged: tuple[DataFrame, DataFrame], ks: list[int] = [1, 5, 10], dedupe: bool = False) -> DataFrame:
     """query_id plus mrr@k, recall@k, ndcg@k columns; unanswered queries count as 0.
 
     Items may repeat in a run (several chunks of a source); NDCG then counts
     each place unless ``dedupe`` keeps the best place only.
     """
-    good, relevant = _judged(hits, qrels)
+    good, queries = judged
     if dedupe:
         good = good.groupBy("query_id", "item").agg(F.min("rank").alias("rank"))
     rank = F.col("rank")
@@ -40,11 +48,11 @@ def per_query_metrics(
         within = rank <= k
         facts += [
             F.min(F.when(within, rank)).alias(f"_first{k}"),
-            F.count_distinct(F.when(within, F.col("item"))).alias(f"_found{k}"),
+            F.size(F.collect_set(F.when(within, F.col("item")))).alias(f"_found{k}"),
             F.sum(F.when(within, 1 / F.log2(rank + 1)).otherwise(0.0)).alias(f"_dcg{k}"),
         ]
-    stats = good.groupBy("query_id").agg(*facts)
-    rows = queries.select("query_id").join(relevant, "query_id", "left").join(stats, "query_id", "left")
+    stats = good.filter(rank <= max(ks)).groupBy("query_id").agg(*facts)
+    rows = queries.select("query_id", "n_rel").join(stats, "query_id", "left")
     n = F.coalesce("n_rel", F.lit(0))
     out: list[Column] = []
     for k in ks:
@@ -61,28 +69,26 @@ def per_query_metrics(
     return rows.select("query_id", *out)
 
 
-def _mean_of(hits, queries, qrels, metric: str, k: int, **kw) -> DataFrame:
-    per = per_query_metrics(hits, queries, qrels, [k], **kw)
+def _mean_of(judged: tuple[DataFrame, DataFrame], metric: str, k: int, **kw) -> DataFrame:
+    per = per_query_metrics(judged, [k], **kw)
     return per.agg(F.round(F.avg(f"`{metric}@{k}`"), DIGITS).alias(metric), F.count("*").alias("n_queries"))
 
 
-def mrr_at_k(hits: DataFrame, queries: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
-    return _mean_of(hits, queries, qrels, "mrr", k)
+def mrr_at_k(judged: tuple[DataFrame, DataFrame], k: int = 10) -> DataFrame:
+    return _mean_of(judged, "mrr", k)
 
 
-def recall_at_k(hits: DataFrame, queries: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
-    return _mean_of(hits, queries, qrels, "recall", k)
+def recall_at_k(judged: tuple[DataFrame, DataFrame], k: int = 10) -> DataFrame:
+    return _mean_of(judged, "recall", k)
 
 
-def ndcg_at_k(hits: DataFrame, queries: DataFrame, qrels: DataFrame, k: int = 10, dedupe: bool = False) -> DataFrame:
-    return _mean_of(hits, queries, qrels, "ndcg", k, dedupe=dedupe)
+def ndcg_at_k(judged: tuple[DataFrame, DataFrame], k: int = 10, dedupe: bool = False) -> DataFrame:
+    return _mean_of(judged, "ndcg", k, dedupe=dedupe)
 
 
-def evaluate_run(
-    hits: DataFrame, queries: DataFrame, qrels: DataFrame, ks: list[int] = [1, 5, 10], dedupe: bool = False
-) -> DataFrame:
+def evaluate_run(judged: tuple[DataFrame, DataFrame], ks: list[int] = [1, 5, 10], dedupe: bool = False) -> DataFrame:
     """metric, k, value: every metric at every cut-off, averaged over queries."""
-    per = per_query_metrics(hits, queries, qrels, ks, dedupe)
+    per = per_query_metrics(judged, ks, dedupe)
     means = per.agg(*[F.avg(f"`{m}@{k}`").alias(f"{m}@{k}") for m in METRICS for k in ks])
     rows = [
         F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k"), F.round(F.col(f"`{m}@{k}`"), DIGITS).alias("value"))

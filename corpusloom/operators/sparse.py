@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.ranking import top_per_group
-from corpusloom.session import materialize, scratch_path
+from corpusloom.session import input_bytes, materialize, scratch_path
 
 K1, B = 1.2, 0.75
 DIGITS = 6
@@ -50,14 +50,17 @@ def bags(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") ->
     return toks.select("chunk_id", F.size("_t").alias("len"), T.term_counts(F.col("_t")).alias("bag"))
 
 
-def build_bm25_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> Bm25Index:
+def build_bm25_index(
+    chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", buckets: int | None = None
+) -> Bm25Index:
     """Write the bucketed postings in one pass over the texts, then the term table.
 
     Corpus totals are observed while the postings are written.
     """
     spark = chunks.sparkSession
-    size = int(chunks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    buckets = max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
+    if buckets is None:
+        wanted = max(spark.sparkContext.defaultParallelism, -(-input_bytes(chunks) // BUCKET_BYTES))
+        buckets = min(wanted, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     seen = Observation()
     counted = bags(chunks, id_col, text_col).observe(
         seen, F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens")

@@ -1,4 +1,4 @@
-"""Batch indexing: pending files to index rows plus an outcome per file."""
+"""Batch indexing: pending files to stored index rows plus an outcome per file."""
 
 from __future__ import annotations
 
@@ -13,27 +13,24 @@ MISSING = "文件不存在"
 EMPTY = "解析失败，无文本块"
 
 
-def index_documents(
-    pending: DataFrame,
-    documents: DataFrame,
-    strategy: str = "markdown",
-    cfg: ChunkConfig | None = None,
-    **embed_args,
-) -> tuple[DataFrame, DataFrame]:
-    """(index rows, outcomes).
+def index_rows(
+    documents: DataFrame, strategy: str = "markdown", cfg: ChunkConfig | None = None, **embed_args
+) -> DataFrame:
+    """Documents to index rows: metadata, chunks, vectors; one row-wise pass."""
+    return to_index_rows(embed(chunk(extract_metadata(documents), strategy, cfg), **embed_args))
+
+
+def index_outcome(pending: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, status, chunk_count, error_message of every pending file.
 
-    ``pending(doc_id)`` names the files to index, ``documents(doc_id, text,
-    source, path, indexed_at)`` holds those that could be read. A file that is
-    missing or yields no chunk fails; the others are ``indexed`` with their
-    number of chunks. One file's failure never affects another's rows.
+    ``rows`` is anything with a row per chunk, best the stored index rows. A
+    file that is missing or has no chunk failed; one file's failure never
+    affects another's rows.
     """
-    wanted = documents.join(pending.select("doc_id"), "doc_id", "left_semi")
-    chunks = chunk(extract_metadata(wanted), strategy, cfg)
-    rows = to_index_rows(embed(chunks, **embed_args))
-    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
     read = documents.select("doc_id", F.lit(True).alias("_read"))
     n = F.coalesce("chunk_count", F.lit(0)).cast("bigint")
-    outcome = (
+    return (
         pending.select("doc_id")
         .join(read, "doc_id", "left")
         .join(counts, "doc_id", "left")
@@ -44,7 +41,28 @@ def index_documents(
             F.when(F.col("_read").isNull(), MISSING).when(n == 0, EMPTY).alias("error_message"),
         )
     )
-    return rows, outcome
+
+
+def index_documents(
+    pending: DataFrame,
+    documents: DataFrame,
+    path: str,
+    strategy: str = "markdown",
+    cfg: ChunkConfig | None = None,
+    recreate: bool = False,
+    **embed_args,
+) -> DataFrame:
+    """Index the pending documents into ``path`` and return the outcomes.
+
+    ``pending(doc_id)`` names the files, ``documents(doc_id, text, source,
+    path, indexed_at)`` holds those that could be read. The rows are written
+    once; the outcome counts the stored rows of the pending files.
+    """
+    spark = documents.sparkSession
+    wanted = documents.join(pending.select("doc_id"), "doc_id", "left_semi")
+    index_rows(wanted, strategy, cfg, **embed_args).write.mode("overwrite" if recreate else "append").parquet(path)
+    stored = spark.read.parquet(path).join(pending.select("doc_id"), "doc_id", "left_semi")
+    return index_outcome(pending, documents, stored)
 
 
 def outcome_summary(outcome: DataFrame) -> DataFrame:

@@ -44,6 +44,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the stored tables below ``df``, from the optimizer's leaf statistics.
+
+    Estimates of joins are useless for sizing, so the leaves are added up;
+    leaves of unknown size count as nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 

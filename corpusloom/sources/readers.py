@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import lexicon as L
+from corpusloom.session import input_bytes
 
 QA_SCHEMA = "question string, ground_truth string, language string, category string, context string, answer string"
 TRAINING_SCHEMA = "query string, pos array<string>, neg array<string>"
@@ -43,8 +44,7 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     slots = spark.sparkContext.defaultParallelism
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(slots) if size < split * slots else df
+    return df.repartition(slots) if input_bytes(df) < split * slots else df
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -45,8 +45,8 @@ def ingest_stream(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows, outcome = index_documents(batch.select("doc_id"), batch, strategy, cfg, **embed_args)
-        rows.write.mode("overwrite").parquet(f"{index_path}/batch={batch_id}")
+        target = f"{index_path}/batch={batch_id}"
+        outcome = index_documents(batch.select("doc_id"), batch, target, strategy, cfg, recreate=True, **embed_args)
         outcome.write.mode("overwrite").parquet(f"{outcome_path}/batch={batch_id}")
         if on_batch:
             on_batch(outcome, batch_id)
