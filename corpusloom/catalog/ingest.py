@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.catalog.base import (
     SQL_MARKED, marked_documents, query, sql_clean, sql_sentences, sql_str, sql_strip, sql_tokens, table,
 )
+from corpusloom.catalog.chunk_sql import markdown_sql, recursive_sql, semantic_sql
 from corpusloom.functions import lexicon as L
 from corpusloom.functions import text as T
 from corpusloom.operators import embedding as E
@@ -142,12 +143,12 @@ def chunk_fixed(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(chunk(table(spark, sf, "documents").select("doc_id", "text"), "fixed"))
 
 
-@query("chunk_markdown")
+@query("chunk_markdown", markdown_sql())
 def chunk_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(chunk(marked_documents(spark, sf), "markdown"), "section")
 
 
-@query("chunk_recursive")
+@query("chunk_recursive", recursive_sql())
 def chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(chunk(marked_documents(spark, sf), "recursive"))
 
@@ -160,7 +161,7 @@ def hashed_text_encoder():
     return lambda texts: hashed_sentence_encoder([split.findall(t.lower()) for t in texts])
 
 
-@query("chunk_semantic")
+@query("chunk_semantic", semantic_sql())
 def chunk_semantic(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "text")
     return _flat(chunk(d, "semantic", encoder=hashed_text_encoder))

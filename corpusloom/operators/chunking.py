@@ -279,7 +279,8 @@ def neighbour_similarity(
                 continue
             m = np.asarray(encode(flat), dtype=np.float64)
             n = np.linalg.norm(m, axis=1)
-            sims = (m[:-1] * m[1:]).sum(axis=1) / (n[:-1] * n[1:] + 1e-8)
+            # rounded, so that equal neighbours stay equal whatever the order of summation
+            sims = np.round((m[:-1] * m[1:]).sum(axis=1) / (n[:-1] * n[1:] + 1e-8), 12)
             ends = np.cumsum([len(row) for row in batch])
             starts = np.concatenate([[0], ends[:-1]])
             yield pd.Series([sims[a : max(a, b - 1)] for a, b in zip(starts, ends)])
