@@ -27,6 +27,7 @@ from corpusloom.session import materialize
 BLOCK_BYTES = 64 << 20
 CELL_ROWS = 8192
 MAX_CELLS = 1024
+SCORES = 4 << 20  # cells of one score matrix in a task
 DIGITS = 6
 HITS = "query_id {q}, chunk_id {c}, score double"
 
@@ -40,21 +41,27 @@ def _matrix(vectors: pd.Series, metric: str) -> np.ndarray:
 
 
 def _block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
-    """Best k corpus rows of this block per query; ties go to the smaller id."""
+    """Best k corpus rows of this block per query; ties go to the smaller id.
+
+    Queries are taken in slices, so that a score matrix never exceeds SCORES cells.
+    """
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
-    scores = np.round(q @ c.T, DIGITS)
-    if scores.shape[1] > k:
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        rows, cols = np.nonzero(scores >= kth)
-    else:
-        rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
-    found = pd.DataFrame({"row": rows, "chunk_id": c_ids[cols], "score": scores[rows, cols]})
-    found = found.sort_values(["row", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
-    found = found[found.groupby("row").cumcount() < k]
-    return pd.DataFrame(
-        {"query_id": q_ids[found["row"]], "chunk_id": found["chunk_id"], "score": found["score"]}
-    )
+    per_slice = max(1, SCORES // max(1, len(c_ids)))
+    parts = []
+    for at in range(0, len(q_ids), per_slice):
+        scores = np.round(q[at : at + per_slice] @ c.T, DIGITS)
+        if scores.shape[1] > k:
+            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+            rows, cols = np.nonzero(scores >= kth)
+        else:
+            rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
+        found = pd.DataFrame({"row": rows, "chunk_id": c_ids[cols], "score": scores[rows, cols]})
+        found = found.sort_values(["row", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
+        found = found[found.groupby("row").cumcount() < k]
+        ids = q_ids[at : at + per_slice][found["row"]]
+        parts.append(pd.DataFrame({"query_id": ids, "chunk_id": found["chunk_id"], "score": found["score"]}))
+    return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
 
 
 def _schema(queries: DataFrame, corpus: DataFrame) -> str:

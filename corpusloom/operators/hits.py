@@ -72,12 +72,14 @@ def rerank(
     UDF or a stored score; the default is the word overlap of query and text.
     A query with one candidate keeps it unscored.
     """
-    body = F.coalesce(F.col("original_text"), F.col(text_col)) if "original_text" in hits.columns else F.col(text_col)
-    score = scorer if scorer is not None else word_overlap(F.col(query_col), body)
+    if scorer is None:
+        body = F.coalesce("original_text", text_col) if "original_text" in hits.columns else F.col(text_col)
+        scorer = word_overlap(F.col(query_col), body)
     n = F.count("*").over(Window.partitionBy("query_id"))
     scored = (
-        hits.withColumn("_n", n)
-        .withColumn("rerank_score", F.when(F.col("_n") > 1, F.round(score, DIGITS)))
+        hits.withColumn("rerank_score", F.round(scorer, DIGITS))
+        .withColumn("_n", n)
+        .withColumn("rerank_score", F.when(F.col("_n") > 1, F.col("rerank_score")))
         .withColumnRenamed("rank", "candidate_rank")
     )
     order = [F.desc_nulls_last("rerank_score"), F.asc("candidate_rank")]

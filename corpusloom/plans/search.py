@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.dense import dense_search
-from corpusloom.operators.hits import fuse_weighted, rerank
+from corpusloom.operators.hits import fuse_weighted, rerank, word_overlap
 from corpusloom.operators.sparse import Bm25Index, bm25_search
 
 CANDIDATES = 50
@@ -28,7 +28,8 @@ def hybrid_search(
     ``queries(query_id, query, embedding[, alpha])``; ``alpha`` is a number or
     the name of a column, so that every query can follow its own route. 1 uses
     vectors only and 0 terms only; those queries skip the other branch. With
-    ``use_rerank`` the ``candidates`` best are joined to ``texts`` and re-scored.
+    ``use_rerank`` the ``candidates`` best are joined to ``texts(chunk_id, text)``
+    and re-scored; ``scorer`` is a column over ``query`` and ``text``.
     """
     keep = candidates if use_rerank else top_k
     named = queries.withColumn("_a", F.col(alpha) if isinstance(alpha, str) else F.lit(float(alpha)))
@@ -38,5 +39,7 @@ def hybrid_search(
     fused = fuse_weighted(dense, sparse, keep, weights if isinstance(alpha, str) else alpha)
     if not use_rerank:
         return fused
-    pairs = fused.join(texts, "chunk_id").join(queries.select("query_id", "query"), "query_id")
-    return rerank(pairs, top_k, scorer)
+    # texts are scored where they are joined; only ids and scores go on to the ranking
+    pairs = fused.join(texts.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
+    score = scorer if scorer is not None else word_overlap(F.col("query"), F.col("text"))
+    return rerank(pairs.withColumn("_score", score).drop("query", "text"), top_k, F.col("_score")).drop("_score")
