@@ -211,17 +211,24 @@ _EXACT = f"""round(least(1.0::DOUBLE,
 _SEM_SUM = " + ".join(["0.5::DOUBLE"] + [f"CASE WHEN contains(l, {sql_str(w)}) THEN 0.15::DOUBLE ELSE 0 END" for w in L.SEMANTIC_WORDS])
 _SEMANTIC = f"""round(least(1.0::DOUBLE, {_SEM_SUM} + CASE WHEN length(l) > 30 THEN 0.1::DOUBLE ELSE 0 END
    + CASE WHEN NOT regexp_matches(l, '\\d') AND len(list_intersect(regexp_extract_all(l, '[\\p{{L}}\\p{{N}}_]+'), {sql_list(L.ABBREVIATIONS)})) = 0 THEN 0.1::DOUBLE ELSE 0 END), 6)"""
-_SCORED = f"""{SQL_QUERIES}, low AS (SELECT *, {sql_strip('lower(query)')} AS l FROM queries),
+
+
+def sql_scored(queries: str) -> str:
+    return f"""low AS (SELECT *, {sql_strip('lower(query)')} AS l FROM {queries}),
  sc AS (SELECT *, {_EXACT} AS exact, {_SEMANTIC} AS semantic FROM low)"""
-_TYPED = f"""{_SCORED}, typed AS (SELECT *, CASE WHEN {_sql_any('l', L.RECENCY_WORDS)} THEN 'web'
+
+
+SQL_TYPED = f"""typed AS (SELECT *, CASE WHEN {_sql_any('l', L.RECENCY_WORDS)} THEN 'web'
    WHEN {_sql_rx('query', L.GENERAL_QUESTION_PATTERNS)} AND length(query) < 20 THEN 'direct'
    WHEN exact >= 0.6::DOUBLE THEN 'bm25' WHEN semantic > 0.7::DOUBLE THEN 'vector' ELSE 'hybrid' END AS query_type FROM sc)"""
+SQL_CONFIDENCE = "CASE query_type WHEN 'direct' THEN 0.7::DOUBLE WHEN 'bm25' THEN exact WHEN 'vector' THEN semantic ELSE 0.8::DOUBLE END"
+_SCORED = f"{SQL_QUERIES}, {sql_scored('queries')}"
+_TYPED = f"{_SCORED}, {SQL_TYPED}"
 
 
 @query(
     "route_queries",
-    f"""WITH {_TYPED} SELECT query_id, query_type,
-  CASE query_type WHEN 'direct' THEN 0.7::DOUBLE WHEN 'bm25' THEN exact WHEN 'vector' THEN semantic ELSE 0.8::DOUBLE END AS confidence,
+    f"""WITH {_TYPED} SELECT query_id, query_type, {SQL_CONFIDENCE} AS confidence,
   CASE query_type {' '.join(f"WHEN '{k}' THEN {sql_str(v)}" for k, v in L.ROUTE_REASON.items())} END AS reason,
   CASE query_type {' '.join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in L.ROUTE_ALPHA.items())} END AS alpha FROM typed""",
 )
@@ -336,11 +343,14 @@ def check_ambiguity_q(spark: SparkSession, sf: str) -> DataFrame:
     return derived_queries(spark, sf).select("query_id", U.check_ambiguity(F.col("query")).alias("hint"))
 
 
+SQL_REWRITTEN = f"""{_COMPLETED},
+ st AS (SELECT query_id, {sql_strip('query')} AS original, CASE WHEN follows AND previous_query IS NOT NULL AND previous_query <> '' THEN completed ELSE {sql_strip('query')} END AS c FROM comp),
+ {_sql_standard_ctes('st', 'c')}"""
+
+
 @query(
     "rewrite_queries",
-    f"""WITH {_COMPLETED},
- st AS (SELECT query_id, {sql_strip('query')} AS original, CASE WHEN follows AND previous_query IS NOT NULL AND previous_query <> '' THEN completed ELSE {sql_strip('query')} END AS c FROM comp),
- {_sql_standard_ctes('st', 'c')},
+    f"""WITH {SQL_REWRITTEN},
  ex AS (SELECT query_id, original, c, std, applied, {_sql_expanded('std')} AS words FROM stded)
 SELECT query_id, md5(std) AS rewritten_md5, array_to_string(words, '|') AS expanded_terms, std <> original OR len(words) > 0 AS is_modified,
   coalesce(nullif(concat_ws('; ', CASE WHEN c <> original THEN '追问补全' END, CASE WHEN std <> c THEN '术语标准化: ' || array_to_string(applied, ', ') END,
@@ -355,18 +365,23 @@ def rewrite_queries_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- assessment: queries without hits included ---------------------------
-_ASSESS = f"""{SQL_BENCH}, {SQL_BM25}, {SQL_HITS},
- hh AS (SELECT h.*, q.query FROM hits h JOIN q USING (query_id) WHERE query_id % 9 <> 0),
- w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: x <> '')) AS ws FROM hh),
- cv AS (SELECT *, len(list_filter(ws, lambda x: contains(lower(text), x))) / greatest(len(ws), 1)::DOUBLE AS cov FROM w),
- g AS (SELECT query_id, count(*) AS n, sum(score / rank) / sum(1.0::DOUBLE / rank) AS wavg, avg(CASE WHEN score > 0.5::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) AS high,
+def sql_assess(hits: str, queries: str, tag: str = "") -> str:
+    """CTEs ending in ``a{tag}``: n, relevance, sufficiency, best per query, and ``d{tag}`` with the decision."""
+    return f"""w{tag} AS (SELECT h.*, list_distinct(list_filter(regexp_split_to_array(lower(q.query), '\\s+'), lambda x: x <> '')) AS ws FROM {hits} h JOIN {queries} q USING (query_id)),
+ cv{tag} AS (SELECT *, len(list_filter(ws, lambda x: contains(lower(text), x))) / greatest(len(ws), 1)::DOUBLE AS cov FROM w{tag}),
+ g{tag} AS (SELECT query_id, count(*) AS n, sum(score / rank) / sum(1.0::DOUBLE / rank) AS wavg, avg(CASE WHEN score > 0.5::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) AS high,
    max(CASE WHEN rank <= 3 THEN cov END) AS cov, count(*) FILTER (score > 0.5::DOUBLE) AS nrel, sum(CASE WHEN rank <= 5 THEN length(text) END)::DOUBLE AS chars,
-   count(DISTINCT CASE WHEN rank <= 5 AND source <> '' THEN source END) AS srcs, list_sort(list(rank - 1) FILTER (score >= 0.5::DOUBLE)) AS good FROM cv GROUP BY 1),
- a AS (SELECT q.query_id, coalesce(n, 0) AS n,
+   count(DISTINCT CASE WHEN rank <= 5 AND source <> '' THEN source END) AS srcs, list_sort(list(rank - 1) FILTER (score >= 0.5::DOUBLE)) AS good FROM cv{tag} GROUP BY 1),
+ a{tag} AS (SELECT q.query_id, coalesce(n, 0) AS n,
    round(CASE WHEN n > 0 THEN least(0.5::DOUBLE * wavg + 0.3::DOUBLE * high + 0.2::DOUBLE * cov, 1) ELSE 0 END, 6) AS relevance,
    round(CASE WHEN n > 0 THEN 0.4::DOUBLE * least(nrel / 2.0::DOUBLE, 1) + 0.4::DOUBLE * least(chars / 1000, 1) + 0.2::DOUBLE * least(srcs / 3.0::DOUBLE, 1) ELSE 0 END, 6) AS sufficiency,
    CASE WHEN n IS NULL THEN [] WHEN len(coalesce(good, [])) < 3 THEN list_sort(list_distinct(list_concat(coalesce(good, []), range(0, least(n, 3))))) ELSE good END AS best
-   FROM q LEFT JOIN g USING (query_id))"""
+   FROM {queries} q LEFT JOIN g{tag} USING (query_id)),
+ d{tag} AS (SELECT *, CASE WHEN n = 0 THEN 'insufficient' WHEN relevance >= 0.7::DOUBLE AND sufficiency >= 0.5::DOUBLE THEN 'sufficient'
+   WHEN relevance >= 0.4::DOUBLE THEN 'partial' ELSE 'insufficient' END AS decision FROM a{tag})"""
+
+
+_ASSESS = f"""{SQL_BENCH}, {SQL_BM25}, {SQL_HITS}, hh AS (SELECT * FROM hits WHERE query_id % 9 <> 0), {sql_assess('hh', 'q')}"""
 
 
 def _assessed(spark: SparkSession, sf: str) -> DataFrame:
@@ -390,9 +405,7 @@ def best_docs_q(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "decide",
-    f"""WITH {_ASSESS}, d AS (SELECT *, CASE WHEN n = 0 THEN 'insufficient' WHEN relevance >= 0.7::DOUBLE AND sufficiency >= 0.5::DOUBLE THEN 'sufficient'
-   WHEN relevance >= 0.4::DOUBLE THEN 'partial' ELSE 'insufficient' END AS decision FROM a)
-SELECT query_id, n AS n_hits, decision, CASE WHEN n = 0 THEN 2 WHEN decision = 'sufficient' THEN 0 WHEN decision = 'insufficient' THEN 3
+    f"""WITH {_ASSESS} SELECT query_id, n AS n_hits, decision, CASE WHEN n = 0 THEN 2 WHEN decision = 'sufficient' THEN 0 WHEN decision = 'insufficient' THEN 3
   WHEN sufficiency < 0.5::DOUBLE THEN 3 ELSE 2 END AS n_suggestions FROM d""",
 )
 def decide_q(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.catalog.answering import sql_entities
+from corpusloom.catalog.answering import SQL_REWRITTEN, SQL_TYPED, sql_assess, sql_entities, sql_scored
 from corpusloom.catalog.base import SQL_CLINICAL, SQL_MESSAGES, clinical_documents, derived_messages, derived_queries, query, table
 from corpusloom.catalog.ingest import _FIXED
-from corpusloom.catalog.retrieval import corpus_chunks, document_index
+from corpusloom.catalog.retrieval import SQL_BM25, SQL_DENSE, corpus_chunks, document_index
 from corpusloom.functions import lexicon as L
 from corpusloom.operators.embedding import embed
 from corpusloom.plans.agentic import agentic_retrieve
@@ -16,7 +18,28 @@ from corpusloom.session import materialize, scratch_path
 from corpusloom.streaming.jobs import dedup_stream, entity_stream, ingest_stream, session_memory_stream
 
 
-@query("agentic_retrieve")
+def _sql_pass(n: int, queries: str) -> str:
+    """CTEs of one retrieval pass over ``queries(query_id, query, alpha)``: f{n} hits, d{n} verdicts."""
+    return f"""all{n} AS (SELECT query_id, chunk_id, d.score AS ds, s.score AS ss
+   FROM (SELECT * FROM dense JOIN {queries} USING (query_id) WHERE rank <= 20 AND alpha > 0) d
+   FULL JOIN (SELECT * FROM sparse JOIN {queries} USING (query_id) WHERE rank <= 20 AND alpha < 1) s USING (query_id, chunk_id)),
+ sc{n} AS (SELECT query_id, chunk_id, round(CASE alpha WHEN 1 THEN ds WHEN 0 THEN ss ELSE
+   alpha * coalesce((1 + ds) / 2, 0) + (1 - alpha) * coalesce({2 / math.pi!r}::DOUBLE * atan(ss), 0) END, 9) AS score FROM all{n} JOIN {queries} USING (query_id)),
+ f{n} AS (SELECT r.*, text, source FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc{n} WHERE score IS NOT NULL) r
+   JOIN documents ON doc_id = chunk_id WHERE rank <= 10),
+ {sql_assess(f'f{n}', queries, str(n))}"""
+
+
+@query(
+    "agentic_retrieve",
+    f"""WITH {SQL_REWRITTEN}, told AS (SELECT query_id, std AS query FROM stded), {sql_scored('told')}, {SQL_TYPED},
+ q AS (SELECT query_id, query, query_type, CASE query_type WHEN 'vector' THEN 1.0::DOUBLE WHEN 'bm25' THEN 0.0::DOUBLE ELSE 0.7::DOUBLE END AS alpha FROM typed WHERE query_type <> 'direct'),
+ {SQL_BM25}, {SQL_DENSE}, {_sql_pass(1, 'q')},
+ again AS (SELECT query_id, query, 0.7::DOUBLE AS alpha FROM q JOIN d1 USING (query_id) WHERE decision <> 'sufficient'), {_sql_pass(2, 'again')},
+ v AS (SELECT *, 1 AS attempt FROM d1 WHERE decision = 'sufficient' UNION ALL SELECT *, 2 FROM d2),
+ h AS (SELECT query_id, count(*) AS hits, max(score) AS best FROM (SELECT f1.* FROM f1 JOIN d1 USING (query_id) WHERE decision = 'sufficient' UNION ALL SELECT * FROM f2) GROUP BY 1)
+SELECT t.query_id, query_type, attempt, decision, relevance, sufficiency, hits, h.best AS best FROM typed t LEFT JOIN v USING (query_id) LEFT JOIN h USING (query_id)""",
+)
 def agentic_retrieve_q(spark: SparkSession, sf: str) -> DataFrame:
     """Every user message as a query against all documents."""
     texts = corpus_chunks(spark, sf)

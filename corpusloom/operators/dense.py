@@ -26,6 +26,7 @@ from corpusloom.session import materialize
 
 BLOCK_BYTES = 64 << 20
 CELL_ROWS = 8192
+QUERY_ROWS = 32768
 MAX_CELLS = 1024
 SCORES = 4 << 20  # cells of one score matrix in a task
 DIGITS = 6
@@ -134,13 +135,13 @@ def _visit(corpus_cells: DataFrame, sizes: DataFrame, queries: DataFrame, visits
 
     The block number of a corpus row is its hash modulo the cell's block count;
     visits are copied to every block of their cell and split themselves by hash,
-    so no group exceeds about CELL_ROWS rows on either side.
+    so no group exceeds about CELL_ROWS vectors and QUERY_ROWS queries.
     """
     load = visits.groupBy("cell").agg(F.count("*").alias("_visits"))
     plan = sizes.join(load, "cell").select(
         "cell",
         F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("c_blocks"),
-        F.ceil(F.col("_visits") / CELL_ROWS).cast("int").alias("q_blocks"),
+        F.ceil(F.col("_visits") / QUERY_ROWS).cast("int").alias("q_blocks"),
     )
     left = (
         visits.join(queries.select("query_id", "embedding"), "query_id")

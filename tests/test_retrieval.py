@@ -44,6 +44,8 @@ def test_dense_forms_are_exact(vectors, args, monkeypatch):
     import corpusloom.operators.dense as D
 
     monkeypatch.setattr(D, "CELL_ROWS", 40)  # several blocks per cell
+    monkeypatch.setattr(D, "QUERY_ROWS", 10)
+    monkeypatch.setattr(D, "SCORES", 200)
     m, queries, corpus = vectors
     assert triples(dense_search(queries, corpus, 7, **args)) == brute(m, 7, "metric" not in args)
 
