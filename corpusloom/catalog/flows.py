@@ -70,9 +70,14 @@ def _run(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", check).trigger(
-        availableNow=True
-    ).start().awaitTermination()
+    writer = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", check)
+    # a stream keeps the number of state partitions it starts with: one per slot here
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    try:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.parquet(out).drop("batch")
 
 
@@ -126,10 +131,10 @@ SELECT session_id::VARCHAR AS session_id, n AS n_messages, CASE WHEN last IS NUL
   CASE WHEN last IS NOT NULL THEN CASE WHEN concat_ws(', ', {_TOPICS}) <> '' THEN '讨论主题: ' || concat_ws(', ', {_TOPICS}) ELSE '对话包含 ' || seen || ' 条消息' END END AS summary FROM a""",
 )
 def session_memory_stream_q(spark: SparkSession, sf: str) -> DataFrame:
-    """Messages replayed in turn order, two turns a batch; the last state of each session."""
+    """Messages replayed in turn order, three turns a batch; the last state of each session."""
     m = derived_messages(spark, sf)
     path = scratch_path(spark, "messages")
-    m.withColumn("part", F.floor(F.col("turn") / 2)).repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
+    m.withColumn("part", F.floor(F.col("turn") / 3)).repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
     streams = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path).drop("part")
     states = _run(session_memory_stream(streams, threshold=3, max_history=4), "memory", "update")
     final = states.groupBy("session_id").agg(F.max_by(F.struct("n_messages", "held", "last_query", "summary"), "n_messages").alias("s"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -117,6 +119,10 @@ class SessionMemory(StatefulProcessor):
         pass
 
 
+# the runner that initialises stateful processors does not see shipped packages
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def session_memory_stream(
     messages: DataFrame,
     threshold: int = 15,
