@@ -199,6 +199,12 @@ def read_file_registry_q(spark: SparkSession, sf: str) -> DataFrame:
     return pending.select("id", "filename", "status", "size_bytes", "error_message")
 
 
+@query("documents_by_id", f"WITH {_REG} SELECT id, filename, status FROM reg WHERE event_id IN (SELECT doc_id FROM documents)")
+def documents_by_id_q(spark: SparkSession, sf: str) -> DataFrame:
+    ids = table(spark, sf, "documents").select(F.md5(F.col("doc_id").cast("string")).alias("id"))
+    return G.documents_by_id(registry_rows(spark, sf), ids).select("id", "filename", "status")
+
+
 @query(
     "upsert_registry",
     f"""WITH {_REG} SELECT id, filename, CASE WHEN event_id % 2 = 0 THEN 'indexed' ELSE status END AS status, CASE WHEN event_id % 2 = 0 THEN event_id ELSE 0 END AS chunk_count,
@@ -244,6 +250,14 @@ def write_index_q(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("count_index", f"WITH {_FIXED} SELECT source, (SELECT count(*) FROM fixed) AS rows_in_index, count(*) AS docs FROM documents GROUP BY source")
+def count_index_q(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "index")
+    W.write_index(_index_rows(spark, sf), path)
+    counts = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("docs"))
+    return counts.select("source", F.lit(W.count_index(spark, path)).alias("rows_in_index"), "docs")
+
+
 @query("drop_index", f"WITH {_FIXED} SELECT source, (SELECT count(*) FROM fixed) AS before, 0 AS after, true AS dropped, count(*) AS docs FROM documents GROUP BY source")
 def drop_index_q(spark: SparkSession, sf: str) -> DataFrame:
     """Row count before and after the collection is dropped."""
@@ -269,6 +283,14 @@ def write_training_jsonl_q(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("query", md5(F.get("pos", F.lit(0))).alias("pos_md5"), F.size("neg").alias("n_neg"), "split")
 
 
+@query("write_pairs_json", f"WITH {SQL_PAIRS} SELECT query, md5(positive) AS positive_md5, 3 AS n_negatives FROM pairs")
+def write_pairs_json_q(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "pairs")
+    W.write_pairs_json(N.add_random_negatives(_valid(spark, sf)), path)
+    back = W.read_pairs_json(spark, path)
+    return back.select("query", md5("positive").alias("positive_md5"), F.size("negatives").alias("n_negatives"))
+
+
 @query("write_metrics", f"{_PER} {_LONG}")
 def write_metrics_q(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "metrics")

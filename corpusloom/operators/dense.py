@@ -209,12 +209,15 @@ def dense_search(
     ``queries(query_id, embedding)``, ``corpus(chunk_id, embedding)``. Scores
     are rounded so that ties fall to the smaller id whatever the blocking.
     """
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    if size["n"] * (size["dim"] or 0) * 8 <= block_bytes or metric != "cosine":
-        if metric != "cosine" and size["n"] * (size["dim"] or 0) * 8 > block_bytes:
-            return _rank(_in_blocks(queries, corpus, k, metric, block_bytes, size["n"], size["dim"]), k)
+    first = queries.select(F.size("embedding").alias("dim")).first()  # one row; counting needs no vectors
+    if first is None:
+        return corpus.sparkSession.createDataFrame([], _schema(queries, corpus) + ", rank int")
+    n, dim = queries.count(), first["dim"]
+    if n * dim * 8 <= block_bytes:
         return _rank(_scan(queries, corpus, k, metric), k)
-    return _rank(_by_cells(queries, corpus, k), k)
+    if metric == "cosine":
+        return _rank(_by_cells(queries, corpus, k), k)
+    return _rank(_in_blocks(queries, corpus, k, metric, block_bytes, n, dim), k)
 
 
 def _in_blocks(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.vectors import DEFAULT_DIM, hashed_embedding, model_embedding
+from corpusloom.session import materialize
 
 Model = Callable[[], Callable[[list[str]], np.ndarray]]
 
@@ -58,16 +59,21 @@ def embed_with_cache(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows with ``embedding`` and ``cache_hit``, new cache entries).
 
-    Each distinct text is embedded once: hash, drop duplicate hashes, anti-join
-    the live entries, embed the misses. Rows get their vector back by hash; the
-    per-hash side is unique, so skew of repeated texts stays on one join side
-    and is split by the adaptive skew join.
+    Only texts without a live entry are shuffled: anti-join by hash, one text
+    per missing hash, embed it once. The new vectors are stored before both
+    results use them, so the model never runs twice. Rows get their vector back
+    by hash; that side is unique per hash, so a text that makes up a third of
+    all rows is skew on one join side only, which the adaptive join splits.
     """
     hashed = df.withColumn("text_sha256", F.sha2(F.col(text_col), 256))
     live = live_entries(cache, model_id, now, ttl_seconds).select("text_sha256", "embedding")
     live = live.dropDuplicates(["text_sha256"])
-    texts = hashed.groupBy("text_sha256").agg(F.any_value(text_col).alias(text_col))
-    fresh = embed(texts.join(live, "text_sha256", "left_anti"), text_col, **embed_args)
+    missing = hashed.select("text_sha256", text_col).join(live, "text_sha256", "left_anti")
+    texts = missing.groupBy("text_sha256").agg(F.any_value(text_col).alias(text_col))
+    embedded = embed(texts, text_col, **embed_args)
+    fresh = materialize(
+        embedded.select("text_sha256", "embedding", F.length(text_col).alias("text_len")), "embedded-misses"
+    )
     known = live.withColumn("cache_hit", F.lit(True)).unionByName(
         fresh.select("text_sha256", "embedding", F.lit(False).alias("cache_hit"))
     )
@@ -76,7 +82,7 @@ def embed_with_cache(
         F.lit(model_id).alias("model_id"),
         "text_sha256",
         "embedding",
-        F.length(text_col).alias("text_len"),
+        "text_len",
         now.cast("timestamp").alias("created_at"),
     )
     return rows, entries
