@@ -67,6 +67,31 @@ def global_position(
     )
 
 
+def hash_edge(df: DataFrame, key: Column, tie: str, position: int | None = None, ratio: float = 1.0, digits: int = 4):
+    """(key, tie) of the row at a position of the hash order, None past the end.
+
+    The position is given or is floor(rows * ratio). One aggregation counts the
+    leading-digit buckets (at most 16**digits numbers come to the driver); only
+    the bucket that holds the position is ordered. No row is shuffled for it
+    unless it is in that bucket.
+    """
+    keyed = df.select(F.col(tie).alias("_tie"), key.alias("_key")).withColumn("_bucket", F.substring("_key", 1, digits))
+    counts = sorted((r["_bucket"], r["count"]) for r in keyed.groupBy("_bucket").count().collect())
+    left = int(sum(c for _, c in counts) * ratio) if position is None else position
+    for bucket, count in counts:
+        if left < count:
+            inside = Window.partitionBy("_bucket").orderBy("_key", "_tie")
+            row = (
+                keyed.filter(F.col("_bucket") == bucket)
+                .withColumn("_n", F.row_number().over(inside))
+                .filter(F.col("_n") == left + 1)
+                .first()
+            )
+            return row["_key"], row["_tie"]
+        left -= count
+    return None
+
+
 def value_at(df: DataFrame, col: str, position: int):
     """The ``position``-th smallest value (0-based) of a unique column, None past the end.
 

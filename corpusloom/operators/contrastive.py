@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import lexicon as L
 from corpusloom.functions import text as T
-from corpusloom.functions.ranking import global_position, hash_order, top_per_group, value_at
+from corpusloom.functions.ranking import global_position, hash_edge, hash_order, top_per_group, value_at
+from corpusloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -99,34 +100,46 @@ def cap_per_source(pairs: DataFrame, n: int, order: str = "pair_id") -> DataFram
 def add_random_negatives(pairs: DataFrame, cfg: PairConfig = PairConfig()) -> DataFrame:
     """Adds ``negatives``: other pairs' positives with a different text.
 
-    Distinct passages get a position in a seeded hash order; the next ``n``
-    passages (cyclically) are the negatives. All are different by construction,
-    however often one text repeats, and the work is linear: an equi-join on the
-    position and one on the passage hash. With m distinct passages each pair
-    gets min(n, m-1) negatives.
+    Distinct passage hashes get a position in a seeded hash order; the next
+    ``n`` (cyclically) name the negatives. All texts are different by
+    construction, however often one repeats, and the work is linear: only
+    hashes are ordered, texts move once per use. With m distinct passages each
+    pair gets min(n, m-1) negatives.
     """
     keyed = pairs.withColumn("_h", F.md5("positive"))
-    passages = keyed.groupBy("_h").agg(F.any_value("positive").alias("text"))
-    placed = global_position(passages, hash_order("_h", seed=cfg.seed), ["_h"], "pos", "m")
+    hashes = materialize(keyed.select("_h").distinct(), "passage-hashes")
+    placed = materialize(
+        global_position(hashes, hash_order("_h", seed=cfg.seed), ["_h"], "pos", "m"), "passage-order"
+    )
     m = F.col("m")
     steps = F.sequence(F.lit(1), F.least(F.lit(max(1, cfg.negatives)).cast("bigint"), m - 1))
     wanted = (
         placed.filter(m > 1)
         .select("_h", "pos", "m", F.explode(steps).alias("_step"))
-        .select("_h", "_step", F.pmod(F.col("pos") + F.col("_step"), m).alias("pos"))
+        .select(F.col("_h").alias("_for"), "_step", F.pmod(F.col("pos") + F.col("_step"), m).alias("pos"))
     )
-    chosen = wanted.join(placed.select("pos", "text"), "pos").groupBy("_h").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_step", "text"))), lambda x: x["text"]).alias("negatives")
+    texts = keyed.groupBy("_h").agg(F.any_value("positive").alias("text"))
+    chosen = (
+        wanted.join(placed.select("pos", "_h"), "pos")
+        .join(texts, "_h")
+        .groupBy(F.col("_for").alias("_h"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_step", "text"))), lambda x: x["text"]).alias("negatives"))
     )
     none = F.array().cast("array<string>")
     return keyed.join(chosen, "_h", "left").withColumn("negatives", F.coalesce("negatives", none)).drop("_h")
 
 
 def shuffle_split(pairs: DataFrame, ratio: float, seed: int = 42, id_col: str = "pair_id") -> DataFrame:
-    """Adds ``split`` ('train'/'val'): exactly floor(N * ratio) rows train, in hash order."""
-    placed = global_position(pairs, hash_order(id_col, seed=seed), [id_col], "_pos", "_n")
-    cut = F.floor(F.col("_n") * F.lit(ratio))
-    return placed.withColumn("split", F.when(F.col("_pos") < cut, "train").otherwise("val")).drop("_pos", "_n")
+    """Adds ``split`` ('train'/'val'): exactly floor(N * ratio) rows train, in hash order.
+
+    The row at the cut is looked up, then every row is compared with it in place.
+    """
+    key = hash_order(id_col, seed=seed)
+    edge = hash_edge(pairs, key, id_col, ratio=ratio)
+    if edge is None:
+        return pairs.withColumn("split", F.lit("train"))
+    before = (key < edge[0]) | ((key == edge[0]) & (F.col(id_col) < F.lit(edge[1])))
+    return pairs.withColumn("split", F.when(before, "train").otherwise("val"))
 
 
 def ordered_split(pairs: DataFrame, ratio: float, id_col: str = "pair_id") -> DataFrame:
@@ -150,7 +163,10 @@ def build_all(sources: dict[str, DataFrame], cfg: PairConfig = PairConfig()) ->
         )
         union = part if union is None else union.unionByName(part)
     capped = cap_per_source(union, cfg.per_source)
-    full = add_random_negatives(capped, cfg) if cfg.negatives > 0 else capped.withColumn("negatives", F.array().cast("array<string>"))
+    if cfg.negatives > 0:
+        full = add_random_negatives(materialize(capped, "pairs"), cfg)  # read three times
+    else:
+        full = capped.withColumn("negatives", F.array().cast("array<string>"))
     return full.withColumn("shuffle_key", hash_order("pair_id", seed=cfg.seed))
 
 

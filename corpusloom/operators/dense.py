@@ -192,12 +192,8 @@ def _by_cells(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     )
     # no member of a cell is closer than the query's angle less the cell radius
     best = F.cos(F.greatest(F.lit(0.0), F.col("angle") - F.col("radius")))
-    rest = (
-        staged.filter("not _first")
-        .join(floor, "query_id")
-        .filter(best >= F.col("floor") - 1e-6)
-        .select("query_id", "cell")
-    )
+    open_cells = staged.filter("not _first").join(floor, "query_id").filter(best >= F.col("floor") - 1e-6)
+    rest = materialize(open_cells.select("query_id", "cell"), "dense-rest")
     return first.unionByName(_visit(cells, sizes, queries, rest, k))
 
 
@@ -236,5 +232,6 @@ def _in_blocks(
 def dense_search_approx(queries: DataFrame, corpus: DataFrame, k: int = 20, n_probe: int = 8) -> DataFrame:
     """Approximate form: only the ``n_probe`` nearest cells of each query are visited."""
     cells, sizes, reach = _celled(corpus, queries)
-    visits = top_per_group(reach, ["query_id"], [F.asc("angle"), F.asc("cell")], n_probe)
-    return _rank(_visit(cells, sizes, queries, visits.select("query_id", "cell"), k), k)
+    near = top_per_group(reach, ["query_id"], [F.asc("angle"), F.asc("cell")], n_probe)
+    visits = materialize(near.select("query_id", "cell"), "dense-visits")
+    return _rank(_visit(cells, sizes, queries, visits, k), k)

@@ -1,8 +1,10 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions.ranking import global_position, hash_order, top_per_group, value_at
+from corpusloom.functions.ranking import global_position, hash_edge, hash_order, top_per_group, value_at
 from corpusloom.operators import contrastive as N
 from corpusloom.operators import hits as H
 from corpusloom.operators import ranking_metrics as M
@@ -123,6 +125,12 @@ def test_salted_top_and_positions(spark):
     placed = global_position(df, hash_order("id", seed=1), ["id"]).select("pos", "total").collect()
     assert sorted(r.pos for r in placed) == list(range(1000)) and {r.total for r in placed} == {1000}
     assert value_at(df, "id", 123) == 123 and value_at(df, "id", 1000) is None
+    order = sorted(range(1000), key=lambda i: hashlib.md5(f"{i}|1".encode()).hexdigest())
+    key = hash_order("id", seed=1)
+    assert hash_edge(df, key, "id", 700, digits=2)[1] == order[700] and hash_edge(df, key, "id", 1000) is None
+    split = N.shuffle_split(df, 0.25, seed=1, id_col="id").filter("split = 'train'").collect()
+    assert {r.id for r in split} == set(order[:250])
+    assert N.shuffle_split(df, 1.0, id_col="id").filter("split = 'val'").count() == 0
 
 
 def test_negatives_with_a_hot_text(spark):
