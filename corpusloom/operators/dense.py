@@ -14,11 +14,12 @@ each query's best k of the block):
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.ranking import top_per_group
@@ -118,40 +119,71 @@ def assign_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.withColumn("_at", nearest("embedding")).select("*", "_at.cell", "_at.angle").drop("_at")
 
 
-def pivot_angles(queries: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """query_id, cell, angle for every pivot (at most MAX_CELLS rows a query)."""
-    shared = queries.sparkSession.sparkContext.broadcast(pivots)
+@dataclass(frozen=True)
+class Cells:
+    """A corpus by cell: the rows, and the at most MAX_CELLS pivots with sizes and radii."""
 
-    @F.pandas_udf("array<double>")
-    def angles(vectors: pd.Series) -> pd.Series:
-        cos = np.clip(_matrix(vectors, "cosine") @ shared.value.T, -1.0, 1.0)
-        return pd.Series(list(np.arccos(cos)))
+    rows: DataFrame  # chunk_id, embedding, cell, angle
+    pivots: np.ndarray
+    sizes: np.ndarray
+    radii: np.ndarray
+
+
+def build_cells(corpus: DataFrame) -> Cells:
+    pivots = pick_pivots(corpus, corpus.count())
+    rows = materialize(assign_cells(corpus.select("chunk_id", "embedding"), pivots), "dense-cells")
+    sizes, radii = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots))
+    for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect():
+        sizes[r["cell"]], radii[r["cell"]] = r["n"], r["radius"]
+    return Cells(rows, pivots, sizes, radii)
+
+
+def _nearest(angles: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Mask of each row's nearest cells that together hold ``k`` vectors."""
+    order = np.argsort(angles, axis=1, kind="stable")
+    counts = sizes[order]
+    before = np.cumsum(counts, axis=1) - counts
+    mask = np.zeros(angles.shape, dtype=bool)
+    np.put_along_axis(mask, order, (before < k) & (counts > 0), axis=1)
+    return mask
 
-    return queries.select("query_id", F.posexplode(angles("embedding")).alias("cell", "angle"))
 
+def _route(queries: DataFrame, cells: Cells, choose: Callable[..., np.ndarray], *more: str) -> DataFrame:
+    """queries with ``cells``, the numbers of the cells that ``choose`` marks for each row."""
+    shared = queries.sparkSession.sparkContext.broadcast((cells.pivots, cells.sizes, cells.radii))
 
-def _visit(corpus_cells: DataFrame, sizes: DataFrame, queries: DataFrame, visits: DataFrame, k: int) -> DataFrame:
-    """Top k per query within each visited cell, block by block.
+    @F.pandas_udf("array<int>")
+    def pick(vectors: pd.Series, *columns: pd.Series) -> pd.Series:
+        pivots, sizes, radii = shared.value
+        angles = np.arccos(np.clip(_matrix(vectors, "cosine") @ pivots.T, -1.0, 1.0))
+        mask = choose(angles, sizes, radii, *columns)
+        return pd.Series([np.flatnonzero(row).astype(np.int32) for row in mask])
+
+    return queries.withColumn("cells", pick.asNondeterministic()("embedding", *more))
+
+
+def _visit(cells: Cells, routed: DataFrame, k: int) -> DataFrame:
+    """Top k per query within each of its cells, block by block.
 
     The block number of a corpus row is its hash modulo the cell's block count;
-    visits are copied to every block of their cell and split themselves by hash,
-    so no group exceeds about CELL_ROWS vectors and QUERY_ROWS queries.
+    queries are copied to every block of their cells and split themselves by
+    hash, so no group exceeds about CELL_ROWS vectors and QUERY_ROWS queries.
     """
-    load = visits.groupBy("cell").agg(F.count("*").alias("_visits"))
-    plan = sizes.join(load, "cell").select(
-        "cell",
-        F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("c_blocks"),
-        F.ceil(F.col("_visits") / QUERY_ROWS).cast("int").alias("q_blocks"),
-    )
+    spark = routed.sparkSession
+    load = routed.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()
+    blocks = [
+        (r["cell"], max(1, -(-int(cells.sizes[r["cell"]]) // CELL_ROWS)), -(-r["count"] // QUERY_ROWS)) for r in load
+    ]
+    plan = F.broadcast(spark.createDataFrame(blocks, "cell int, c_blocks int, q_blocks int"))  # MAX_CELLS rows at most
     left = (
-        visits.join(queries.select("query_id", "embedding"), "query_id")
+        routed.select("query_id", "embedding", F.explode("cells").alias("cell"))
         .join(plan, "cell")
         .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int"))
         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)))
         .select("cell", "cb", "qb", "query_id", "embedding")
     )
     right = (
-        corpus_cells.join(plan, "cell")
+        cells.rows.join(plan, "cell")
         .withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.col("c_blocks")).cast("int"))
         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
         .select("cell", "cb", "qb", "chunk_id", "embedding")
@@ -166,35 +198,32 @@ def _visit(corpus_cells: DataFrame, sizes: DataFrame, queries: DataFrame, visits
         )
 
     keys = ["cell", "cb", "qb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, _schema(queries, corpus_cells))
-
-
-def _celled(corpus: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    n_rows = corpus.count()
-    pivots = pick_pivots(corpus, n_rows)
-    cells = materialize(assign_cells(corpus.select("chunk_id", "embedding"), pivots), "dense-cells")
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
-    reach = pivot_angles(queries, pivots).join(sizes, "cell")
-    return cells, sizes, reach
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, _schema(routed, cells.rows))
 
 
 def _by_cells(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    cells, sizes, reach = _celled(corpus, queries)
-    near = Window.partitionBy("query_id").orderBy("angle", "cell")
-    before = F.coalesce(F.sum("n").over(near.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    staged = materialize(reach.withColumn("_first", before < k), "dense-reach")
-
-    first = materialize(_visit(cells, sizes, queries, staged.filter("_first").select("query_id", "cell"), k), "dense-first")
+    """Exact: the nearest cells give a floor, then every cell that can still beat it is visited."""
+    cells = build_cells(corpus)
+    near = _route(
+        queries.select("query_id", "embedding"), cells, lambda angles, sizes, radii: _nearest(angles, sizes, k)
+    )
+    near = materialize(near, "dense-near")
+    first = materialize(_visit(cells, near, k), "dense-first")
     floor = (
         _rank(first, k)
         .groupBy("query_id")
         .agg(F.when(F.count("*") == k, F.min("score")).otherwise(-2.0).alias("floor"))
     )
-    # no member of a cell is closer than the query's angle less the cell radius
-    best = F.cos(F.greatest(F.lit(0.0), F.col("angle") - F.col("radius")))
-    open_cells = staged.filter("not _first").join(floor, "query_id").filter(best >= F.col("floor") - 1e-6)
-    rest = materialize(open_cells.select("query_id", "cell"), "dense-rest")
-    return first.unionByName(_visit(cells, sizes, queries, rest, k))
+
+    def still_open(angles: np.ndarray, sizes: np.ndarray, radii: np.ndarray, floors: pd.Series) -> np.ndarray:
+        # no member of a cell is closer than the query's angle less the cell radius
+        best = np.cos(np.maximum(0.0, angles - radii))
+        wanted = best >= floors.to_numpy()[:, None] - 1e-6
+        return wanted & (sizes > 0) & ~_nearest(angles, sizes, k)
+
+    judged = near.select("query_id", "embedding").join(floor, "query_id")
+    rest = materialize(_route(judged, cells, still_open, "floor"), "dense-rest")
+    return first.unionByName(_visit(cells, rest, k))
 
 
 def dense_search(
@@ -231,7 +260,10 @@ def _in_blocks(
 
 def dense_search_approx(queries: DataFrame, corpus: DataFrame, k: int = 20, n_probe: int = 8) -> DataFrame:
     """Approximate form: only the ``n_probe`` nearest cells of each query are visited."""
-    cells, sizes, reach = _celled(corpus, queries)
-    near = top_per_group(reach, ["query_id"], [F.asc("angle"), F.asc("cell")], n_probe)
-    visits = materialize(near.select("query_id", "cell"), "dense-visits")
-    return _rank(_visit(cells, sizes, queries, visits, k), k)
+    cells = build_cells(corpus)
+
+    def probe(angles: np.ndarray, sizes: np.ndarray, radii: np.ndarray) -> np.ndarray:
+        return _nearest(angles, np.minimum(sizes, 1), n_probe)  # a cell counts once
+
+    routed = materialize(_route(queries.select("query_id", "embedding"), cells, probe), "dense-visits")
+    return _rank(_visit(cells, routed, k), k)
