@@ -47,7 +47,8 @@ def citation_accuracy(answer: Column, n_documents: Column, threshold: float = 0.
 
     def judge(c: Column) -> Column:
         def valid(x: Column) -> Column:
-            return (x.cast("decimal(38,0)") >= 1) & (x.cast("decimal(38,0)") <= n_documents)
+            number = x.try_cast("decimal(38,0)")  # a longer number is no document either
+            return F.coalesce((number >= 1) & (number <= n_documents), F.lit(False))
 
         ok = F.size(F.filter(c, valid))
         share = F.when(F.size(c) == 0, NEUTRAL).otherwise(ok / F.size(c))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.functions.ranking import hash_order
 
 METRICS = ["mrr", "recall", "ndcg"]
@@ -174,7 +175,7 @@ def context_hit_rate(items: DataFrame, hits: DataFrame) -> DataFrame:
     hit when one of the option's first three words, longer than 3 characters,
     occurs in a retrieved text; options of at most 5 characters never count.
     """
-    words = F.filter(F.slice(F.split(F.trim("option_text"), r"\s+"), 1, 3), lambda w: F.length(w) > 3)
+    words = F.filter(F.slice(F.split(T.strip(F.col("option_text")), r"(?U)\s+"), 1, 3), lambda w: F.length(w) > 3)
     keyed = items.select(
         "query_id",
         F.when(F.length("option_text") > 5, words).otherwise(F.array().cast("array<string>")).alias("_w"),

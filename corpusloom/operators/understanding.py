@@ -22,7 +22,7 @@ def _any(c: Column, words: list[str]) -> Column:
 
 
 def _any_pattern(c: Column, patterns: list[str]) -> Column:
-    return c.rlike("|".join(f"(?:{p})" for p in patterns))
+    return c.rlike("(?d)" + "|".join(f"(?:{p})" for p in patterns))  # dots stop at newlines only
 
 
 def exact_match_score(q: Column) -> Column:
@@ -88,7 +88,7 @@ def topic_of(q: Column, terms: dict[str, list[str]] | None = None) -> Column:
     """What a query is about: the words before the first "的" rule, else a known term."""
     names = F.array(*[F.lit(t) for t in (terms or L.TERM_SYNONYMS)])
     named = F.get(F.filter(names, lambda t: F.contains(q, t)), F.lit(0))
-    lead = F.get(F.regexp_extract_all(q, F.lit("^(.{2,10})的"), F.lit(1)), F.lit(0))
+    lead = F.get(F.regexp_extract_all(q, F.lit("(?d)^(.{2,10})的"), F.lit(1)), F.lit(0))
     return F.coalesce(lead, named)
 
 

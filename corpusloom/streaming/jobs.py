@@ -38,10 +38,14 @@ def ingest_stream(
     strategy: str = "markdown",
     cfg: ChunkConfig | None = None,
     on_batch: Callable[[DataFrame, int], None] | None = None,
+    trigger: dict[str, Any] | None = None,
     **embed_args: Any,
 ):
     """Index arriving documents; returns the started query.
 
+    ``on_batch(outcome, batch_id)`` can update the file registry; ``trigger``
+    are the arguments of the writer's trigger (default: all that is available).
+
     Each micro-batch writes its own ``batch=<id>`` folder with overwrite, so a
     replay after a failure replaces the same folder: the result is exactly once.
     """
@@ -53,7 +57,8 @@ def ingest_stream(
         if on_batch:
             on_batch(outcome, batch_id)
 
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
