@@ -5,15 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontamination, sharding, url_filter, warc
+import public_tokenizers
+
+from corpusloom.llm import byte_bpe, decontamination, language_id, near_duplicates, sharding, token_output, url_filter, warc
 from corpusloom.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id.identify(table(spark, sf, "documents"))
+
+
+@query("op2_chosen_path_join")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.near_duplicate_components(table(spark, sf, "documents"), near_duplicates.JoinSettings(words=2))
+
+
 @query("op3_minimax_sharding")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf, "documents"))
 
 
+@query("op4_token_files")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return token_output.token_round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_FOLD.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -75,6 +92,13 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf, "pages"), rules)
 
 
+@query("op7_byte_bpe_transducer")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return byte_bpe.encode_digests(
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
 @query(
     "op9_warc_transactions",
     """
