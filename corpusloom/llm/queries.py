@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpusloom.llm import byte_bpe, decontamination, language_id, near_duplicates, sharding, token_output, url_filter, warc
+from corpusloom.llm import byte_bpe, decontamination, embedding_dedup, language_id, near_duplicates, sharding, token_output, url_filter, warc
 from corpusloom.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -111,3 +111,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf, "pages"))
+
+
+@query("op8_itq_hamming")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf, "embeddings"))
