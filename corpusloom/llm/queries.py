@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpusloom.llm import byte_bpe, decontamination, embedding_dedup, language_id, near_duplicates, sharding, token_output, url_filter, warc
+from corpusloom.llm import byte_bpe, decontamination, embedding_dedup, language_id, near_duplicates, sharding, suffix_dedup, token_output, url_filter, warc
 from corpusloom.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -116,3 +116,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_itq_hamming")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op10_suffix_merge")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, sf, "documents"))
