@@ -34,29 +34,31 @@ ROUNDS = 30
 SLACK = 1e-6
 
 
-def learn_rotation(sample: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection): iterative quantisation of unit rows; short vectors get several rotations side by side."""
+def learn_rotation(sample: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
+    """Projection whose signs are the code; short vectors get several rotations side by side.
+
+    The rows are unit vectors and are not centred: two vectors then differ in a
+    bit with a chance set by their angle alone, however narrow their cone is.
+    """
     rng = np.random.default_rng(seed)
     width = sample.shape[1]
-    mean = sample.mean(axis=0)
-    centred = sample - mean
-    _, directions = np.linalg.eigh(centred.T @ centred)
+    _, directions = np.linalg.eigh(sample.T @ sample)
     blocks, left = [], bits
     while left > 0:
         take = min(width, left)
         basis = directions[:, ::-1][:, :take]
-        seen = centred @ basis
+        seen = sample @ basis
         rotation = np.linalg.qr(rng.normal(size=(take, take)))[0]
         for _ in range(rounds):
             u, _, v = np.linalg.svd(np.sign(seen @ rotation).T @ seen)
             rotation = (u @ v).T
         blocks.append(basis @ rotation)
         left -= take
-    return mean, np.hstack(blocks)
+    return np.hstack(blocks)
 
 
-def codes_of(units: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    bits = ((units - model[0]) @ model[1]) > 0
+def codes_of(units: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    bits = units @ projection > 0
     return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
 
 
