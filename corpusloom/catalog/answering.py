@@ -56,14 +56,14 @@ _HEAD = "'[文献' || rank || '] 来源: ' || source || ' (相关度: ' || print
 @query(
     "format_context",
     f"""WITH {SQL_BENCH}, {SQL_BM25}, {SQL_HITS},
- p AS (SELECT query_id, rank, {_HEAD} AS head, {sql_ellipsis('text', '900')} AS body FROM hits),
- r AS (SELECT *, 5000 - coalesce(sum(length(head) + length(body) + 7) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM p),
+ p AS (SELECT query_id, rank, {_HEAD} AS head, {sql_ellipsis('text', '2000')} AS body FROM hits),
+ r AS (SELECT *, 12000 - coalesce(sum(length(head) + length(body) + 7) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM p),
  k AS (SELECT query_id, rank, head, CASE WHEN length(head) + length(body) <= room THEN body ELSE {sql_ellipsis('body', '(room - length(head))::BIGINT')} END AS body
    FROM r WHERE room > 0 AND (length(head) + length(body) <= room OR room > length(head)))
 SELECT query_id, md5(string_agg(head || body, {sql_str(L.PART_SEPARATOR)} ORDER BY rank)) AS context_md5, count(*) AS n_docs FROM k GROUP BY query_id""",
 )
 def format_context_q(spark: SparkSession, sf: str) -> DataFrame:
-    out = format_context(bench_hits(spark, sf), 5000, 900)
+    out = format_context(bench_hits(spark, sf))
     return out.select("query_id", md5("context").alias("context_md5"), "n_docs")
 
 
@@ -373,8 +373,8 @@ def sql_assess(hits: str, queries: str, tag: str = "") -> str:
    max(CASE WHEN rank <= 3 THEN cov END) AS cov, count(*) FILTER (score > 0.5::DOUBLE) AS nrel, sum(CASE WHEN rank <= 5 THEN length(text) END)::DOUBLE AS chars,
    count(DISTINCT CASE WHEN rank <= 5 AND source <> '' THEN source END) AS srcs, list_sort(list(rank - 1) FILTER (score >= 0.5::DOUBLE)) AS good FROM cv{tag} GROUP BY 1),
  a{tag} AS (SELECT q.query_id, coalesce(n, 0) AS n,
-   round(CASE WHEN n > 0 THEN least(0.5::DOUBLE * wavg + 0.3::DOUBLE * high + 0.2::DOUBLE * cov, 1) ELSE 0 END, 6) AS relevance,
-   round(CASE WHEN n > 0 THEN 0.4::DOUBLE * least(nrel / 2.0::DOUBLE, 1) + 0.4::DOUBLE * least(chars / 1000, 1) + 0.2::DOUBLE * least(srcs / 3.0::DOUBLE, 1) ELSE 0 END, 6) AS sufficiency,
+   CASE WHEN n > 0 THEN least(0.5::DOUBLE * wavg + 0.3::DOUBLE * high + 0.2::DOUBLE * cov, 1) ELSE 0 END AS relevance,
+   CASE WHEN n > 0 THEN 0.4::DOUBLE * least(nrel / 2.0::DOUBLE, 1) + 0.4::DOUBLE * least(chars / 1000, 1) + 0.2::DOUBLE * least(srcs / 3.0::DOUBLE, 1) ELSE 0 END AS sufficiency,
    CASE WHEN n IS NULL THEN [] WHEN len(coalesce(good, [])) < 3 THEN list_sort(list_distinct(list_concat(coalesce(good, []), range(0, least(n, 3))))) ELSE good END AS best
    FROM {queries} q LEFT JOIN g{tag} USING (query_id)),
  d{tag} AS (SELECT *, CASE WHEN n = 0 THEN 'insufficient' WHEN relevance >= 0.7::DOUBLE AND sufficiency >= 0.5::DOUBLE THEN 'sufficient'
@@ -388,14 +388,14 @@ def _assessed(spark: SparkSession, sf: str) -> DataFrame:
     return assess(benchmark_queries(spark, sf), bench_hits(spark, sf).filter("query_id % 9 <> 0"))
 
 
-@query("evaluate_relevance", f"WITH {_ASSESS} SELECT query_id, relevance FROM a")
+@query("evaluate_relevance", f"WITH {_ASSESS} SELECT query_id, round(relevance, 6) AS relevance FROM a")
 def evaluate_relevance_q(spark: SparkSession, sf: str) -> DataFrame:
-    return _assessed(spark, sf).select("query_id", "relevance")
+    return _assessed(spark, sf).select("query_id", F.round("relevance", 6).alias("relevance"))
 
 
-@query("evaluate_sufficiency", f"WITH {_ASSESS} SELECT query_id, sufficiency FROM a")
+@query("evaluate_sufficiency", f"WITH {_ASSESS} SELECT query_id, round(sufficiency, 6) AS sufficiency FROM a")
 def evaluate_sufficiency_q(spark: SparkSession, sf: str) -> DataFrame:
-    return _assessed(spark, sf).select("query_id", "sufficiency")
+    return _assessed(spark, sf).select("query_id", F.round("sufficiency", 6).alias("sufficiency"))
 
 
 @query("best_docs", f"WITH {_ASSESS} SELECT query_id, array_to_string(best[1:5], '|') AS best_docs FROM a")

@@ -143,14 +143,14 @@ def choice_items(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(
         i.alias("query_id"), F.when(i % 7 != 0, F.get(F.array(*[F.lit(n) for n in L.MIRAGE_DATASETS]), (i % 5).cast("int"))).alias("dataset"),
         options.alias("options"), letter.alias("answer"),
-        F.when(i % 6 == 0, None).when(i % 3 == 0, F.concat(F.lit("("), letter, F.lit(")"))).otherwise(F.left("text", F.lit(12))).alias("response"),
+        F.when(i % 6 == 0, None).when(i % 3 == 0, F.concat(F.lit("("), letter, F.lit(")"))).otherwise(F.col("text")).alias("response"),
         F.concat(F.col("lang"), F.lit(" "), word).alias("option_text"),
     )
 
 
 _SETS = "[" + ", ".join(f"'{n}'" for n in L.MIRAGE_DATASETS) + "]"
 _CHOICE = f"""ch AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 7 <> 0 THEN {_SETS}[doc_id % 5 + 1] ELSE 'unknown' END AS dataset, ['A','B','C','D'][doc_id % 4 + 1] AS answer,
-   coalesce(CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN '(' || ['A','B','C','D'][doc_id % 4 + 1] || ')' ELSE substr(text, 1, 12) END, '') AS response FROM documents)"""
+   coalesce(CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN '(' || ['A','B','C','D'][doc_id % 4 + 1] || ')' ELSE text END, '') AS response FROM documents)"""
 
 
 @query(

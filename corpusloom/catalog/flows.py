@@ -38,7 +38,7 @@ def _sql_pass(n: int, queries: str) -> str:
  again AS (SELECT query_id, query, 0.7::DOUBLE AS alpha FROM q JOIN d1 USING (query_id) WHERE decision <> 'sufficient'), {_sql_pass(2, 'again')},
  v AS (SELECT *, 1 AS attempt FROM d1 WHERE decision = 'sufficient' UNION ALL SELECT *, 2 FROM d2),
  h AS (SELECT query_id, count(*) AS hits, max(score) AS best FROM (SELECT f1.* FROM f1 JOIN d1 USING (query_id) WHERE decision = 'sufficient' UNION ALL SELECT * FROM f2) GROUP BY 1)
-SELECT t.query_id, query_type, attempt, decision, relevance, sufficiency, hits, h.best AS best FROM typed t LEFT JOIN v USING (query_id) LEFT JOIN h USING (query_id)""",
+SELECT t.query_id, query_type, attempt, decision, round(relevance, 6) AS relevance, round(sufficiency, 6) AS sufficiency, hits, h.best AS best FROM typed t LEFT JOIN v USING (query_id) LEFT JOIN h USING (query_id)""",
 )
 def agentic_retrieve_q(spark: SparkSession, sf: str) -> DataFrame:
     """Every user message as a query against all documents."""
@@ -47,7 +47,8 @@ def agentic_retrieve_q(spark: SparkSession, sf: str) -> DataFrame:
     hits, verdicts = agentic_retrieve(derived_queries(spark, sf), document_index(spark, sf), corpus, texts)
     found = hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
     return verdicts.join(found, "query_id", "left").select(
-        "query_id", "query_type", "attempt", "decision", "relevance", "sufficiency", "hits", "best"
+        "query_id", "query_type", "attempt", "decision", F.round("relevance", 6).alias("relevance"),
+        F.round("sufficiency", 6).alias("sufficiency"), "hits", "best"
     )
 
 

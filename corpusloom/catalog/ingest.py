@@ -177,10 +177,12 @@ def chunk_q(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 
-_TRUNC = f"""CASE WHEN length(text) > 800 THEN substr(text, 1, 400) || {sql_str(L.OMITTED_MIDDLE)} || substr(text, length(text) - 399) ELSE text END"""
+def _sql_truncated(tokens: int) -> str:
+    half = 2 * tokens
+    return f"""CASE WHEN length(text) > {4 * tokens} THEN substr(text, 1, {half}) || {sql_str(L.OMITTED_MIDDLE)} || substr(text, length(text) - {half - 1}) ELSE text END"""
 
 
-@query("truncate_document", f"SELECT doc_id, md5({_TRUNC}) AS text_md5 FROM documents")
+@query("truncate_document", f"SELECT doc_id, md5({_sql_truncated(200)}) AS text_md5 FROM documents")
 def truncate_document_q(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", md5(truncate_document(F.col("text"), 200)).alias("text_md5"))
 
@@ -191,13 +193,13 @@ def _fixed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "build_context_prompts",
-    f"""WITH {_FIXED}, d AS (SELECT doc_id, {_TRUNC} AS doc FROM documents)
+    f"""WITH {_FIXED}, d AS (SELECT doc_id, {_sql_truncated(6000)} AS doc FROM documents)
 SELECT doc_id, chunk_index, md5({sql_str(L.COMPACT_SYSTEM_PROMPT)}) AS system_md5,
   md5(replace(replace({sql_str(L.CONTEXT_PROMPTS['compact'])}, '{{chunk}}', text), '{{document}}', doc)) AS prompt_md5
 FROM fixed JOIN d USING (doc_id)""",
 )
 def build_context_prompts_q(spark: SparkSession, sf: str) -> DataFrame:
-    p = build_context_prompts(table(spark, sf, "documents"), _fixed(spark, sf), "qwen3-8b", 200)
+    p = build_context_prompts(table(spark, sf, "documents"), _fixed(spark, sf), "qwen3-8b")
     return p.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), md5("system_prompt").alias("system_md5"), md5("prompt").alias("prompt_md5"))
 
 

@@ -239,11 +239,11 @@ def filter_with_relaxation_q(spark: SparkSession, sf: str) -> DataFrame:
     return H.filter_with_relaxation(vector_hits(spark, sf)).select("query_id", "chunk_id", "score")
 
 
-# articles stand for the documents of the same source as the query's number
+# four documents in a row stand for the articles of one query
 def query_articles(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     return d.select(
-        (F.col("doc_id") % 40).alias("query_id"),
+        F.floor(F.col("doc_id") / 4).alias("query_id"),
         F.col("doc_id").alias("article_rank"),
         F.col("doc_id").alias("pmid"),
         F.concat(F.lit("Article "), F.col("source")).alias("title"),
@@ -254,8 +254,8 @@ def query_articles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "add_external_hits",
-    f"""WITH {SQL_VECTORS}, own AS (SELECT query_id, 'vec ' || chunk_id AS source, '' AS text, score, rank FROM knn WHERE rank <= 5 AND query_id < 40),
- art AS (SELECT * FROM (SELECT doc_id % 40 AS query_id, doc_id, text, source, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) AS place FROM documents) WHERE place <= 5),
+    f"""WITH {SQL_VECTORS}, own AS (SELECT query_id, 'vec ' || chunk_id AS source, '' AS text, score, rank FROM knn),
+ art AS (SELECT * FROM (SELECT doc_id // 4 AS query_id, doc_id, text, source, row_number() OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) AS place FROM documents) WHERE place <= 5),
  ext AS (SELECT query_id, 'PubMed: ' || doc_id AS source, 'Article ' || source || chr(10) || chr(10) || text AS text, 0.8::DOUBLE AS score,
    row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank,
    CASE WHEN doc_id % 5 + 1 > 3 THEN 'A1, A2, A3...' ELSE array_to_string(list_transform(range(1, doc_id % 5 + 2), lambda i: 'A' || i), ', ') END AS authors
@@ -265,7 +265,7 @@ UNION ALL SELECT e.query_id, e.source, md5(e.text), e.score, e.rank + coalesce(o
 FROM ext e LEFT JOIN (SELECT query_id, max(rank) AS m FROM own GROUP BY 1) o USING (query_id)""",
 )
 def add_external_hits_q(spark: SparkSession, sf: str) -> DataFrame:
-    own = vector_hits(spark, sf).filter("rank <= 5 and query_id < 40").select(
+    own = vector_hits(spark, sf).select(
         "query_id", F.concat(F.lit("vec "), F.col("chunk_id").cast("string")).alias("source"), F.lit("").alias("text"), "score", "rank"
     )
     external = H.article_hits(query_articles(spark, sf), 10).withColumn("rank", F.col("rank").cast("bigint")).drop("pmid")

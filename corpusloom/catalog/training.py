@@ -42,7 +42,7 @@ def pairs_from_pubmedqa_q(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "pairs_from_medqa",
-    """WITH m AS (SELECT doc_id, substr(text, 1, 450) AS q, 'a ' || lang AS oa, 'b ' || source AS ob FROM documents),
+    """WITH m AS (SELECT doc_id, text AS q, 'a ' || lang AS oa, 'b ' || source AS ob FROM documents),
  p AS (SELECT doc_id, q || ' A: ' || oa || ' B: ' || ob AS query, CASE doc_id % 3 WHEN 0 THEN q || ' 答案是: ' || oa WHEN 1 THEN q || ' 答案是: ' || ob ELSE q END AS positive FROM m)
 SELECT doc_id AS pair_id, md5(substr(query, 1, 500)) AS query_md5, md5(positive) AS positive_md5 FROM p WHERE length(query) >= 10 AND length(positive) >= 50""",
 )
@@ -53,7 +53,7 @@ def pairs_from_medqa_q(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit("B").alias("key"), F.concat(F.lit("b "), "source").alias("value")),
     )
     items = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("pair_id"), F.left("text", F.lit(450)).alias("question"), options.alias("options"),
+        F.col("doc_id").alias("pair_id"), F.col("text").alias("question"), options.alias("options"),
         F.when(i == 0, "A").when(i == 1, "B").otherwise("Z").alias("answer_idx"),
     )
     return N.pairs_from_medqa(items).select("pair_id", md5("query").alias("query_md5"), md5("positive").alias("positive_md5"))
@@ -131,16 +131,15 @@ def ordered_split_q(spark: SparkSession, sf: str) -> DataFrame:
 
 _ALL = f"""{SQL_PAIRS}, mc AS (SELECT doc_id, substr(text, 1, 30) AS q, text AS e FROM documents WHERE doc_id % 4 <> 0),
  u AS (SELECT 'local' AS source, 'local:' || pair_id AS pair_id, query, positive FROM pairs
-   UNION ALL SELECT 'medmcqa', 'medmcqa:' || doc_id, q, substr(e, 1, 2000) FROM mc WHERE length(q) >= 10 AND length(e) >= 50),
- c AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pair_id) AS r FROM u) WHERE r <= 300)"""
+   UNION ALL SELECT 'medmcqa', 'medmcqa:' || doc_id, q, substr(e, 1, 2000) FROM mc WHERE length(q) >= 10 AND length(e) >= 50)"""
 
 
 @query(
     "build_all",
-    f"""WITH {_ALL}, h AS (SELECT positive, md5(positive) AS h FROM (SELECT DISTINCT positive FROM c)),
+    f"""WITH {_ALL}, h AS (SELECT positive, md5(positive) AS h FROM (SELECT DISTINCT positive FROM u)),
  o AS (SELECT positive, row_number() OVER (ORDER BY md5(h || '|42'), h) - 1 AS pos, count(*) OVER () AS m FROM h),
  w AS (SELECT a.positive, string_agg(b.positive, '|' ORDER BY s) AS negs FROM o a CROSS JOIN range(1, 4) g(s) JOIN o b ON b.pos = (a.pos + s) % a.m GROUP BY 1)
-SELECT source, pair_id, query, md5(positive) AS positive_md5, md5(negs) AS negatives_md5, md5(pair_id || '|42') AS shuffle_key FROM c JOIN w USING (positive)""",
+SELECT source, pair_id, query, md5(positive) AS positive_md5, md5(negs) AS negatives_md5, md5(pair_id || '|42') AS shuffle_key FROM u JOIN w USING (positive)""",
 )
 def build_all_q(spark: SparkSession, sf: str) -> DataFrame:
     explained = table(spark, sf, "documents").select(
@@ -148,7 +147,7 @@ def build_all_q(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("doc_id") % 4 != 0, F.col("text")).alias("explanation"),
     )
     sources = {"local": _valid(spark, sf), "medmcqa": N.pairs_from_medmcqa(explained)}
-    b = N.build_all(sources, N.PairConfig(per_source=300))
+    b = N.build_all(sources)
     return b.select(
         "source", "pair_id", "query", md5("positive").alias("positive_md5"),
         md5(F.array_join("negatives", "|")).alias("negatives_md5"), "shuffle_key",

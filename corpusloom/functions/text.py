@@ -18,9 +18,19 @@ HEADING_LINE = r"(?md)^(#{1,6})(?U:\s+)(.+)$"
 TOKEN_PATTERN = rf"(?U)[{CJK}]+|[^{TOKEN_SEPARATORS}{CJK}]+"
 # a CJK character with a successor gives a pair; the last one of a run goes
 CJK_PAIRS = rf"([{CJK}])(?=([{CJK}]))|(?<=[{CJK}])[{CJK}](?![{CJK}])"
-MARK = "\u0001"
-TITLE_OPEN = "\u0002"
-TITLE_CLOSE = "\u0003"
+# marks are pairs that an escaped text cannot hold: there every U+0001 is followed by U+0002
+ESCAPE, ESCAPED = "\u0001", "\u0001\u0002"
+MARK = "\u0001\u0003"
+TITLE_OPEN = "\u0001\u0004"
+TITLE_CLOSE = "\u0001\u0005"
+
+
+def escape(c: Column) -> Column:
+    return F.replace(c, F.lit(ESCAPE), F.lit(ESCAPED))
+
+
+def unescape(c: Column) -> Column:
+    return F.replace(c, F.lit(ESCAPED), F.lit(ESCAPE))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -57,8 +67,8 @@ def paragraphs(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Pieces ending in a run of sentence marks plus one closing quote."""
-    marked = F.regexp_replace(c, SENTENCE_END + r"(?U:\s*)", "$1" + MARK)
-    return _strip_and_drop_empty(F.split(marked, MARK))
+    marked = F.regexp_replace(escape(c), SENTENCE_END + r"(?U:\s*)", "$1" + MARK)
+    return F.transform(_strip_and_drop_empty(F.split(marked, MARK)), unescape)
 
 
 def sections(c: Column) -> Column:
@@ -67,22 +77,18 @@ def sections(c: Column) -> Column:
     A marker goes before each heading, one split yields a piece per section;
     the text before the first heading has an empty title and level 0.
     """
-    marked = F.regexp_replace(c, HEADING_LINE, f"{MARK}$1{TITLE_OPEN}$2{TITLE_CLOSE}")
+    marked = F.regexp_replace(escape(c), HEADING_LINE, f"{MARK}$1{TITLE_OPEN}$2{TITLE_CLOSE}")
 
     def piece(p: Column) -> Column:
         headed = F.contains(p, F.lit(TITLE_CLOSE))
         return F.struct(
             F.when(
                 headed,
-                strip(
-                    F.substring_index(F.substring_index(p, TITLE_CLOSE, 1), TITLE_OPEN, -1)
-                ),
+                unescape(strip(F.substring_index(F.substring_index(p, TITLE_CLOSE, 1), TITLE_OPEN, -1))),
             )
             .otherwise("")
             .alias("title"),
-            F.when(headed, strip(F.substring_index(p, TITLE_CLOSE, -1)))
-            .otherwise(strip(p))
-            .alias("body"),
+            unescape(F.when(headed, strip(F.substring_index(p, TITLE_CLOSE, -1))).otherwise(strip(p))).alias("body"),
             F.when(headed, F.length(F.substring_index(p, TITLE_OPEN, 1))).otherwise(0).alias("level"),
         )
 

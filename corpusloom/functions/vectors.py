@@ -46,11 +46,11 @@ def _bucket(term: str, dim: int) -> int:
 
 def hashed_matrix(token_lists: pd.Series, dim: int) -> np.ndarray:
     """Rows of unit-length bucket counts; each distinct term is hashed once a batch."""
-    lengths = np.fromiter((len(t) for t in token_lists), dtype=np.int64, count=len(token_lists))
+    lengths = np.fromiter((0 if t is None else len(t) for t in token_lists), dtype=np.int64, count=len(token_lists))
     out = np.zeros((len(token_lists), dim), dtype=np.float64)
     if lengths.sum() == 0:
         return out
-    flat = np.concatenate([np.asarray(t, dtype=object) for t in token_lists if len(t)])
+    flat = np.concatenate([np.asarray(t, dtype=object) for t in token_lists if t is not None and len(t)])
     codes, terms = pd.factorize(flat)
     buckets = np.fromiter((_bucket(t, dim) for t in terms), dtype=np.int64, count=len(terms))
     rows = np.repeat(np.arange(len(token_lists)), lengths)
@@ -85,7 +85,7 @@ def model_embedding(
         for batch in batches:
             rows: list[np.ndarray] = []
             for at in range(0, len(batch), batch_size):
-                m = np.asarray(encode(batch.iloc[at : at + batch_size].tolist()), dtype=np.float64)
+                m = np.asarray(encode([t or "" for t in batch.iloc[at : at + batch_size]]), dtype=np.float64)
                 n = np.linalg.norm(m, axis=1, keepdims=True)
                 rows.extend((m / np.where(n == 0, 1.0, n)).astype(np.float32))
             yield pd.Series(rows)

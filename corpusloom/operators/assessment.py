@@ -15,7 +15,6 @@ from corpusloom.functions import text as T
 RELEVANT = 0.5
 HIGH, LOW, ENOUGH = 0.7, 0.4, 0.5
 MIN_RELEVANT = 2
-DIGITS = 6
 
 
 def _coverage(query: Column, text: Column) -> Column:
@@ -55,8 +54,8 @@ def assess(queries: DataFrame, hits: DataFrame, threshold: float = RELEVANT) ->
     scored = queries.select("query_id").join(facts, "query_id", "left").select(
         "query_id",
         F.coalesce("n_hits", F.lit(0)).alias("n_hits"),
-        F.round(F.when(F.col("n_hits") > 0, relevance).otherwise(0.0), DIGITS).alias("relevance"),
-        F.round(F.when(F.col("n_hits") > 0, sufficiency).otherwise(0.0), DIGITS).alias("sufficiency"),
+        F.when(F.col("n_hits") > 0, relevance).otherwise(0.0).alias("relevance"),
+        F.when(F.col("n_hits") > 0, sufficiency).otherwise(0.0).alias("sufficiency"),
         _best(F.col("_good"), F.col("n_hits")).alias("best_docs"),
     )
     return decide(scored)

@@ -15,7 +15,7 @@ from corpusloom.session import materialize
 
 @dataclass(frozen=True)
 class PairConfig:
-    per_source: int = 10000
+    per_source: int | None = None
     min_query: int = 10
     min_passage: int = 50
     max_passage: int = 2000
@@ -81,12 +81,12 @@ def pairs_from_sections(docs: DataFrame, cfg: PairConfig = PairConfig(), id_col:
     The heading's line breaks belong to the separator, so a heading right below
     another one stays part of the body and rules that body out.
     """
-    marked = F.regexp_replace("text", SECTION_LINE, f"{T.MARK}$2{T.TITLE_CLOSE}")
+    marked = F.regexp_replace(T.escape(F.col("text")), SECTION_LINE, f"{T.MARK}$2{T.TITLE_CLOSE}")
     pieces = F.filter(F.split(marked, T.MARK), lambda p: F.contains(p, F.lit(T.TITLE_CLOSE)))
     rows = docs.select(id_col, F.posexplode(pieces).alias("_i", "_p")).select(
         F.concat_ws("-", F.col(id_col).cast("string"), F.col("_i").cast("string")).alias("pair_id"),
-        F.substring_index("_p", T.TITLE_CLOSE, 1).alias("query"),
-        F.substring_index("_p", T.TITLE_CLOSE, -1).alias("_body"),
+        T.unescape(F.substring_index("_p", T.TITLE_CLOSE, 1)).alias("query"),
+        T.unescape(F.substring_index("_p", T.TITLE_CLOSE, -1)).alias("_body"),
     )
     bodies = rows.filter(~F.startswith("_body", F.lit("#"))).select("pair_id", "query", T.strip(F.col("_body")).alias("positive"))
     return _shorten(valid_pairs(bodies, cfg), None, cfg.max_passage)
@@ -151,7 +151,9 @@ def ordered_split(pairs: DataFrame, ratio: float, id_col: str = "pair_id") -> Da
 
 
 def build_all(sources: dict[str, DataFrame], cfg: PairConfig = PairConfig()) -> DataFrame:
-    """Union of the pair sources, each capped, with negatives; order is the hash order.
+    """Union of the pair sources, with negatives; order is the hash order.
+
+    Every pair is kept unless ``per_source`` asks for the first so many of each source.
 
     Rows: source, pair_id, query, positive, negatives, shuffle_key.
     """
@@ -162,11 +164,11 @@ def build_all(sources: dict[str, DataFrame], cfg: PairConfig = PairConfig()) ->
             "query", "positive",
         )
         union = part if union is None else union.unionByName(part)
-    capped = cap_per_source(union, cfg.per_source)
+    kept = cap_per_source(union, cfg.per_source) if cfg.per_source else union
     if cfg.negatives > 0:
-        full = add_random_negatives(materialize(capped, "pairs"), cfg)  # read three times
+        full = add_random_negatives(materialize(kept, "pairs"), cfg)  # read three times
     else:
-        full = capped.withColumn("negatives", F.array().cast("array<string>"))
+        full = kept.withColumn("negatives", F.array().cast("array<string>"))
     return full.withColumn("shuffle_key", hash_order("pair_id", seed=cfg.seed))
 
 

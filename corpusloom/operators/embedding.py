@@ -27,12 +27,13 @@ def embed(
     instruction: str | None = None,
     batch_size: int = 32,
 ) -> DataFrame:
-    """Adds ``embedding`` (unit length). Queries pass an ``instruction``, documents none."""
+    """Adds ``embedding`` (unit length; of a NULL text empty). Queries pass an ``instruction``, documents none."""
     c = F.col(text_col)
     if instruction:
         c = instructed(c, instruction)
     vector = model_embedding(c, model, batch_size) if model else hashed_embedding(T.tokens(c), dim)
-    return df.withColumn("embedding", vector)
+    none = F.array().cast("array<float>")
+    return df.withColumn("embedding", vector).withColumn("embedding", F.when(F.col(text_col).isNull(), none).otherwise(F.col("embedding")))
 
 
 def _age(now: Column) -> Column:
@@ -63,12 +64,13 @@ def embed_with_cache(
     per missing hash, embed it once. The new vectors are stored before both
     results use them, so the model never runs twice. Rows get their vector back
     by hash; that side is unique per hash, so a text that makes up a third of
-    all rows is skew on one join side only, which the adaptive join splits.
+    all rows is skew on one join side only, which the adaptive join splits. A
+    NULL text keeps its row, with an empty vector and no cache entry.
     """
     hashed = df.withColumn("text_sha256", F.sha2(F.col(text_col), 256))
     live = live_entries(cache, model_id, now, ttl_seconds).select("text_sha256", "embedding")
     live = live.dropDuplicates(["text_sha256"])
-    missing = hashed.select("text_sha256", text_col).join(live, "text_sha256", "left_anti")
+    missing = hashed.select("text_sha256", text_col).filter(F.col(text_col).isNotNull()).join(live, "text_sha256", "left_anti")
     texts = missing.groupBy("text_sha256").agg(F.any_value(text_col).alias(text_col))
     embedded = embed(texts, text_col, **embed_args)
     fresh = materialize(
@@ -77,7 +79,9 @@ def embed_with_cache(
     known = live.withColumn("cache_hit", F.lit(True)).unionByName(
         fresh.select("text_sha256", "embedding", F.lit(False).alias("cache_hit"))
     )
-    rows = hashed.join(known, "text_sha256")
+    rows = hashed.join(known, "text_sha256", "left").withColumns(
+        {"embedding": F.coalesce("embedding", F.array().cast("array<float>")), "cache_hit": F.coalesce("cache_hit", F.lit(False))}
+    )
     entries = fresh.select(
         F.lit(model_id).alias("model_id"),
         "text_sha256",

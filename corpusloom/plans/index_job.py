@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.chunking import ChunkConfig, chunk
 from corpusloom.operators.embedding import embed
 from corpusloom.operators.metadata import extract_metadata, to_index_rows
+from corpusloom.session import materialize
 
 MISSING = "文件不存在"
 EMPTY = "解析失败，无文本块"
@@ -55,14 +58,32 @@ def index_documents(
     """Index the pending documents into ``path`` and return the outcomes.
 
     ``pending(doc_id)`` names the files, ``documents(doc_id, text, source,
-    path, indexed_at)`` holds those that could be read. The rows are written
-    once; the outcome counts the stored rows of the pending files.
+    path, indexed_at)`` holds those that could be read. A run writes its rows to
+    a partition of its own, and the outcome counts these alone; rows that older
+    runs stored for the pending files are then removed from their partitions.
     """
     spark = documents.sparkSession
+    run = uuid.uuid4().hex
     wanted = documents.join(pending.select("doc_id"), "doc_id", "left_semi")
-    index_rows(wanted, strategy, cfg, **embed_args).write.mode("overwrite" if recreate else "append").parquet(path)
-    stored = spark.read.parquet(path).join(pending.select("doc_id"), "doc_id", "left_semi")
-    return index_outcome(pending, documents, stored)
+    rows = index_rows(wanted, strategy, cfg, **embed_args).withColumn("run", F.lit(run))
+    rows.write.partitionBy("run").mode("overwrite" if recreate else "append").parquet(path)
+    stored = spark.read.parquet(path)
+    if not recreate:
+        _remove_older(stored, pending, path, run)
+    return index_outcome(pending, documents, spark.read.schema(stored.schema).parquet(path).filter(F.col("run") == run))
+
+
+def _remove_older(stored: DataFrame, pending: DataFrame, path: str, run: str) -> None:
+    """Rewrite the partitions of other runs that hold rows of the pending files; the others are not touched."""
+    older = stored.filter(F.col("run") != run)
+    touched = older.join(pending.select("doc_id"), "doc_id", "left_semi").select("run").distinct().collect()  # runs, not rows
+    if not touched:
+        return
+    kept = older.filter(F.col("run").isin([r["run"] for r in touched])).join(pending.select("doc_id"), "doc_id", "left_anti")
+    kept = materialize(kept, "index-kept")
+    for r in touched:
+        part = kept.filter(F.col("run") == r["run"]).drop("run")
+        part.write.mode("overwrite").parquet(f"{path}/run={r['run']}")
 
 
 def outcome_summary(outcome: DataFrame) -> DataFrame:

@@ -30,11 +30,14 @@ def build_session(app: str = "corpusloom", master: str | None = None, **conf: st
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) a fresh folder is made and
-    remembered in the session, so that every later call agrees on it.
+    Only where the setting is absent and the master is local (tests) a fresh
+    folder is made and remembered in the session, so that every later call
+    agrees on it. On a cluster the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

@@ -7,6 +7,9 @@ commit is never seen and readers of the old version go on undisturbed.
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,11 +76,37 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(done)
 
 
-def commit_registry(registry: DataFrame, path: str) -> int:
-    """Write the next version; returns its number."""
-    done = _versions(registry.sparkSession, path)
-    version = (done[-1] if done else 0) + 1
-    registry.write.mode("overwrite").parquet(f"{path}/v={version}")
+class RegistryConflict(RuntimeError):
+    """Another writer has committed since the version was read."""
+
+
+def latest_version(spark: SparkSession, path: str) -> int:
+    """Number of the newest version, 0 if there is none."""
+    return max(_versions(spark, path), default=0)
+
+
+def commit_registry(registry: DataFrame, path: str, base: int | None = None) -> int:
+    """Write the version after ``base`` (the newest one unless given); returns its number.
+
+    The rows go to a private folder that is renamed into place. A rename onto a
+    version that exists fails, so of two writers that read the same version one
+    commits and the other gets ``RegistryConflict``: it reads again and retries.
+    """
+    spark = registry.sparkSession
+    version = (latest_version(spark, path) if base is None else base) + 1
+    private = f"{path}/_new-{uuid.uuid4().hex}"
+    registry.write.mode("errorifexists").parquet(private)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(private), hadoop.Path(f"{path}/v={version}")
+    conf = spark._jsc.hadoopConfiguration()
+    files = hadoop.FileContext.getFileContext(source.getFileSystem(conf).getUri(), conf)
+    never_overwrite = spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+    never_overwrite[0] = hadoop.Options.Rename.NONE
+    try:
+        files.rename(source, target, never_overwrite)
+    except Py4JJavaError as failed:
+        files.delete(source, True)
+        raise RegistryConflict(f"version {version} of {path} could not be taken") from failed
     return version
 
 
