@@ -405,11 +405,12 @@ def best_docs_q(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "decide",
-    f"""WITH {_ASSESS} SELECT query_id, n AS n_hits, decision, CASE WHEN n = 0 THEN 2 WHEN decision = 'sufficient' THEN 0 WHEN decision = 'insufficient' THEN 3
-  WHEN sufficiency < 0.5::DOUBLE THEN 3 ELSE 2 END AS n_suggestions FROM d""",
+    f"""WITH {_ASSESS} SELECT query_id, n AS n_hits, decision, array_to_string(CASE WHEN n = 0 THEN {sql_list(L.SUGGEST_EMPTY)} WHEN decision = 'sufficient' THEN []
+  WHEN decision = 'insufficient' THEN {sql_list(L.SUGGEST_INSUFFICIENT)} WHEN sufficiency < 0.5::DOUBLE THEN {sql_list([*L.SUGGEST_PARTIAL, L.SUGGEST_MORE])}
+  ELSE {sql_list(L.SUGGEST_PARTIAL)} END, '|') AS suggestions FROM d""",
 )
 def decide_q(spark: SparkSession, sf: str) -> DataFrame:
-    return _assessed(spark, sf).select("query_id", "n_hits", "decision", F.size("suggestions").alias("n_suggestions"))
+    return _assessed(spark, sf).select("query_id", "n_hits", "decision", F.array_join("suggestions", "|").alias("suggestions"))
 
 
 # ---- conversations ------------------------------------------------------
@@ -495,15 +496,16 @@ def extract_dosages_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("entities_json", f"""WITH {SQL_CLINICAL}, {sql_entities('clinical')}
-SELECT c.doc_id, count(entity_type) AS n, sum(length(e.text) + length(normalized))::BIGINT AS chars FROM clinical c LEFT JOIN ents e USING (doc_id) GROUP BY 1""")
+SELECT c.doc_id, count(entity_type) AS n, md5(coalesce(string_agg(entity_type || ':' || e.text || ':' || normalized, '|' ORDER BY entity_type || ':' || e.text || ':' || normalized), '')) AS entities_md5
+FROM clinical c LEFT JOIN ents e USING (doc_id) GROUP BY 1""")
 def entities_json_q(spark: SparkSession, sf: str) -> DataFrame:
     """The JSON is read back, so that the result does not depend on its spelling."""
     kinds = list(L.ENTITY_PATTERNS)
     schema = "struct<" + ",".join(f"{k}:array<struct<text:string,normalized:string>>" for k in kinds) + ">"
     j = X.entities_json(clinical_documents(spark, sf)).select("doc_id", F.from_json("entities", schema).alias("j"))
-    every = F.flatten(F.array(*[F.col(f"j.{k}") for k in kinds]))
-    chars = F.aggregate(every, F.lit(0), lambda s, e: s + F.length(e["text"]) + F.length(e["normalized"]))
-    return j.select("doc_id", F.size(every).cast("bigint").alias("n"), F.when(F.size(every) > 0, chars.cast("bigint")).alias("chars"))
+    spelled = lambda k: F.transform(F.col(f"j.{k}"), lambda e: F.concat(F.lit(f"{k}:"), e["text"], F.lit(":"), e["normalized"]))
+    every = F.array_sort(F.flatten(F.array(*[spelled(k) for k in kinds])))
+    return j.select("doc_id", F.size(every).cast("bigint").alias("n"), md5(F.array_join(every, "|")).alias("entities_md5"))
 
 
 def sql_keywords(x: str) -> str:

@@ -1,37 +1,37 @@
 """Dictionary entities with offsets, dosages and keywords.
 
-A pattern's matches come from ``regexp_extract_all`` and their offsets from the
-lengths of the pieces between them (``split`` by the same pattern), so the
-whole extraction stays in the JVM and inside the text's row.
+Entities need the places of all matches of many patterns, which SQL's pattern
+functions only give by matching twice; they are found in Arrow batches with the
+patterns compiled once. Dosages and keywords are plain column expressions.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import string
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import lexicon as L
-from corpusloom.functions import text as T
 
 ENTITY = (
     "array<struct<entity_type:string,normalized:string,text:string,start_pos:int,end_pos:int,confidence:double>>"
 )
 
 
-def folded(text: Column) -> Column:
+def folded(text: str) -> str:
     """Lower case of the same length, so that offsets stay true.
 
-    Matching lower-cased text with lower-cased patterns is several times faster
-    than case-insensitive patterns. The rare texts whose lower case is longer
-    have their ASCII letters lowered only.
+    The rare texts whose lower case is longer have their ASCII letters lowered only.
     """
-    ascii_only = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    low = F.lower(text)
-    return F.when(F.length(low) == F.length(text), low).otherwise(ascii_only)
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_ASCII_LOWER)
+
+
+_ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def fold_pattern(pattern: str) -> str:
@@ -39,116 +39,60 @@ def fold_pattern(pattern: str) -> str:
     return re.sub(r"(\\.)|([^\\]+)", lambda m: m.group(1) or m.group(2).lower(), pattern)
 
 
-def located(low: Column, pattern: Column) -> Column:
-    """ARRAY<STRUCT<start, stop>> of all matches in folded text, left to right."""
-    spots = "array<struct<start:int,stop:int>>"
-
-    def place(found: Column) -> Column:
-        gaps = F.slice(F.split(low, pattern, -1), 1, F.size(found))
-        pairs = F.zip_with(found, gaps, lambda h, g: F.struct(F.length(h).alias("hit"), F.length(g).alias("gap")))
-        start = F.struct(F.array().cast(spots).alias("out"), F.lit(0).alias("at"))
-
-        def add(st: Column, pair: Column) -> Column:
-            begin = st["at"] + pair["gap"]
-            spot = F.struct(begin.alias("start"), (begin + pair["hit"]).alias("stop"))
-            return F.struct(F.array_append(st["out"], spot).alias("out"), spot["stop"].alias("at"))
-
-        none = F.array().cast(spots)
-        return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, start, add, lambda st: st["out"]))
+def _needed(pattern: str) -> list[str] | None:
+    """The alternatives of a pattern that is nothing but words, one of which a match must hold."""
+    return None if set(pattern) & set(r"\^$.[](){}+*?") else pattern.split("|")
 
-    return T.let(F.regexp_extract_all(low, pattern, F.lit(0)), place)
 
+class EntityFinder:
+    """The pattern table, compiled once: entities of a text in the order of the table."""
 
-def _openings(pattern: str) -> str | None:
-    """Characters a match can begin with, where the pattern plainly shows them."""
-    chars = ""
-    for choice in pattern.split("|"):
-        if choice.startswith("["):
-            first, rest = choice[1:].split("]", 1)
-        else:
-            first, rest = choice[:1], choice[1:]
-        if not first or set(first) & set(r"\\^.(){}+*?-") or rest[:1] in ("?", "*", "{"):
-            return None
-        chars += first
-    return chars
-
-
-def category_test(patterns: list[str]) -> str:
-    """One regular expression that tells whether any pattern of a category occurs.
-
-    A look-ahead for CJK or one of the other first characters comes first, so
-    that most positions are passed after a single cheap test.
-    """
-    either = "|".join(f"(?:{p})" for p in patterns)
-    openings = [_openings(p) for p in patterns]
-    if any(o is None for o in openings):
-        return f"(?:{either})"
-    other = [c for c in dict.fromkeys("".join(openings)) if not "一" <= c <= "鿿"]
-    return f"(?=[{T.CJK}{''.join(other)}])(?:{either})"
-
-
-def _category(text: Column, low: Column, kind: str, rows: list[tuple[str, str]]) -> Column:
-    """Entities of one category; same name and start count once."""
-
-    def entity(name: Column, spot: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("entity_type"),
-            name.alias("normalized"),
-            F.substring(text, spot["start"] + 1, spot["stop"] - spot["start"]).alias("text"),
-            spot["start"].alias("start_pos"),
-            spot["stop"].alias("end_pos"),
-            F.lit(L.ENTITY_CONFIDENCE).alias("confidence"),
-        )
-
-    listed = json.dumps([{"pattern": fold_pattern(p), "name": n} for p, n in rows])
-    table = F.from_json(F.lit(listed), "array<struct<pattern:string,name:string>>")
-    found = F.flatten(
-        F.transform(
-            table, lambda p: F.transform(located(low, p["pattern"]), lambda spot: entity(p["name"], spot))
-        )
-    )
-    names = [n for _, n in rows]
-    if len(set(names)) == len(names):
-        return found
-
-    def key(e: Column) -> Column:
-        return F.concat(e["normalized"], F.lit(":"), e["start_pos"].cast("string"))
-
-    def first_of_each(all_hits: Column) -> Column:
-        return T.let(
-            F.transform(all_hits, key),
-            lambda keys: F.filter(all_hits, lambda e, i: F.array_position(keys, key(e)) == i + 1),
-        )
+    def __init__(self, patterns: dict[str, list[tuple[str, str]]]):
+        self.kinds = [
+            (kind, [(name, re.compile(fold_pattern(p)), _needed(fold_pattern(p))) for p, name in rows])
+            for kind, rows in patterns.items()
+        ]
 
-    return T.let(found, first_of_each)
+    def find(self, text: str | None) -> list[tuple]:
+        """(entity_type, normalized, text, start_pos, end_pos, confidence); in a category, one name at one start counts once."""
+        if not text:
+            return []
+        low, out = folded(text), []
+        for kind, rows in self.kinds:
+            seen = set()
+            for name, pattern, words in rows:
+                if words is not None and not any(w in low for w in words):
+                    continue
+                for m in pattern.finditer(low):
+                    start, stop = m.span()
+                    if (name, start) not in seen:
+                        seen.add((name, start))
+                        out.append((kind, name, text[start:stop], start, stop, L.ENTITY_CONFIDENCE))
+        return out
 
 
 def entities_of(text: Column, patterns: dict[str, list[tuple[str, str]]] | None = None) -> Column:
-    """ARRAY of entity structs in the order of the pattern table.
+    """ARRAY of entity structs in the order of the pattern table; empty for NULL.
 
-    One test per category decides whether its patterns are tried at all. The
-    pattern table is one folded constant, so the plan stays small however many
-    patterns there are.
+    The patterns are compiled once per worker and run over Arrow batches.
     """
-    none = F.array().cast(ENTITY)
-
-    def every(low: Column) -> Column:
-        per_type = [
-            F.when(
-                low.rlike(category_test([fold_pattern(p) for p, _ in rows])), _category(text, low, kind, rows)
-            ).otherwise(none)
-            for kind, rows in (patterns or L.ENTITY_PATTERNS).items()
-        ]
-        return F.flatten(F.array(*per_type))
+    table = patterns or L.ENTITY_PATTERNS
+    names = ("entity_type", "normalized", "text", "start_pos", "end_pos", "confidence")
+
+    @F.pandas_udf(ENTITY)
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder = EntityFinder(table)
+        for batch in batches:
+            yield pd.Series([[dict(zip(names, e, strict=True)) for e in finder.find(t)] for t in batch], dtype=object)
 
-    return T.let(folded(text), every)
+    return find.asNondeterministic()(text)
 
 
 def extract_entities(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", patterns=None
 ) -> DataFrame:
     """id, entity_type, normalized, text, start_pos, end_pos, confidence; also for streams."""
-    return docs.select(id_col, F.inline(entities_of(F.col(text_col), patterns)))
+    return docs.select(id_col, entities_of(F.col(text_col), patterns).alias("_e")).select(id_col, F.inline("_e"))
 
 
 def entity_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", patterns=None) -> DataFrame:
