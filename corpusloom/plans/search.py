@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import content_words
 from corpusloom.operators.dense import dense_search
-from corpusloom.operators.hits import fuse_weighted, rerank, word_overlap
+from corpusloom.operators.hits import fuse_weighted, overlap_f1, rerank
 from corpusloom.operators.sparse import Bm25Index, bm25_search
+from corpusloom.session import materialize
 
 CANDIDATES = 50
 
@@ -39,7 +41,14 @@ def hybrid_search(
     fused = fuse_weighted(dense, sparse, keep, weights if isinstance(alpha, str) else alpha)
     if not use_rerank:
         return fused
-    # texts are scored where they are joined; only ids and scores go on to the ranking
-    pairs = fused.join(texts.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
-    score = scorer if scorer is not None else word_overlap(F.col("query"), F.col("text"))
-    return rerank(pairs.withColumn("_score", score).drop("query", "text"), top_k, F.col("_score")).drop("_score")
+    fused = materialize(fused, "fused")  # read for the candidates' texts and for the pairs
+    wanted = texts.select("chunk_id", "text").join(fused.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    if scorer is None:
+        # a text is tokenised once, however many queries have it as a candidate
+        wanted = wanted.select("chunk_id", content_words(F.col("text")).alias("_words"))
+        asked = queries.select("query_id", content_words(F.col("query")).alias("_asked"))
+        scorer = overlap_f1(F.col("_asked"), F.col("_words"))
+    else:
+        asked = queries.select("query_id", "query")
+    pairs = fused.join(wanted, "chunk_id").join(asked, "query_id").withColumn("_score", scorer)
+    return rerank(pairs.select(*fused.columns, "_score"), top_k, F.col("_score")).drop("_score")
