@@ -67,38 +67,38 @@ def sql_sentences(x: str) -> str:
 
 
 # ---- derived tables -----------------------------------------------------
-# fixed question forms; {w} is the first word of a message, {t} its whole text
+# question forms; {w} is the first word of a message, {t} its whole text. Three short ones stand for follow-ups.
 QUESTION_FORMS = [
-    "{w}糖尿病的治疗方法有哪些？",
-    "阿司匹林的剂量是多少mg？",
-    "{w}为什么会导致视力下降？机制是什么？",
+    "{w} 哮喘患者可以选择哪些治疗办法？{t}",
+    "{t} 布洛芬一次的剂量应该是几mg？",
+    "{w}为什么会引起下肢水肿，背后的机制如何解释？{t}",
     "什么是{w}？",
-    "2024年{w}指南有什么更新？",
-    "T2DM患者的HbA1c控制目标 {w}",
-    "怎么预防？",
-    "那{w}呢？",
-    "{w} hypertension and MI 如何影响血压升高",
+    "2023年的{w}指南改动了哪些内容？{t}",
+    "CKD患者的eGFR控制目标 {t}",
+    "怎么治疗？",
+    "那么{w}呢？",
+    "{w} hyperlipidemia and COPD 是否影响心率下降 {t}",
     "{t}",
-    "高血压患者每天 5mg {w} CT 检查",
-    "还有什么症状？",
+    "冠心病患者每次 10ml {w} MRI 检查，妊娠期高血压另作说明 {t}",
+    "还有什么原因？",
 ]
 CLINICAL_FORMS = [
-    "患者2型糖尿病合并高血压，血糖控制不佳。",
-    "主诉头痛、发热、咳嗽3天，伴乏力。",
-    "处方：二甲双胍 500mg 2次/日，阿司匹林 100 mg 1次/天，奥美拉唑 20mg。",
-    "建议行CT检查、血常规和心电图，必要时胃镜。",
-    "拟行手术治疗，术后化疗，康复训练。",
-    "孕妇禁用，肝功能损害者慎用，对青霉素过敏者禁用于治疗。",
+    "复诊：支气管哮喘伴胃溃疡，近期血压平稳。",
+    "近两周反复胸闷、腹泻并咳痰，夜间头晕。",
+    "给予布洛芬 200mg 3次/日，阿莫西林 250 mg 2次/天，必要时加用胰岛素 8U。",
+    "安排MRI检查、尿常规与胸部X线，随后复查B超。",
+    "计划行放疗，随后物理治疗与输液。",
+    "哺乳期慎用，肾功能不全者禁用，磺胺类药物过敏者禁用于长期治疗。",
     "",
 ]
 ANSWER_FORMS = [
-    "根据[1]和[2]，糖尿病需要治疗，不能停药 500mg。",
-    "参考[5]，建议检查肺炎症状。",
-    "没有引用的回答。",
-    "推荐手术[1][9]，避免副作用 2.5 ml。",
+    "如[2]和[1]所述，哮喘应当避免诱因，不宜擅自减量 250mg。",
+    "见[7]，需要复查胃炎的症状。",
+    "此处不列出处。",
+    "可以考虑放疗[3][8]，注意副作用 1.5 ml。",
     "",
 ]
-CONTEXT_FORMS = ["糖尿病患者能够治疗，剂量 500mg，肺炎症状需检查。", "避免手术，禁止剂量过大。", "推荐预防。"]
+CONTEXT_FORMS = ["哮喘患者应当避免诱因，每次剂量 250mg，胃炎症状需要复查。", "禁止擅自减量，避免副作用。", "建议定期复查。"]
 
 
 def pick(forms: list[str], index: Column) -> Column:

@@ -104,7 +104,7 @@ def bm25_search_q(spark: SparkSession, sf: str) -> DataFrame:
 @query("bm25_search_pruned", f"WITH {SQL_BENCH}, {SQL_BM25} SELECT query_id, chunk_id, score, rank FROM sparse WHERE rank <= 20")
 def bm25_search_pruned_q(spark: SparkSession, sf: str) -> DataFrame:
     """The form for query tables whose hot terms would pair with most chunks."""
-    hits = bm25_search(document_index(spark, sf), benchmark_queries(spark, sf), 2 * K, "query", prune_over=0)
+    hits = bm25_search(document_index(spark, sf), benchmark_queries(spark, sf), 2 * K, "query", prune=True)
     return hits.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 

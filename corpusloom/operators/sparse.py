@@ -24,13 +24,13 @@ K1, B = 1.2, 0.75
 DIGITS = 6
 SLACK = 1e-5  # keeps documents that tie after rounding
 BUCKET_BYTES = 256 << 20
-PRUNE_OVER = 2_000_000_000  # (posting, query) pairs
+PUSHED_TERMS = 1000  # distinct query terms that are handed to the scan as a filter
 SEED_POSTINGS = 100  # postings per wanted hit that are read to find a floor
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    postings: DataFrame  # term, chunk_id, tf, len - bucketed by chunk_id
+    postings: DataFrame  # term, chunk_id, tf, len - bucketed by chunk_id, ordered by term in a bucket
     terms: DataFrame  # term, df, max_impact
     n_chunks: int
     avg_len: float
@@ -67,7 +67,8 @@ def build_bm25_index(
     )
     rows = counted.select("chunk_id", "len", F.inline("bag")).select("term", "chunk_id", "tf", "len")
     table = f"corpusloom_postings_{uuid.uuid4().hex}"
-    writer = rows.repartition(buckets, "chunk_id").write.bucketBy(buckets, "chunk_id").format("parquet")
+    writer = rows.repartition(buckets, "chunk_id").write.bucketBy(buckets, "chunk_id").sortBy("term").format("parquet")
+    writer = writer.option("parquet.bloom.filter.enabled#term", "true")
     writer.option("path", scratch_path(spark, "bm25-postings")).saveAsTable(table)
     n, tokens = int(seen.get["n"]), int(seen.get["tokens"] or 0)
     avg_len = tokens / n if n else 0.0
@@ -98,8 +99,14 @@ def _sum_shares(index: Bm25Index, joined: DataFrame, out: str) -> DataFrame:
 
 
 def _score(index: Bm25Index, terms: DataFrame, out: str = "score") -> DataFrame:
-    """Scores of every (query, chunk) that shares one of ``terms``."""
-    return _sum_shares(index, index.postings.join(terms.select("query_id", "term", "weight"), "term"), out)
+    """Scores of every (query, chunk) that shares one of ``terms``.
+
+    Few distinct terms are named to the scan, which then reads only the pages
+    of its ordered files that can hold them; the result is the same without.
+    """
+    named = [r["term"] for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    postings = index.postings.filter(F.col("term").isin(named)) if len(named) <= PUSHED_TERMS else index.postings
+    return _sum_shares(index, postings.join(terms.select("query_id", "term", "weight"), "term"), out)
 
 
 def _complete(index: Bm25Index, pairs: DataFrame, terms: DataFrame, out: str) -> DataFrame:
@@ -109,18 +116,18 @@ def _complete(index: Bm25Index, pairs: DataFrame, terms: DataFrame, out: str) ->
 
 
 def bm25_search(
-    index: Bm25Index, queries: DataFrame, k: int = 20, text_col: str = "text", prune_over: int = PRUNE_OVER
+    index: Bm25Index, queries: DataFrame, k: int = 20, text_col: str = "text", prune: bool = False
 ) -> DataFrame:
     """query_id, chunk_id, score, rank: the exact top ``k`` per query.
 
-    Up to ``prune_over`` (posting, query) pairs are summed in one pass. Beyond
-    that the same result is found with fewer pairs, see ``_pruned``.
+    All (posting, query) pairs are summed in one pass. ``prune`` asks for the
+    form that finds the same result with fewer pairs, see ``_pruned``: it pays
+    for query tables whose hot terms would pair with most chunks.
     """
     terms = materialize(weighted_terms(index, queries, text_col), "bm25-query")
-    pairs = terms.agg(F.sum("df")).first()[0] or 0
-    scored = _score(index, terms) if pairs <= prune_over else _pruned(index, terms, k)
+    scored = _pruned(index, terms, k) if prune else _score(index, terms)
     rounded = scored.withColumn("score", F.round("score", DIGITS))
-    return top_per_group(rounded, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    return top_per_group(rounded, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k, salt_on=["chunk_id"])
 
 
 def _pruned(index: Bm25Index, terms: DataFrame, k: int) -> DataFrame:

@@ -65,7 +65,7 @@ def test_bm25_pruning_keeps_the_result(spark, sf):
     queries = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
     index = build_bm25_index(docs)
     plain = bm25_search(index, queries, 5).collect()
-    pruned = bm25_search(index, queries, 5, prune_over=0).collect()
+    pruned = bm25_search(index, queries, 5, prune=True).collect()
     assert sorted(map(tuple, plain)) == sorted(map(tuple, pruned)) and len(plain) == 5 * queries.count()
     index.drop()
 
