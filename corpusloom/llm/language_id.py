@@ -198,8 +198,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
-    """Rows of ``docs`` with a determined language, all columns as they were."""
+    """Rows of ``docs`` with a determined language, all columns as they were.
+
+    Where no row is labelled nothing is learnt, and texts with a letter stay.
+    """
     model = train(docs, id_col, text_col, lang_col)
+    if not model.languages:
+        return docs.filter(F.col(text_col).rlike(r"\p{L}"))
     names = docs.columns
     row = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), predict(docs, model, text_col).alias("p"))
     return row.filter(F.col("p.lang_pred") != UNDETERMINED).select("row.*")
