@@ -9,11 +9,11 @@ exhaustively and branch no further; the others branch again. Trees are grown
 level by level: which child a document takes is computed where its sketch lies,
 only the sizes of nodes are aggregated.
 
-Nodes that stay large after the last level hold documents that agree nearly
-everywhere. Their documents meet several pivots first; what is then connected
-needs no further comparison, and the rest meets the whole node. All candidates
-are confirmed on full sets, a forest of best partners first: pairs that are
-connected by confirmed links already change no component and are left.
+Large nodes whose documents agree nearly everywhere leave the trees. Their
+documents meet several pivots first; what is then connected needs no further
+comparison, and the rest meets the whole node in blocks. All candidates are
+confirmed on full sets, nearest first: pairs that confirmed links connect
+already change no component and are left.
 """
 
 from __future__ import annotations
@@ -22,16 +22,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
+from corpusloom.llm.hash_filter import bloom_of, mix
 from corpusloom.session import materialize
 
 SKETCH = 64
 #: Sketch bits (of 64) in which a pair of the sought similarity may differ: mean 6.4, deviation 2.4.
 MAX_DIFFERING = 17
+#: Sketch tokens (of 64) that a pair of the sought similarity shares at least: mean 51, deviation 3.2.
+MIN_TOKENS = 37
+#: Bits of the filter of candidates, at most.
+FILTER_BITS = 1 << 28
+#: Documents that one task holds of a group, or of each side of a dense node.
+BLOCK = 512
 PIECE = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -50,14 +58,7 @@ class JoinSettings:
     trees: int = 12
     levels: int = 6
     leaf: int = 24
-    pivots: int = 8
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    pivots: int = 4
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,30 +172,42 @@ def _grow(names: list[str], trees: int = 0):
 
 
 def candidate_pairs(reps: DataFrame, how: JoinSettings) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs (a, b, d) with a < b of documents that meet, and the members (node, rep, bits) of nodes that stay large.
+    """Pairs (a, b, d) with a < b that meet in small nodes, and the members (pivot, rep, bits) of the other ones.
 
     ``reps`` has rep, bits and sketch, one row per distinct set. Every pair of a
     small node whose sketch bits differ in few places is a candidate; the join
-    emits only those.
+    emits only those. A larger node most of whose documents agree with its
+    pivot cannot be told apart by branching and leaves the tree as it is, and so
+    do those that are large after the last level. Nodes of one pivot are one.
     """
     kind = reps.schema["rep"].dataType.simpleString()
     names, schema = ["node", "rep", "bits"], f"node long, rep {kind}, bits long"
     frontier = reps.select("rep", "bits", "sketch").mapInArrow(_grow(names, how.trees), schema)
-    pairs, large = None, None
+    pairs, dense = None, None
     for level in range(how.levels):
         frontier = materialize(frontier, "nodes")
-        sizes = frontier.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        small = frontier.join(sizes.filter(F.col("size") <= how.leaf).select("node"), "node")
-        found = _meet(small, small)
+        nodes = frontier.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        small = frontier.join(nodes.filter(F.col("size") <= how.leaf).select("node"), "node")
+        found = materialize(_meet(small, small), "met")
         pairs = found if pairs is None else pairs.unionAll(found)
-        large = materialize(frontier.join(sizes.filter(F.col("size") > how.leaf).select("node"), "node"), "large")
+        large = materialize(frontier.join(nodes.filter(F.col("size") > how.leaf).select("node"), "node"), "large")
         if large.isEmpty():
-            large = None
             break
-        if level + 1 < how.levels:
-            grown = large.select("node", "rep").join(reps.select("rep", "bits", "sketch"), "rep").select("rep", "bits", "sketch", "node")
-            frontier = grown.mapInArrow(_grow(names), schema)
-    return pairs, large
+        last = level + 1 == how.levels
+        pivots = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "bits")).alias("p"))
+        led = large.join(pivots.select("node", F.col("p.rep").alias("pivot"), F.col("p.bits").alias("_p")), "node")
+        near = (F.bit_count(F.col("bits").bitwiseXOR(F.col("_p"))) <= MAX_DIFFERING).cast("int")
+        tight = led.groupBy("node").agg((F.avg(near) >= (0.0 if last else 0.5)).alias("tight"))
+        split = materialize(led.drop("_p").join(tight, "node"), "split")
+        done = split.filter("tight").select("pivot", "rep", "bits")
+        dense = done if dense is None else dense.unionAll(done)
+        if last:
+            break
+        grown = split.filter("NOT tight").select("node", "rep").join(reps.select("rep", "bits", "sketch"), "rep").select("rep", "bits", "sketch", "node")
+        frontier = grown.mapInArrow(_grow(names), schema)
+    if dense is not None:
+        dense = materialize(dense.distinct(), "dense")
+    return pairs, None if dense is None or dense.isEmpty() else dense
 
 
 def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -206,44 +219,121 @@ def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
     return x.join(y, close).select("a", "b", differing.alias("d"))
 
 
-def _pivot_pairs(large: DataFrame, pivots: int) -> DataFrame:
-    """Every member of a large node with the node's pivots (smallest hashes)."""
-    order = Window.partitionBy("node").orderBy(F.xxhash64("rep"), "rep")
-    chosen = large.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= pivots).drop("_n")
-    ways = _meet(large, chosen).unionAll(_meet(chosen, large))
-    return ways.distinct()
+def _pivot_pairs(dense: DataFrame, pivots: int) -> DataFrame:
+    """Every member of a dense node with a few of its members (smallest hashes)."""
+    order = Window.partitionBy("pivot").orderBy(F.xxhash64("rep"), "rep")
+    node = dense.withColumnRenamed("pivot", "node")
+    chosen = dense.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= pivots).drop("_n").withColumnRenamed("pivot", "node")
+    return _meet(node, chosen).unionAll(_meet(chosen, node))
 
 
-def _rest_pairs(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members outside their node's main component with every member of another component of the node."""
-    known = large.join(labels, large["rep"] == labels["node"], "left").select(large["node"], "rep", "bits", F.coalesce("component", "rep").alias("c"))
-    sizes = known.groupBy("node", "c").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("node").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    member = known.join(main.select("node", F.col("m.c").alias("main")), "node")
-    x = member.filter("c <> main").select("node", F.col("rep").alias("r"), F.col("bits").alias("x"), F.col("c").alias("cx"))
-    y = member.select(F.col("node").alias("_node"), F.col("rep").alias("s"), F.col("bits").alias("y"), F.col("c").alias("cy"))
-    differing = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    met = x.join(y, (F.col("node") == F.col("_node")) & (F.col("cx") != F.col("cy")) & (differing <= MAX_DIFFERING))
-    return met.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b"), differing.alias("d"))
+class _Merged:
+    """Union-find over what a task has met."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def root(self, x):
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x, y) -> None:
+        self.up[self.root(x)] = self.root(y)
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, how: JoinSettings) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+    """Pairs (a, b) with similar full sets, without those that such pairs connect already.
+
+    Every document is dealt to its smallest candidate, so that copies of one
+    text lie together and each text moves about once; documents around a hot one
+    are cut into blocks. Pairs across go to a group of their own two blocks.
+    """
     kind = pairs.schema["a"].dataType.simpleString()
-    with_a = pairs.select("a", "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
-    with_both = with_a.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
+    near = pairs.select(F.col("b").alias("x"), F.col("a").alias("g")).unionAll(pairs.select(F.col("a").alias("x"), F.col("a").alias("g")))
+    near = near.groupBy("x").agg(F.min("g").alias("g"))
+    blocks = near.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    home = materialize(near.join(blocks, "g").select("x", "g", F.pmod(F.xxhash64("x"), F.col("n")).cast("int").alias("k")), "homes")
+    at = lambda c: home.select(F.col("x").alias(c), F.col("g").alias(f"g{c}"), F.col("k").alias(f"k{c}"))
+    key = ["ga", "gb", "ka", "kb"]
+    dealt = materialize(pairs.join(at("a"), "a").join(at("b"), "b").select(*key, "a", "b", "d"), "dealt-pairs")
+    asked = dealt.select(*key, F.col("a").alias("rep")).unionAll(dealt.select(*key, F.col("b").alias("rep"))).distinct()
+    none = F.lit(None)
+    rows = asked.join(texts, "rep").select(*key, F.lit(-1).alias("d"), F.col("rep").alias("a"), none.cast(kind).alias("b"), "text")
+    rows = rows.unionAll(dealt.select(*key, F.col("d").cast("int"), "a", "b", none.cast("string").alias("text")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sets, merged = None, {}, _Merged()
+        for batch in batches:
+            out: list[tuple] = []
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6)]
+            for *own, a, b, text in zip(*columns, batch.column(7), strict=True):
+                if own != group:
+                    group, sets, merged = own, {}, _Merged()
+                if b is None:
+                    sets[a] = shingle_set(text.as_py(), how.words)
+                elif merged.root(a) != merged.root(b) and _similar(sets[a], sets[b], how.percent):
+                    merged.join(a, b)
+                    out.append((a, b))
+            yield pa.record_batch([pa.array([x[i] for x in out], batch.schema.field(5).type) for i in (0, 1)], ["a", "b"])
+
+    sorted_rows = rows.repartition(*key).sortWithinPartitions(*key, "d")
+    return sorted_rows.mapInArrow(compare, f"a {kind}, b {kind}")
+
+
+def _dense_links(dense: DataFrame, labels: DataFrame, texts: DataFrame, how: JoinSettings) -> DataFrame | None:
+    """Links between components of a dense node: members outside its main one meet all members, in blocks.
+
+    A task holds two blocks. Sketches are compared by matrix, close ones on full
+    sets, and only links that connect something new come out.
+    """
+    kind = dense.schema["rep"].dataType.simpleString()
+    known = dense.join(labels, dense["rep"] == labels["node"], "left").select("pivot", "rep", F.coalesce("component", "rep").alias("c"))
+    parts = known.groupBy("pivot", "c").agg(F.count("*").alias("n"))
+    main = parts.groupBy("pivot").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    main = main.filter("parts > 1").select("pivot", F.col("m.c").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("right"), F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("left"))
+    member = materialize(known.join(main, "pivot"), "dense-members")
+    if member.isEmpty():
+        return None
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    x = member.filter("c <> main").select("pivot", own("left").alias("i"), every("right").alias("j"), F.lit(0).alias("side"), "rep", "c")
+    y = member.select("pivot", every("left").alias("i"), own("right").alias("j"), F.lit(1).alias("side"), "rep", "c")
+    key = ["pivot", "i", "j"]
+    rows = x.unionAll(y).join(texts, "rep").select(*key, "side", "rep", "c", "text")
+
+    def met(left: list, right: list) -> list[tuple]:
+        merged, out = _Merged(), []
+        sketches = [np.stack([sketch(s) for _, _, s in side]) for side in (left, right)]
+        for (a, ca, sa), tokens in zip(left, sketches[0], strict=True):
+            same = (sketches[1] == tokens).sum(axis=1)
+            for k in np.flatnonzero(same >= MIN_TOKENS)[np.argsort(-same[same >= MIN_TOKENS], kind="stable")].tolist():
+                b, cb, sb = right[k]
+                if a != b and merged.root(ca) != merged.root(cb) and _similar(sa, sb, how.percent):
+                    merged.join(ca, cb)
+                    out.append((min(a, b), max(a, b)))
+        return out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sides, rep_type = None, ([], []), None
+        emit = lambda out: pa.record_batch([pa.array([x[i] for x in out], rep_type) for i in (0, 1)], ["a", "b"])
         for batch in batches:
-            good = []
-            for i, (ta, tb) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = shingle_set(ta.as_py(), how.words), shingle_set(tb.as_py(), how.words)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * shared >= how.percent * (len(x) + len(y) - shared) and shared:
-                    good.append(i)
-            yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
+            rep_type = batch.schema.field(4).type
+            for *now, side, rep, c, text in zip(*[batch.column(i).to_pylist() for i in range(6)], batch.column(6), strict=True):
+                if now != group:
+                    if sides[0] and sides[1]:
+                        yield emit(met(*sides))
+                    group, sides = now, ([], [])
+                sides[side].append((rep, c, shingle_set(text.as_py(), how.words)))
+        if sides[0] and sides[1]:
+            yield emit(met(*sides))
 
-    return with_both.select("a", "b", "ta", "tb").mapInArrow(compare, f"a {kind}, b {kind}")
+    return rows.repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicate_components(docs: DataFrame, how: JoinSettings = JoinSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,11 +351,9 @@ def near_duplicate_components(docs: DataFrame, how: JoinSettings = JoinSettings(
     schema = f"doc_id {id_type}, n long, k1 long, k2 long, bits long, sketch binary"
     sketched = materialize(plain.mapInArrow(_sketches(how.words), schema), "sketches")
     real = sketched.filter("n > 0 AND doc_id IS NOT NULL")
-    groups = materialize(real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "groups")
-    reps = materialize(
-        real.join(groups.select("rep").distinct(), real["doc_id"] == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "bits", "sketch").dropDuplicates(["rep", "bits"]),
-        "representatives",
-    )
+    first = F.min(F.struct("doc_id", "bits", "sketch")).alias("r")
+    grouped = materialize(real.groupBy("n", "k1", "k2").agg(first).select("n", "k1", "k2", F.col("r.doc_id").alias("rep"), "r.bits", "r.sketch"), "groups")
+    groups, reps = grouped.select("n", "k1", "k2", "rep"), grouped.select("rep", "bits", "sketch")
     labels = _labels(plain, reps, how)
     known = groups.join(labels, groups["rep"] == labels["node"], "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
     rows = sketched.select("doc_id", "n", "k1", "k2")
@@ -278,35 +366,33 @@ def near_duplicate_components(docs: DataFrame, how: JoinSettings = JoinSettings(
 
 
 def _labels(plain: DataFrame, reps: DataFrame, how: JoinSettings) -> DataFrame:
-    pairs, large = candidate_pairs(reps, how)
-    if large is not None:
-        pairs = pairs.unionAll(_pivot_pairs(large, how.pivots))
+    pairs, dense = candidate_pairs(reps, how)
+    if dense is not None:
+        pairs = pairs.unionAll(_pivot_pairs(dense, how.pivots))
     pairs = materialize(pairs.groupBy("a", "b").agg(F.min("d").alias("d")), "pairs")
     ends = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep")))
-    if large is not None:
-        ends = ends.unionAll(large.select("rep"))
-    texts = plain.select(F.col("doc_id").alias("rep"), "text").join(ends.distinct(), "rep", "left_semi")
-    texts = materialize(texts, "texts")
-    first = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = materialize(_confirm(first, texts, how), "links")
+    if dense is not None:
+        ends = ends.unionAll(dense.select("rep"))
+    texts = materialize(_texts_of(plain, materialize(ends.distinct(), "ends")), "texts")
+    links = materialize(_confirm(pairs, texts, how), "links")
     labels = materialize(connected_components(links), "labels")
-    links, labels = _remaining(pairs, links, labels, texts, how)
-    if large is not None:
-        rest = materialize(_rest_pairs(large, labels).groupBy("a", "b").agg(F.min("d").alias("d")).join(pairs, ["a", "b"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            links, labels = _remaining(rest, links, labels, texts, how)
-    return labels
-
-
-def _remaining(pairs: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame, how: JoinSettings) -> tuple[DataFrame, DataFrame]:
-    """Confirm the pairs that the confirmed links do not connect yet."""
-    la, lb = (labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b"))
-    apart = pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    apart = materialize(apart, "apart")
-    if apart.isEmpty():
-        return links, labels
-    links = materialize(links.unionAll(_confirm(apart, texts, how)), "links")
-    return links, materialize(connected_components(links), "labels")
+    more = None if dense is None else _dense_links(dense, labels, texts, how)
+    if more is None:
+        return labels
+    more = materialize(more, "links")
+    return labels if more.isEmpty() else materialize(connected_components(links.unionAll(more)), "labels")
+
+
+def _texts_of(plain: DataFrame, ends: DataFrame) -> DataFrame:
+    """rep, text of the documents in ``ends``; a filter keeps most other texts from being moved to the join."""
+    held = plain.sparkSession.sparkContext.broadcast(bloom_of(ends.select(F.xxhash64("rep").alias("hash")), FILTER_BITS))
+
+    @F.pandas_udf("boolean")
+    def may_hold(hashes: pd.Series) -> pd.Series:
+        return pd.Series(held.value.may_hold(hashes.to_numpy().view(np.uint64)))
+
+    asked = plain.select(F.col("doc_id").alias("rep"), "text").filter(F.col("rep").isNotNull())
+    return asked.filter(may_hold(F.xxhash64("rep"))).join(ends, "rep", "left_semi")
 
 
 def keep_one_per_group(docs: DataFrame, how: JoinSettings = JoinSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,8 +44,10 @@ def test_same_as_brute_force(given, words):
     assert result(N.near_duplicate_components(docs, N.JoinSettings(words=words))) == brute(rows, words)
 
 
-def test_large_group_of_near_copies(documents):
+@pytest.mark.parametrize("block", [512, 16])
+def test_large_group_of_near_copies(documents, monkeypatch, block):
     """One node stays large in every tree; chains of links cross it."""
+    monkeypatch.setattr(N, "BLOCK", block)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
     rows = []
