@@ -21,11 +21,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.near_duplicates import mix
+from corpusloom.llm.hash_filter import HashFilter, bloom_of, mix
 from corpusloom.session import materialize
 
 LENGTH = 100
@@ -94,32 +95,12 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-class RepeatFilter:
-    """Bloom filter of repeated anchor hashes."""
-
-    def __init__(self, n: int):
-        size = 1 << 16
-        while size < min(16 * n, FILTER_BITS):
-            size *= 2
-        self.mask, self.k = np.uint64(size - 1), 4
-        self.words = np.zeros(size // 64, dtype=np.uint64)
-
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        step = mix(hashes) | np.uint64(1)
-        with np.errstate(over="ignore"):
-            return (hashes[:, None] + step[:, None] * np.arange(self.k, dtype=np.uint64)) & self.mask
-
-    def may_repeat(self, hashes: np.ndarray) -> np.ndarray:
-        at = self.places(hashes)
-        return ((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
-
-
 def _raw(text: pa.Scalar) -> np.ndarray:
     value = text.as_buffer()
     return np.frombuffer(value, dtype=np.uint8) if value is not None and value.size else np.zeros(0, dtype=np.uint8)
 
 
-def repeated_anchors(docs: DataFrame) -> RepeatFilter:
+def repeated_anchors(docs: DataFrame) -> HashFilter:
     """Filter of the anchor hashes that occur at least twice in column ``text``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,25 +118,8 @@ def repeated_anchors(docs: DataFrame) -> RepeatFilter:
         values, times = np.unique(np.concatenate(held) if held else np.zeros(0, dtype=np.uint64), return_counts=True)
         return pa.record_batch([pa.array(values.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int8))], ["hash", "times"])
 
-    spark = docs.sparkSession
     again = docs.select("text").mapInArrow(count, "hash long, times byte").groupBy("hash").agg(F.sum("times").alias("times")).filter("times > 1").select("hash")
-    again = materialize(again, "repeated-anchors")
-    filled = RepeatFilter(again.count())
-    shape = spark.sparkContext.broadcast((filled.mask, filled.k))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = RepeatFilter(0)
-        empty.mask, empty.k = shape.value
-        for batch in batches:
-            at = np.unique(empty.places(batch.column(0).to_numpy().view(np.uint64)))
-            word, first = np.unique(at >> np.uint64(6), return_index=True)
-            bits = np.left_shift(np.uint64(1), at & np.uint64(63))
-            mask = np.bitwise_or.reduceat(bits, first) if len(first) else bits
-            yield pa.record_batch([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], ["word", "mask"])
-
-    words = again.mapInArrow(mark, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    filled.words[words["word"].to_numpy()] = words["mask"].to_numpy(dtype=np.int64).view(np.uint64)
-    return filled
+    return bloom_of(materialize(again, "repeated-anchors"), FILTER_BITS)
 
 
 # ---- runs -----------------------------------------------------------------
@@ -170,7 +134,7 @@ def shared_length(a: bytes, b: bytes, start: int = 0) -> int:
 
 
 def front_code(records: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
-    """Sorted (suffix, left, doc, text hash, start): lengths and numbers as arrays, then the bytes that are new."""
+    """Sorted (suffix, left, doc, text hash, start), packed: lengths, places and documents as arrays, then the bytes that are new."""
     n, before = len(records), b""
     shared, rest, lefts, bodies = np.zeros(n, "<u2"), np.zeros(n, "<u2"), np.zeros(n, "<u1"), []
     for i, (suffix, left, _, _, _) in enumerate(records):
@@ -179,23 +143,30 @@ def front_code(records: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
         bodies.append(suffix[same:])
         bodies.append(left)
         before = suffix
-    numbers = np.array([r[2:] for r in records], dtype="<i8").reshape(n, 3)
-    return b"".join([n.to_bytes(4, "little"), shared.tobytes(), rest.tobytes(), lefts.tobytes(), numbers.tobytes(), *bodies])
+    known = {d: i for i, d in enumerate(dict.fromkeys((doc, text) for _, _, doc, text, _ in records))}
+    which = np.array([known[doc, text] for _, _, doc, text, _ in records], dtype="<u4")
+    starts = np.array([r[4] for r in records], dtype="<u4")
+    table = np.array(list(known), dtype="<i8").reshape(len(known), 2)
+    head = n.to_bytes(4, "little") + len(known).to_bytes(4, "little")
+    plain = b"".join([head, shared.tobytes(), rest.tobytes(), lefts.tobytes(), which.tobytes(), starts.tobytes(), table.tobytes(), *bodies])
+    return len(plain).to_bytes(4, "little") + pa.Codec("zstd").compress(plain, asbytes=True)
 
 
-def read_run(block: bytes) -> Iterator[tuple[int, bytes, bytes, int, int, int]]:
+def read_run(packed: bytes) -> Iterator[tuple[int, bytes, bytes, int, int, int]]:
     """(shared with the record before, suffix, left, doc, text hash, start) in order."""
-    n, at = int.from_bytes(block[:4], "little"), 4
-    shared = np.frombuffer(block, "<u2", n, at).tolist()
-    rest = np.frombuffer(block, "<u2", n, at + 2 * n).tolist()
-    lefts = np.frombuffer(block, "<u1", n, at + 4 * n).tolist()
-    numbers = np.frombuffer(block, "<i8", 3 * n, at + 5 * n).reshape(n, 3).tolist()
-    at += 29 * n
+    block = pa.Codec("zstd").decompress(packed[4:], decompressed_size=int.from_bytes(packed[:4], "little"), asbytes=True)
+    n, known, at = int.from_bytes(block[:4], "little"), int.from_bytes(block[4:8], "little"), 8
+    columns = []
+    for kind, width in (("<u2", 2), ("<u2", 2), ("<u1", 1), ("<u4", 4), ("<u4", 4)):
+        columns.append(np.frombuffer(block, kind, n, at).tolist())
+        at += width * n
+    table = np.frombuffer(block, "<i8", 2 * known, at).reshape(known, 2).tolist()
+    at += 16 * known
     suffix = b""
-    for same, more, left, (doc, text, start) in zip(shared, rest, lefts, numbers, strict=True):
+    for same, more, left, which, start in zip(*columns, strict=True):
         suffix = suffix[:same] + block[at : at + more]
         at += more
-        yield same, suffix, block[at : at + left], doc, text, start
+        yield same, suffix, block[at : at + left], *table[which], start
         at += left
 
 
@@ -326,7 +297,7 @@ def _send_runs(repeat, ranges: int):
                 value, place, first, last = anchors(raw)
                 if not len(value):
                     continue
-                again = repeat.value.may_repeat(value)
+                again = repeat.value.may_hold(value)
                 data = raw.tobytes()
                 for h, a, s, e in zip(mix(value[again]).tolist(), place[again].tolist(), first[again].tolist(), last[again].tolist(), strict=True):
                     records.append((h.to_bytes(8) + data[a : e + LENGTH], data[s:a], doc, text_hash, s))
@@ -459,14 +430,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A character that a cut divides goes as a whole.
     """
-    spans = repeated_spans(_keyed(docs, id_col, text_col)).withColumnsRenamed({"doc": "_doc", "text_hash": "_hash", "spans": "_spans"})
+    spans = materialize(repeated_spans(_keyed(docs, id_col, text_col)), "spans")
+    spans = spans.select(
+        F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"),
+        F.transform("spans", lambda x: x.s).alias("_from"), F.transform("spans", lambda x: x.e).alias("_to"),
+    )
     own = F.coalesce(docs[id_col].cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
     joined = docs.join(spans, (own == F.col("_doc")) & (F.xxhash64(docs[text_col]) == F.col("_hash")), "left")
 
-    @F.udf("string", useArrow=True)
-    def cut(text: str, spans: list) -> str:
-        return kept_bytes(text.encode("utf-8"), [{"s": x[0], "e": x[1]} for x in spans]).decode("utf-8", "ignore")
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        out = []
+        for text, s, e in zip(texts, starts, ends, strict=True):
+            if text is not None and s is not None:
+                text = kept_bytes(text.encode("utf-8"), [{"s": a, "e": b} for a, b in zip(s, e, strict=True)]).decode("utf-8", "ignore")
+            out.append(text)
+        return pd.Series(out, dtype=object)
 
-    whole = joined.filter("_spans IS NULL").drop("_doc", "_hash", "_spans")
-    shorter = joined.filter("_spans IS NOT NULL").withColumn(text_col, cut(F.col(text_col), F.col("_spans"))).drop("_doc", "_hash", "_spans")
-    return whole.unionAll(shorter)
+    return joined.withColumn(text_col, cut(F.col(text_col), F.col("_from"), F.col("_to"))).drop("_doc", "_hash", "_from", "_to")
