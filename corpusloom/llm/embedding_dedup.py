@@ -28,6 +28,8 @@ from corpusloom.session import materialize
 
 BITS = 64
 TABLES = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Bits (of 64) in which codes may differ; at a cosine of 0.98 the mean is 4.1 and the deviation 2.
+MAX_DIFFERING = 14
 SAMPLE = 4096
 ROUNDS = 30
 #: Room for rounding in angles that are compared without looking at the pair itself.
@@ -106,19 +108,13 @@ def _part(code: Column, table: int) -> Column:
 
 
 def class_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of one label whose codes meet in a table, each once."""
+    """Pairs (a, b) of classes of one label whose codes meet in a table and are near, each once."""
     def side(name: str, probe: bool) -> DataFrame:
-        parts = []
-        for t, (_, width) in enumerate(TABLES):
-            flips = F.explode(F.array(*[F.lit(x).cast("bigint") for x in [0, *(1 << i for i in range(width))]])) if probe else F.lit(0).cast("bigint")
-            parts.append(
-                classes.select("label", "dim", F.lit(t).alias("t"), _part(F.col("code"), t).alias("p"), F.col("class").alias(name), F.col("code").alias(f"code_{name}"), flips.alias("flip"))
-                .withColumn("p", F.col("p").bitwiseXOR(F.col("flip"))).drop("flip")
-            )
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionAll(p)
-        return whole
+        looks = [(t, at, (1 << width) - 1, flip) for t, (at, width) in enumerate(TABLES) for flip in [0, *((1 << i for i in range(width)) if probe else ())]]
+        each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("t", "at", "mask", "flip"), look, strict=True)]) for look in looks]))
+        one = classes.select("label", "dim", F.col("class").alias(name), F.col("code").alias(f"code_{name}"), each.alias("m"))
+        part = F.expr(f"(shiftrightunsigned(code_{name}, m.at) & bigint(m.mask)) ^ bigint(m.flip)")
+        return one.select("label", "dim", F.col("m.t").alias("t"), part.alias("p"), name, f"code_{name}")
 
     x, y = side("a", True), side("b", False).withColumnsRenamed({"label": "_l", "dim": "_d", "t": "_t", "p": "_p"})
     apart = F.col("code_a").bitwiseXOR(F.col("code_b"))
@@ -126,7 +122,8 @@ def class_pairs(classes: DataFrame) -> DataFrame:
     for t in range(len(TABLES) - 1):
         first = first & ((F.col("t") <= t) | (F.bit_count(_part(apart, t)) > 1))
     on = (F.col("label") == F.col("_l")) & (F.col("dim") == F.col("_d")) & (F.col("t") == F.col("_t")) & (F.col("p") == F.col("_p"))
-    return x.join(y, on & (F.col("a") < F.col("b")) & first).select("a", "b")
+    near = F.bit_count(apart) <= MAX_DIFFERING
+    return x.join(y, on & (F.col("a") < F.col("b")) & near & first).select("a", "b")
 
 
 def near_duplicate_vectors(
