@@ -9,6 +9,7 @@ document order in Parquet files below ``path/docs``, the ranks below
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,10 @@ from pyspark.sql import functions as F
 from corpusloom.session import scratch_path
 
 END_ID = 1
-MAX_KNOWN = 400_000
+#: Pieces and chunks that a worker keeps.
+MAX_KNOWN = 1_000_000
+# fixed value: the pattern of the tokenizer whose texts are encoded piece by piece
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Letters, digits and signs that normalisation leaves alone one by one, with the white space between them;
 # every other text goes to the tokenizer as a whole.
 _LETTER = "a-zß-öø-ſ"
@@ -59,11 +63,17 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def id_kind(vocabulary: int) -> str:
+    """Type in which ids are held before they are ranked."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizer; of plain texts each piece is given to it once and kept.
 
-    White space separates pieces and is dropped by this tokenizer, so the ids
-    of a plain text are those of its pieces in order.
+    Where the tokenizer folds case, splits by ``PIECE`` and drops white space,
+    the ids of a plain text are those of its pieces in order. Pieces go to the
+    tokenizer many at a time; the ids that end a word tell them apart again.
     """
 
     def __init__(self, definition: str):
@@ -71,33 +81,49 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.known: dict[str, bytes] = {}  # pieces, and chunks between white space
+        spec = json.loads(definition)
+        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_piece = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == SPLIT and bool(suffix)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.kind = id_kind(len(self.ends_word))
+        if suffix:
+            self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _direct(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), 1024):
+            part = new[at : at + 1024]
+            (ids,) = self._direct([" ".join(part)])
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * ids.itemsize
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                cut = [raw[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            else:
+                cut = [x.tobytes() for x in self._direct(part)]
+            self.known.update(zip(part, cut, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.pieces) > MAX_KNOWN:
-            self.pieces.clear()
-        if len(self.chunks) > MAX_KNOWN:
-            self.chunks.clear()
-        split = [t.lower().split() if t and not PLAIN.search(t) else None for t in texts]
-        fresh = {c for parts in split if parts for c in parts if c not in self.chunks}
-        cut = {c: PIECE.findall(c) for c in fresh}
-        new = list({p for parts in cut.values() for p in parts if p not in self.pieces})
-        for at in range(0, len(new), 4096):
-            self.pieces.update(zip(new[at : at + 4096], self._direct(new[at : at + 4096]), strict=True))
-        get = self.pieces.__getitem__
-        self.chunks.update((c, b"".join(map(get, parts))) for c, parts in cut.items())
-        get = self.chunks.__getitem__
+        known = self.known
+        if len(known) > MAX_KNOWN:
+            known.clear()
+        split = [t.lower().split() if t and self.by_piece and not PLAIN.search(t) else None for t in texts]
+        fresh = set().union(*(parts for parts in split if parts)).difference(known)
+        cut = {c: PIECE.findall(c) for c in fresh if not c.isalpha()}
+        self._learn(list(fresh.difference(cut).union(*cut.values()).difference(known)))
+        get = known.__getitem__
+        known.update([(c, b"".join(map(get, parts))) for c, parts in cut.items()])
         rows = []
         for text, parts in zip(texts, split, strict=True):
             if parts is not None:
-                ids = b"".join(map(get, parts))
+                rows.append(np.frombuffer(b"".join(map(get, parts)), dtype=self.kind))
             else:
-                ids = self._direct([text])[0] if text else b""
-            rows.append(np.frombuffer(ids, dtype="<u4"))
+                rows.append(self._direct([text])[0] if text else np.zeros(0, dtype=self.kind))
         return rows
 
 
@@ -126,61 +152,67 @@ def _batches(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[tuple[pa.R
         yield batch.slice(at), texts[at:]
 
 
-def count_ids(docs: DataFrame, shared, text_col: str) -> list[tuple[int, int]]:
-    """(id, occurrences) over all texts, an end id each; at most one row per vocabulary entry reaches the driver."""
+def count_ids(stored: DataFrame, held: str) -> list[tuple[int, int]]:
+    """(id, occurrences) over the column ``ids``; at most one row per vocabulary entry reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = _encoder(shared), np.zeros(END_ID + 1, dtype=np.int64)
+        total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for _, texts in _batches(batch):
-                more = np.bincount(np.concatenate(encoder.encode(texts)), minlength=len(total))
-                more[END_ID] += len(texts)
-                total = np.pad(total, (0, max(0, len(more) - len(total))))
+            for ids in batch.column(0):
+                more = np.bincount(np.frombuffer(ids.as_buffer(), dtype=held).astype(np.int32))
+                if len(more) > len(total):
+                    total = np.pad(total, (0, len(more) - len(total)))
                 total[: len(more)] += more
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    counted = docs.select(text_col).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = stored.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return [(r["id"], r["n"]) for r in counted.collect()]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write ``docs`` and ``ranks`` below ``path``; ``tokenizer`` is the JSON definition.
 
-    The texts are read twice, for the counts and for the files; only the second
-    reading moves them, by ranges of the id. Null texts hold the end id alone.
+    Texts are dealt by ranges of the id, encoded once and stored in order in the
+    scratch folder; the counts and then the files are made from these ids. Every
+    row names its range and its place there. Null texts hold the end id alone.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer)
-    counts = count_ids(docs, shared, text_col)
-    order = [i for i, _ in sorted(counts, key=lambda x: (-x[1], x[0]))]
-    spark.createDataFrame([(i, r) for r, i in enumerate(order)], "id long, rank long").coalesce(1).write.parquet(f"{path}/ranks")
-    table = np.zeros(max(order, default=0) + 1, dtype="<u4")
-    table[order] = np.arange(len(order), dtype="<u4")
-    ranks = spark.sparkContext.broadcast(table)  # one entry per vocabulary id
+    held = WordEncoder(tokenizer).kind
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["doc_id", "part", "part_start", "n_tokens"]
+    head = f"doc_id {kind}, part int, part_start long, n_tokens long"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at, end = _encoder(shared), TaskContext.get().partitionId(), 0, np.array([END_ID], dtype="<u4")
+        encoder, part, at, end = _encoder(shared), TaskContext.get().partitionId(), 0, np.array([END_ID], dtype=held).tobytes()
         for batch in batches:
             for rows, texts in _batches(batch):
-                coded, sizes = [], []
-                for ids in encoder.encode(texts):
-                    coded.append(encode_ranks(ranks.value[np.concatenate([ids, end])]))
-                    sizes.append(len(ids) + 1)
+                coded = [ids.tobytes() + end for ids in encoder.encode(texts)]
+                sizes = np.array([len(c) // len(end) for c in coded])
                 starts = at + np.cumsum(sizes) - sizes
-                at += sum(sizes)
-                yield pa.record_batch(
-                    [
-                        rows.column(0), pa.array([part] * len(sizes), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()),
-                        pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary()),
-                    ],
-                    ["doc_id", "part", "part_start", "n_tokens", "control", "data"],
-                )
+                at += int(sizes.sum())
+                own = [rows.column(0), pa.array([part] * len(sizes), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())]
+                yield pa.record_batch([*own, pa.array(coded, pa.binary())], [*names, "ids"])
 
     ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    schema = f"doc_id {kind}, part int, part_start long, n_tokens long, control binary, data binary"
-    ordered.mapInArrow(encode, schema).write.parquet(f"{path}/docs")
+    raw = scratch_path(spark, "token-ids")
+    ordered.mapInArrow(encode, f"{head}, ids binary").write.option("compression", "zstd").parquet(raw)
+    stored = spark.read.parquet(raw)
+    order = [i for i, _ in sorted(count_ids(stored, held), key=lambda x: (-x[1], x[0]))]
+    spark.createDataFrame([(i, r) for r, i in enumerate(order)], "id long, rank long").coalesce(1).write.parquet(f"{path}/ranks")
+    table = np.zeros(max(order, default=0) + 1, dtype="<u4")
+    table[order] = np.arange(len(order), dtype="<u4")
+    ranks = spark.sparkContext.broadcast(table)  # one entry per vocabulary id
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = [encode_ranks(ranks.value[np.frombuffer(ids.as_buffer(), dtype=held)]) for ids in batch.column(4)]
+            two = [pa.array([c[i] for c in coded], pa.binary()) for i in (0, 1)]
+            yield pa.record_batch([*batch.columns[:4], *two], [*names, "control", "data"])
+
+    ranked = stored.select(*names, "ids").mapInArrow(rank, f"{head}, control binary, data binary")
+    ranked.sortWithinPartitions("part", "part_start").write.option("compression", "zstd").parquet(f"{path}/docs")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
