@@ -82,9 +82,18 @@ def test_embedding_runs_once_below_an_explode(spark, sf):
 def test_bm25_sums_without_shuffling_pairs(spark, sf):
     index = build_bm25_index(corpus_chunks(spark, sf))
     plan = plan_of(bm25_search(index, benchmark_queries(spark, sf), 5, "query"))
-    # the only shuffle is the one by query, after each task kept its k best
-    assert plan.count("Exchange hashpartitioning") == 1
+    # the only shuffles are those by query, salted first, after each task kept its k best
+    assert plan.count("Exchange hashpartitioning") == 2
     assert plan.index("WindowGroupLimit") < plan.index("Exchange hashpartitioning") < plan.rindex("WindowGroupLimit")
+    assert plan.rindex("Exchange hashpartitioning") < plan.rindex("WindowGroupLimit")
+    index.drop()
+
+
+def test_bm25_names_few_terms_to_the_scan(spark, sf):
+    index = build_bm25_index(corpus_chunks(spark, sf))
+    one = spark.createDataFrame([(1, "the")], "query_id int, query string")
+    plan = plan_of(bm25_search(index, one, 5, "query"))
+    assert "EqualTo(term,the)" in plan
     index.drop()
 
 
