@@ -406,8 +406,19 @@ def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Repeated rows share their id's spans, and neither counts as the earlier
     one; a null id counts as the smallest. An empty table gives an empty result.
     """
-    spans = repeated_spans(_keyed(docs, id_col, text_col))
-    rows = _keyed(docs, id_col, text_col).join(spans, ["doc", "text_hash"], "left")
+    keyed = _keyed(docs, id_col, text_col)
+    spans = materialize(repeated_spans(keyed), "spans")
+    key = F.xxhash64("doc", "text_hash")
+    held = docs.sparkSession.sparkContext.broadcast(bloom_of(spans.select(key.alias("hash")), FILTER_BITS))
+
+    @F.pandas_udf("boolean")
+    def may_hold(hashes: pd.Series) -> pd.Series:
+        return pd.Series(held.value.may_hold(hashes.to_numpy().view(np.uint64)))
+
+    # texts that surely lose nothing are not moved to the join
+    marked = keyed.withColumn("_cut", may_hold(key))
+    whole = marked.filter("NOT _cut").drop("_cut").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    rows = marked.filter("_cut").drop("_cut").join(spans, ["doc", "text_hash"], "left").unionByName(whole)
     rows = rows.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).cast(docs.schema[id_col].dataType).alias("doc_id"), "text", "spans")
     kind = docs.schema[id_col].dataType.simpleString()
 
