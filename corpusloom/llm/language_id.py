@@ -142,22 +142,34 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_TEXTS) -> KernelModel:
     """Fit on a bounded sample of the labelled rows that are not held out.
 
-    Counts per language set a threshold on the hash of the text; below it equal
-    texts are joined, and the smallest hashes of each language are taken. So a
-    hot language or a much-copied text costs no more than any other, and the
-    sample is the same however the table is partitioned.
+    Distinct texts are counted by language and size of their hash. The counts
+    give each language the least power of two below which enough distinct texts
+    lie (or all it has); of these the smallest hashes are taken. So a hot
+    language or a much-copied text costs no more than any other, copies take no
+    other text's place, and the sample is the same however the table is
+    partitioned.
     """
     labelled = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h")
     ).filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    place = F.pmod("h", F.lit(1 << 30))
+    sizes = labelled.select("lang", "h").distinct().groupBy("lang", F.length(F.bin(place)).alias("bits")).count()
+    counts: dict[str, dict[int, int]] = {}
+    for r in sizes.collect():  # at most 30 rows per language
+        counts.setdefault(r["lang"], {})[r["bits"]] = r["count"]
     if not counts:
         return fit([])
     each = max(2, sample // len(counts))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 16.0 * each / n))])
-    below = F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * float(1 << 30)
+    bound = {}
+    for lang, by_bits in counts.items():
+        held = 0
+        for bits in sorted(by_bits):
+            held, bound[lang] = held + by_bits[bits], 1 << bits
+            if held >= each:
+                break
+    below = place < F.try_element_at(F.create_map(*[F.lit(x) for pair in bound.items() for x in pair]), F.col("lang"))
     distinct = labelled.filter(below).groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
-    first = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    first = Window.partitionBy("lang").orderBy(place, "h")
     picked = distinct.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= each)
 
     @F.pandas_udf("array<int>")

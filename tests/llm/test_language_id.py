@@ -44,3 +44,14 @@ def test_pieces_join_without_loss():
 
     text = EN * 3
     assert np.array_equal(np.unique(L.gram_buckets(text, piece=17)), np.unique(L.gram_buckets(text)))
+
+
+def test_copies_do_not_crowd_out_the_texts_of_their_language(documents, monkeypatch):
+    rows = [(i, DE.format("eins"), "de") for i in range(3996)] + [(3996 + i, DE.format("abcd"[i] * 5), "de") for i in range(4)]
+    rows += [(5000 + i, EN.format(f"{chr(97 + i % 26)}{chr(97 + i // 26)}" * 3), "en") for i in range(200)]
+    learnt = []
+    monkeypatch.setattr(L, "fit", lambda samples: learnt.extend(samples))
+    L.train(documents(rows), sample=8)
+    texts = {(name, tuple(ids)) for name, ids in learnt}
+    assert len(learnt) == len(texts) == 8
+    assert sorted(name for name, _ in texts) == ["de"] * 4 + ["en"] * 4
