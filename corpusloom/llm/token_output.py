@@ -74,25 +74,35 @@ class WordEncoder:
     Where the tokenizer folds case, splits by ``PIECE`` and drops white space,
     the ids of a plain text are those of its pieces in order. Pieces go to the
     tokenizer many at a time; the ids that end a word tell them apart again.
+    The tokenizer finds added tokens (``<|endoftext|>``) before it splits, so a
+    text that holds the content of one, in whatever case, is no plain text.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}  # pieces, and chunks between white space
         spec = json.loads(definition)
         steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         suffix = spec["model"].get("end_of_word_suffix")
-        self.by_piece = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == SPLIT and bool(suffix)
+        self.added = [token["content"].lower() for token in spec.get("added_tokens") or []]
+        plain = not any(PLAIN.search(content) or content.split() != [content] for content in self.added)
+        self.by_piece = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == SPLIT and bool(suffix) and plain
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word = np.zeros(max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1, dtype=bool)
         self.kind = id_kind(len(self.ends_word))
         if suffix:
             self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
+    def _chunks(self, text: str | None) -> list[str] | None:
+        """Lower-cased parts between white space; None if the text has to be encoded whole."""
+        if not text or not self.by_piece or PLAIN.search(text):
+            return None
+        lower = text.lower()
+        return None if any(content in lower for content in self.added) else lower.split()
+
     def _direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -112,7 +122,7 @@ class WordEncoder:
         known = self.known
         if len(known) > MAX_KNOWN:
             known.clear()
-        split = [t.lower().split() if t and self.by_piece and not PLAIN.search(t) else None for t in texts]
+        split = [self._chunks(t) for t in texts]
         fresh = set().union(*(parts for parts in split if parts)).difference(known)
         cut = {c: PIECE.findall(c) for c in fresh if not c.isalpha()}
         self._learn(list(fresh.difference(cut).union(*cut.values()).difference(known)))

@@ -64,3 +64,20 @@ def test_edge_cases(documents):
     assert [r["doc_id"] for r in got] == [None, -5, 1, 2, 2, 3]
     assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:i]) for i in range(6)]
     assert K.token_round_trip(documents([]), PATH).count() == 0
+
+
+def test_added_tokens_get_the_ids_of_an_unchanged_tokenizer(documents, encoder):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "a<|startoftext|>b", "<|EndOfText|> a", "x <|STARTOFTEXT|>", "<|endoftext|><|endoftext|>", "<| endoftext |>", "<|endoftext|", "日<|endoftext|>", "plain"]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 49407 in want[0]
+    assert [ids.tolist() for ids in encoder.encode(texts)] == want
+    random.seed(6)
+    parts = ["<|", "|>", "endoftext", "startoftext", "<|endoftext|>", "<|STARTOFTEXT|>", " ", "a", "É", "'s", "\n", "1"]
+    mixed = ["".join(random.choice(parts) for _ in range(random.randint(1, 12))) for _ in range(2000)]
+    for text, ids in zip(mixed, encoder.encode(mixed), strict=True):
+        assert ids.tolist() == fresh.encode(text, add_special_tokens=False).ids, text
+    rows = sorted(K.token_round_trip(documents(list(enumerate(texts))), PATH).collect(), key=lambda r: r["doc_id"])
+    assert [r["ids_crc32"] for r in rows] == [zlib.crc32(np.array([*w, K.END_ID], dtype="<u4").tobytes()) for w in want]
