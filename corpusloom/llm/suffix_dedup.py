@@ -13,6 +13,10 @@ record: the suffix from the anchor on, and the bytes before it.
    it shares with the last output, and so compares no known prefix again.
 4. Suffixes of one anchor come out together. Equal windows among them are found
    by their hashes; all but the earliest are removed.
+
+Records of an anchor that occurs very often do not take part in 2 to 4. The
+sending task compares their windows in blocks and sends the earliest of each
+window hash, dealt by that hash; all but the earliest of these are removed.
 """
 
 from __future__ import annotations
@@ -37,8 +41,12 @@ FILTER_BITS = 1 << 28
 RUN_BYTES = 48 << 20
 #: Bytes of text that one pass over a long document looks at.
 PIECE = 1 << 22
-#: Context bytes whose windows are compared at once; a larger group is held as a whole.
+#: Context bytes whose windows are compared at once; a larger group (at most HOT_RECORDS) is held as a whole.
 GROUP_BYTES = 1 << 20
+#: Anchors that occur more often are dealt by their windows; a window is a row of 32 bytes, so fewer records are cheaper as a group.
+HOT_RECORDS = 1 << 14
+#: Bytes of records of hot anchors that are compared and sent together.
+HOT_BYTES = 4 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _TABLE: list[np.ndarray] = [np.ones(0, dtype=np.uint64)] * 2
@@ -100,8 +108,8 @@ def _raw(text: pa.Scalar) -> np.ndarray:
     return np.frombuffer(value, dtype=np.uint8) if value is not None and value.size else np.zeros(0, dtype=np.uint8)
 
 
-def repeated_anchors(docs: DataFrame) -> HashFilter:
-    """Filter of the anchor hashes that occur at least twice in column ``text``."""
+def repeated_anchors(docs: DataFrame) -> tuple[HashFilter, np.ndarray]:
+    """Filter of the anchor hashes that occur at least twice in column ``text``; sorted hashes of those over HOT_RECORDS."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -116,10 +124,12 @@ def repeated_anchors(docs: DataFrame) -> HashFilter:
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         values, times = np.unique(np.concatenate(held) if held else np.zeros(0, dtype=np.uint64), return_counts=True)
-        return pa.record_batch([pa.array(values.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int8))], ["hash", "times"])
+        return pa.record_batch([pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], ["hash", "times"])
 
-    again = docs.select("text").mapInArrow(count, "hash long, times byte").groupBy("hash").agg(F.sum("times").alias("times")).filter("times > 1").select("hash")
-    return bloom_of(materialize(again, "repeated-anchors"), FILTER_BITS)
+    counted_all = docs.select("text").mapInArrow(count, "hash long, times long").groupBy("hash").agg(F.sum("times").alias("times"))
+    again = materialize(counted_all.filter("times > 1").select("hash", (F.col("times") > HOT_RECORDS).alias("hot")), "repeated-anchors")
+    hot = [r["hash"] for r in again.filter("hot").select("hash").toLocalIterator()]  # at most one per HOT_RECORDS anchors
+    return bloom_of(again.select("hash"), FILTER_BITS), np.sort(np.array(hot, dtype=np.int64).view(np.uint64))
 
 
 # ---- runs -----------------------------------------------------------------
@@ -224,8 +234,9 @@ def merge_runs(blocks: list[bytes]) -> Iterator[tuple[int, bytes, bytes, int, in
 
 
 # ---- windows ----------------------------------------------------------------
-def repeated_windows(group: list[tuple[bytes, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(doc, text hash, from, to) of the bytes under windows that also start earlier in the records (context, doc, text hash, start)."""
+def compare_windows(group: list[tuple[bytes, int, int, int]]) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+    """Spans (doc, text hash, from, to) under windows of the records (context, doc, text hash, start) that also start earlier in them,
+    and the other windows as rows (window hash, doc, text hash, start)."""
     sizes = np.array([len(c) for c, _, _, _ in group])
     raw = np.frombuffer(b"".join(c for c, _, _, _ in group), dtype=np.uint8)
     numbers = np.array([g[1:] for g in group], dtype=np.int64)
@@ -234,20 +245,66 @@ def repeated_windows(group: list[tuple[bytes, int, int, int]]) -> list[tuple[int
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
     value = _hashes(_prefix(raw), (np.cumsum(sizes) - sizes)[owner] + inner, LENGTH)
     doc, start = numbers[owner, 0], numbers[owner, 2] + inner
-    order = np.lexsort((start, doc, value))
-    v, d, s = value[order], doc[order], start[order]
-    opens = np.flatnonzero(np.diff(v, prepend=v[0] ^ np.uint64(1)) != 0)
-    lead = np.repeat(opens, np.diff(np.append(opens, len(v))))
-    later = (d != d[lead]) | (s != s[lead])
-    hit = np.zeros(len(owner), dtype=bool)
-    hit[order[later]] = True
+    hit = _later(value, doc, start)
     edge = np.flatnonzero(np.diff(np.where(hit, owner, -1), prepend=-1, append=-1))
     spans = []
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         if hit[a]:
             i = owner[a]
             spans.append((int(numbers[i, 0]), int(numbers[i, 1]), int(start[a]), int(start[b - 1]) + LENGTH))
-    return spans
+    first = ~hit
+    return spans, np.stack([value[first].view(np.int64), doc[first], numbers[owner[first], 1], start[first]], axis=1)
+
+
+def _later(value: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which windows come after the earliest place of their hash."""
+    order = np.lexsort((start, doc, value))
+    v, d, s = value[order], doc[order], start[order]
+    opens = np.flatnonzero(np.diff(v, prepend=v[:1] ^ v.dtype.type(1)) != 0)
+    lead = np.repeat(opens, np.diff(np.append(opens, len(v))))
+    hit = np.zeros(len(v), dtype=bool)
+    hit[order[(d != d[lead]) | (s != s[lead])]] = True
+    return hit
+
+
+def repeated_windows(group: list[tuple[bytes, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(doc, text hash, from, to) of the bytes under windows that also start earlier in the records (context, doc, text hash, start)."""
+    return compare_windows(group)[0]
+
+
+def join_spans(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Touching spans of one text as one."""
+    out: list[tuple[int, int, int, int]] = []
+    for doc, text, a, b in sorted(spans):
+        if out and out[-1][:2] == (doc, text) and a <= out[-1][3]:
+            out[-1] = (doc, text, out[-1][2], max(b, out[-1][3]))
+        else:
+            out.append((doc, text, a, b))
+    return out
+
+
+def pack_windows(rows: np.ndarray) -> bytes:
+    plain = np.ascontiguousarray(rows.T, dtype="<i8").tobytes()
+    return len(plain).to_bytes(8, "little") + pa.Codec("zstd").compress(plain, asbytes=True)
+
+
+def read_windows(packed: bytes) -> np.ndarray:
+    plain = pa.Codec("zstd").decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), asbytes=True)
+    return np.frombuffer(plain, "<i8").reshape(4, -1).T
+
+
+def _hot_windows(records: list[tuple]) -> tuple[list[tuple], np.ndarray]:
+    """Spans and remaining windows of records (suffix, left, doc, text hash, start), compared in blocks of GROUP_BYTES."""
+    spans, rows, group, size = [], [np.zeros((0, 4), dtype=np.int64)], [], 0
+    for n, (suffix, left, doc, text, start) in enumerate(records, 1):
+        group.append((left + suffix[8:], doc, text, start))
+        size += len(group[-1][0])
+        if size > GROUP_BYTES or n == len(records):
+            found, first = compare_windows(group)
+            spans += found
+            rows.append(first)
+            group, size = [], 0
+    return spans, np.concatenate(rows)
 
 
 def _span_batch(spans: list[tuple[int, int, int, int]]) -> list[pa.Array]:
@@ -256,7 +313,7 @@ def _span_batch(spans: list[tuple[int, int, int, int]]) -> list[pa.Array]:
 
 
 def _send_runs(repeat, ranges: int):
-    """mapInArrow over (doc, text_hash, text): front-coded runs by key range, and spans that are settled here."""
+    """mapInArrow over (doc, text_hash, text): front-coded runs by key range, windows of hot anchors by hash range, and spans that are settled here."""
 
     def settle(records: list[tuple]) -> tuple[list[tuple], list[tuple]]:
         records.sort()
@@ -272,7 +329,7 @@ def _send_runs(repeat, ranges: int):
             first = r if first is None or (r[0], r[1]) != (first[0], first[1]) else first
         return kept, spans
 
-    def output(records: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def output(records: list[tuple], often: list[tuple]) -> Iterator[pa.RecordBatch]:
         kept, spans = settle(records)
         keys = [int.from_bytes(r[0][:8]) * ranges >> 64 for r in kept]
         blocks, at = [], 0
@@ -280,16 +337,26 @@ def _send_runs(repeat, ranges: int):
             if i == len(kept) or keys[i] != keys[at]:
                 blocks.append((keys[at], front_code(kept[at:i])))
                 at = i
-        names = ["range", "block", "doc", "text_hash", "from", "to"]
-        if blocks:
-            none = pa.nulls(len(blocks), pa.int64())
-            yield pa.record_batch([pa.array([k for k, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary()), none, none, none, none], names)
+        kept, more = settle(often)
+        found, rows = _hot_windows(kept)
+        deal = ((rows[:, 0].view(np.uint64) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        rows = rows[np.argsort(deal, kind="stable")]
+        ends = np.cumsum(np.bincount(deal, minlength=ranges))
+        windows = [(k, pack_windows(rows[i:j])) for k, (i, j) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if i < j]
+        spans = join_spans(spans + more + found)
+        names = ["range", "block", "windows", "doc", "text_hash", "from", "to"]
+        for name, packed in (("block", blocks), ("windows", windows)):
+            if packed:
+                none, held = pa.nulls(len(packed), pa.binary()), pa.array([b for _, b in packed], pa.binary())
+                two = [held, none] if name == "block" else [none, held]
+                yield pa.record_batch([pa.array([k for k, _ in packed], pa.int32()), *two, *[pa.nulls(len(packed), pa.int64())] * 4], names)
         if spans:
             deal = pa.array([s[1] % ranges for s in spans], pa.int32())
-            yield pa.record_batch([deal, pa.nulls(len(spans), pa.binary()), *_span_batch(spans)], names)
+            yield pa.record_batch([deal, *[pa.nulls(len(spans), pa.binary())] * 2, *_span_batch(spans)], names)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records, held = [], 0
+        held_filter, hot = repeat.value
+        records, often, held, held_often = [], [], 0, 0
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for doc, text_hash, text in zip(docs, texts, batch.column(2), strict=True):
@@ -297,21 +364,31 @@ def _send_runs(repeat, ranges: int):
                 value, place, first, last = anchors(raw)
                 if not len(value):
                     continue
-                again = repeat.value.may_hold(value)
+                again = held_filter.may_hold(value)
+                value = value[again]
+                is_hot = hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value if len(hot) else np.zeros(len(value), dtype=bool)
                 data = raw.tobytes()
-                for h, a, s, e in zip(mix(value[again]).tolist(), place[again].tolist(), first[again].tolist(), last[again].tolist(), strict=True):
-                    records.append((h.to_bytes(8) + data[a : e + LENGTH], data[s:a], doc, text_hash, s))
-                    held += e + LENGTH - s
+                columns = (mix(value), is_hot, place[again], first[again], last[again])
+                for h, many, a, s, e in zip(*(c.tolist() for c in columns), strict=True):
+                    (often if many else records).append((h.to_bytes(8) + data[a : e + LENGTH], data[s:a], doc, text_hash, s))
+                    held, held_often = (held, held_often + e + LENGTH - s) if many else (held + e + LENGTH - s, held_often)
                 if held > RUN_BYTES:
-                    yield from output(records)
+                    yield from output(records, [])
                     records, held = [], 0
-        yield from output(records)
+                if held_often > HOT_BYTES:
+                    yield from output([], often)
+                    often, held_often = [], 0
+        yield from output(records, often)
 
     return send
 
 
 def _merge_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over rows sorted by range: merged runs, compared windows, spans."""
+    """mapInArrow over rows sorted by range: merged runs, compared windows, spans.
+
+    A window hash comes at most once from each block that a task has compared,
+    but for rows of one doc that hold it at the same place.
+    """
     names = ["doc", "text_hash", "from", "to"]
 
     def compared(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -334,21 +411,32 @@ def _merge_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if ready and (spans := repeated_windows(ready)):
             yield pa.record_batch(_span_batch(spans), names)
 
-    now, blocks = None, []
+    def dealt(windows: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate([read_windows(w) for w in windows])
+        rows = rows[_later(rows[:, 0], rows[:, 1], rows[:, 3])]
+        if len(rows):
+            yield pa.record_batch([pa.array(c) for c in (rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 3] + LENGTH)], names)
+
+    def finish(blocks: list[bytes], windows: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if blocks:
+            yield from compared(blocks)
+        if windows:
+            yield from dealt(windows)
+
+    now, blocks, windows = None, [], []
     for batch in batches:
-        settled = batch.filter(batch.column(1).is_null())
+        settled = batch.filter(batch.column(3).is_valid())
         if settled.num_rows:
-            yield pa.record_batch(settled.columns[2:], names)
-        for key, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if not block.is_valid:
-                continue
+            yield pa.record_batch(settled.columns[3:], names)
+        for key, block, window in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             if key != now:
-                if blocks:
-                    yield from compared(blocks)
-                now, blocks = key, []
-            blocks.append(block.as_py())
-    if blocks:
-        yield from compared(blocks)
+                yield from finish(blocks, windows)
+                now, blocks, windows = key, [], []
+            if block.is_valid:
+                blocks.append(block.as_py())
+            if window.is_valid:
+                windows.append(window.as_py())
+    yield from finish(blocks, windows)
 
 
 def repeated_spans(docs: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -361,9 +449,9 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    repeat = spark.sparkContext.broadcast(repeated_anchors(docs))  # at most FILTER_BITS
+    repeat = spark.sparkContext.broadcast(repeated_anchors(docs))  # at most FILTER_BITS, and 8 bytes per HOT_RECORDS anchors
     sent = docs.select("doc", "text_hash", "text").mapInArrow(
-        _send_runs(repeat, ranges), "range int, block binary, doc long, text_hash long, `from` long, `to` long"
+        _send_runs(repeat, ranges), "range int, block binary, windows binary, doc long, text_hash long, `from` long, `to` long"
     )
     dealt = sent.repartition(ranges, "range").sortWithinPartitions("range")
     spans = dealt.mapInArrow(_merge_ranges, "doc long, text_hash long, `from` long, `to` long")

@@ -82,3 +82,39 @@ def test_removal_keeps_columns_and_whole_characters(documents):
 
 def test_empty_table(documents):
     assert S.repeat_digests(documents([])).count() == 0
+
+
+def hot_rows(n):
+    rng = random.Random(11)
+    line = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage = line(230)
+    rows = [(i, line(rng.randint(20, 70)) + passage + line(rng.randint(20, 70))) for i in range(n)]
+    rows += [(n, passage), (n, passage), (n + 1, passage * 2), (n + 2, "q" * 3000), (n + 3, "r" + "q" * 2500)]
+    return rows + [(None, passage + line(9)) for _ in range(3)] + [(n + 4, passage + "x"), (n + 4, passage + "y"), (n + 5, None)]
+
+
+def test_hot_anchor_is_not_gathered_in_one_task(documents, monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "HOT_RECORDS", 100, raising=False)
+    rows = hot_rows(400)
+    df = documents(rows)
+    keyed = S._keyed(df, "doc_id", "text")
+    held = SimpleNamespace(value=S.repeated_anchors(keyed))
+    batch = pa.record_batch([pa.array([i for i in range(len(rows))]), pa.array(list(range(len(rows)))), pa.array([t for _, t in rows])], ["doc", "text_hash", "text"])
+    groups = {}
+    for sent in S._send_runs(held, 4)(iter([batch])):
+        for block in sent.column(sent.schema.get_field_index("block")):
+            for r in S.read_run(block.as_py()) if block.is_valid else ():
+                groups[r[1][:8]] = groups.get(r[1][:8], 0) + 1
+    assert max(groups.values(), default=0) <= 100
+    compare(S.repeat_digests(df), rows)
+
+
+@pytest.mark.parametrize("hot", [1, 5])
+def test_windows_of_hot_anchors_give_the_same_spans(documents, monkeypatch, hot):
+    rows = hot_rows(60)
+    monkeypatch.setattr(S, "HOT_RECORDS", hot)
+    compare(S.repeat_digests(documents(rows).repartition(7)), rows)
