@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpusloom.llm import byte_bpe, decontamination, embedding_dedup, language_id, near_duplicates, sharding, suffix_dedup, token_output, url_filter, warc
+from corpusloom.llm import byte_bpe, decontamination, embedding_dedup, language_id, lexical_search, near_duplicates, sharding, suffix_dedup, token_output, url_filter, warc
 from corpusloom.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -121,3 +121,25 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_suffix_merge")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.repeat_digests(table(spark, sf, "documents"))
+
+
+@query(
+    "op12_fp_tree_search",
+    rf"""
+    WITH terms(side, r, id, t) AS (
+      SELECT side, r, id, unnest(regexp_extract_all({_FOLD.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))
+      FROM (SELECT 'd' AS side, row_number() OVER () AS r, doc_id AS id, text FROM documents
+            UNION ALL SELECT 'q', row_number() OVER (), item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark))),
+    tf AS (SELECT r, id, t, count(*) AS tf FROM terms WHERE side = 'd' GROUP BY ALL),
+    wanted AS (SELECT DISTINCT r AS q, id AS item_id, t FROM terms WHERE side = 'q'),
+    total AS (SELECT count(DISTINCT r) AS n, count(*) AS l FROM terms WHERE side = 'd'),
+    m AS (SELECT r, 50 + (50 * count(*) * any_value(total.n)) // any_value(total.l) AS m FROM terms, total WHERE side = 'd' GROUP BY r),
+    w AS (SELECT t, floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY t),
+    scores AS (
+      SELECT q, item_id, r, tf.id AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM wanted JOIN tf USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scores WHERE score > 0)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 50""",
+)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
