@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpusloom.llm import byte_bpe, decontamination, embedding_dedup, language_id, lexical_search, near_duplicates, sharding, suffix_dedup, token_output, url_filter, warc
+from corpusloom.llm import byte_bpe, chat_format, conversation_repair, decontamination, embedding_dedup, language_id, lexical_search, near_duplicates, sharding, suffix_dedup, token_output, url_filter, warc
 from corpusloom.llm.registry import QUERIES, SQL, query, table  # noqa: F401
+from corpusloom.session import materialize
 
 
 @query("op1_language_id")
@@ -143,3 +144,104 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return lexical_search.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+_LATE = "regexp_replace({}, '([\\[<])(\\\\*)(\\|(?:im_start|im_sep|im_end|part|image|audio|document)\\|>|/?s>|/?INST\\])', '\\1\\\\\\2\\3', 'g')"
+
+
+@query(
+    "op13_chat_format",
+    rf"""
+    WITH said AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+    SELECT conv_id, count(*)::BIGINT AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      sum(32 + length({_LATE.format('role')}) + length({_LATE.format('text')}))::BIGINT AS formatted_chars
+    FROM said GROUP BY conv_id""",
+)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    said = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))], said.schema)
+    messages = said.unionAll(planted).withColumn("parts", chat_format.text_part(F.col("text")))
+    formatted = materialize(chat_format.format_conversations(messages), "chat")
+    return chat_format.turn_digests(formatted)
+
+
+# states of the fold: z nothing yet, s after system, u after user, a after assistant; each holds cost c, audit e and repaired turns t
+_GONE = "{'c': 1000000000::BIGINT, 'e': '', 't': []::VARCHAR[]}"
+
+
+def _step(at: str, cost: str, letter: str, turn: str) -> str:
+    """SQL: ``at`` after one more edit; ``turn`` is the repaired turn it leaves, if any."""
+    turns = f"list_append({at}.t, {turn})" if turn else f"{at}.t"
+    return f"{{'c': {at}.c + {cost}, 'e': {at}.e || '{letter}', 't': {turns}}}"
+
+
+def _least(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+# turns may be inserted before a row; two of them at most make sense
+_OPENED = {
+    "z": "x.z", "s": "x.s",
+    "u": _least("x.u", *[_step(f"x.{q}", "5", "I", "'user:'") for q in "zsa"]),
+    "a": _least("x.a", _step("x.u", "5", "I", "'assistant:'"), *[_step(_step(f"x.{q}", "5", "I", "'user:'"), "5", "I", "'assistant:'") for q in "zs"]),
+}
+
+
+def _edited(after: str, before: str, initial: str, role: str | None) -> str:
+    """SQL: least of all edits of row ``r`` that end in ``after``; ``o`` holds the states before it."""
+    keep = [f"CASE WHEN r.i = '{initial}' AND r.f < 2 THEN {_step(f'o.{q}', '5 * r.f', 'K', 'r.said')} ELSE {_GONE} END" for q in before]
+    turn = f"'{role}:' || r.text"
+    rerole = [f"CASE WHEN r.f < 2 THEN {_step(f'o.{q}', '1 + 5 * r.f', 'R', turn)} ELSE {_GONE} END" for q in before if role]
+    return _least(_step(f"o.{after}", "2", "D", ""), *keep, *rerole)
+
+
+_ROWS_EDITED = f"""{{'z': {_step('o.z', '2', 'D', '')}, 's': {_edited('s', 'z', 's', None)}, 'u': {_edited('u', 'zsa', 'u', 'user')}, 'a': {_edited('a', 'u', 'a', 'assistant')}}}"""
+_CRC = (
+    "xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i::INT, 1))::BIGINT), lambda c, b: "
+    "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, n: xor(x >> 1, 3988292384 * (x & 1))), 4294967295::BIGINT), 4294967295)"
+)
+_BLANK = r"[^\x20\x09-\x0D]"
+
+
+@query(
+    "op11_lightest_repair",
+    rf"""
+    WITH given AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+      FROM conversations),
+    damaged AS (
+      SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+        CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+      FROM (SELECT *, {_CRC} % 20 AS d FROM given)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS p FROM damaged),
+    judged AS (
+      SELECT *, CASE WHEN NOT regexp_matches(text, '{_BLANK}') THEN 3
+          WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 2
+          WHEN regexp_matches(text, '[.!?][ 	-]*\z') THEN 0 ELSE 1 END AS f,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY p) || left(role, 1) AS pair FROM placed),
+    counted AS (
+      SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+        count(*) FILTER (f = 3) AS blank, count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 1) AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+        list({{'i': left(role, 1), 'f': f::BIGINT, 'said': role || ':' || text, 'text': text}} ORDER BY p) AS rows
+      FROM judged GROUP BY conv_id),
+    folded AS (
+      SELECT *, list_reduce(rows, lambda x, r: list_transform(
+          [{{{', '.join(f"'{q}': {how}" for q, how in _OPENED.items())}}}], lambda o: {_ROWS_EDITED})[1],
+        {{'z': {{'c': 0::BIGINT, 'e': '', 't': []::VARCHAR[]}}, 's': {_GONE}, 'u': {_GONE}, 'a': {_GONE}}}) AS x FROM counted),
+    best AS (SELECT *, {_least("x.z", _OPENED["a"])} AS b FROM folded)
+    SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+      coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost,
+      coalesce(b.e, '') AS audit, sha256(coalesce(array_to_string(b.t, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id""",
+)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    given = table(spark, sf, "conversations")
+    repaired = conversation_repair.repair_conversations(conversation_repair.damage(given))
+    return conversation_repair.with_lost(given, repaired.summary)
