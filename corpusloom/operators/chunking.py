@@ -1,8 +1,10 @@
 """Split documents into retrieval chunks, row by row without any shuffle.
 
-All four strategies run inside the row that holds the text and end in one
-``posexplode``; no strategy regroups chunks, so a hot source or a very long
-text never gathers more than its own row in a task.
+Fixed windows are a projection. The other strategies fold over the parts of a
+text, which appended arrays make quadratic in one text; they are an Arrow table
+function that streams a text's chunks out while it goes. No strategy regroups
+chunks, so a hot source or a very long text never gathers more than its own row
+in a task.
 """
 
 from __future__ import annotations
@@ -12,14 +14,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as st
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusloom.functions import text as T
 from corpusloom.functions.vectors import hashed_matrix
+from corpusloom.operators import chunk_streams
 
 CHUNK = "struct<text:string,index:int,start:int,end:int,section:string>"
-RECURSIVE_SEPARATORS = [r"\n#{1,6}(?U:\s+)", r"\n\n+", r"(?<=[。！？.!?])(?U:\s*)", r"\n", r"(?U:\s+)"]
+#: Chunks, and characters of chunks, that leave the table function together.
+OUT_ROWS, OUT_CHARS = 4096, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -90,260 +97,53 @@ def fixed_chunks(c: Column, cfg: ChunkConfig) -> Column:
     )
 
 
-def _length_sum(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0), lambda s, p: s + F.length(p))
-
-
-def _carry(parts: Column, overlap: int) -> Column:
-    """The longest run of trailing paragraphs of at most ``overlap`` characters."""
-    back = F.sequence(F.lit(1), F.size(parts))
-    fits = F.filter(back, lambda n: _length_sum(F.slice(parts, -n, n)) <= overlap)
-    keep = F.coalesce(F.array_max(fits), F.lit(0))
-    none = F.array().cast("array<string>")
-    if overlap <= 0:
-        return none
-    return F.when((F.size(parts) == 0) | (keep == 0), none).otherwise(F.slice(parts, -keep, keep))
-
-
-def _pack_sentences(para: Column, prefix: Column, size: int) -> Column:
-    """Greedy groups of sentences; each new group opens with the last sentence."""
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), none.alias("open"), F.length(prefix).alias("n"))
-
-    def add(st: Column, s: Column) -> Column:
-        full = (st["n"] + F.length(s) > size) & (F.size(st["open"]) > 0)
-        closed = F.concat(prefix, F.array_join(st["open"], " "))
-        last = F.element_at(st["open"], -1)
-        return F.struct(
-            F.when(full, F.array_append(st["done"], closed)).otherwise(st["done"]).alias("done"),
-            F.when(full, F.array(last, s)).otherwise(F.array_append(st["open"], s)).alias("open"),
-            F.when(full, F.length(prefix) + F.length(last) + F.length(s))
-            .otherwise(st["n"] + F.length(s))
-            .alias("n"),
-        )
-
-    def finish(st: Column) -> Column:
-        return F.when(
-            F.size(st["open"]) > 0,
-            F.array_append(st["done"], F.concat(prefix, F.array_join(st["open"], " "))),
-        ).otherwise(st["done"])
-
-    return F.aggregate(T.sentences(para), start, add, finish)
-
-
-def _section_chunks(section: Column, cfg: ChunkConfig) -> Column:
-    """Texts of one section: paragraphs packed up to the target size."""
-    title = section["title"]
-    none = F.array().cast("array<string>")
-
-    def pack(prefix: Column) -> Column:
-        def close(parts: Column) -> Column:
-            return F.concat(prefix, F.array_join(parts, "\n\n"))
-
-        start = F.struct(none.alias("done"), none.alias("open"), F.lit(0).alias("n"))
-
-        def add(st: Column, p: Column) -> Column:
-            long = F.length(p) > cfg.max_size
-            held = F.size(st["open"]) > 0
-            flush = held & (long | (st["n"] + F.length(p) + F.length(prefix) > cfg.size))
-            done = F.when(flush, F.array_append(st["done"], close(st["open"]))).otherwise(st["done"])
-            kept = F.when(long, none).when(flush, _carry(st["open"], cfg.overlap)).otherwise(st["open"])
-            return F.struct(
-                F.when(long, F.concat(done, _pack_sentences(p, prefix, cfg.size)))
-                .otherwise(done)
-                .alias("done"),
-                F.when(long, none).otherwise(F.array_append(kept, p)).alias("open"),
-                F.when(long, 0)
-                .when(flush, _length_sum(kept) + F.length(p))
-                .otherwise(st["n"] + F.length(p))
-                .alias("n"),
-            )
-
-        def finish(st: Column) -> Column:
-            tail = close(st["open"])
-            return F.when(
-                (F.size(st["open"]) > 0) & (F.length(tail) >= cfg.min_size),
-                F.array_append(st["done"], tail),
-            ).otherwise(st["done"])
-
-        return F.aggregate(T.paragraphs(section["body"]), start, add, finish)
-
-    return T.let(F.when(title != "", F.concat(F.lit("## "), title, F.lit("\n\n"))).otherwise(""), pack)
-
-
-def markdown_chunks(c: Column, cfg: ChunkConfig) -> Column:
-    """Sections, then paragraphs, then sentences of overlong paragraphs."""
-
-    def build(t: Column) -> Column:
-        def of_section(s: Column) -> Column:
-            at = F.when(s["body"] == "", 0).otherwise(F.position(s["body"], t) - 1)
-            return F.transform(
-                _section_chunks(s, cfg),
-                lambda x: F.struct(x.alias("text"), at.alias("start"), s["title"].alias("section")),
-            )
-
-        flat = F.flatten(F.transform(T.sections(t), of_section))
-        return F.transform(
-            flat,
-            lambda x, i: _chunk(x["text"], i, x["start"], x["start"] + F.length(x["text"]), x["section"]),
-        )
-
-    return T.let(T.clean_text(c), build)
-
-
-def _split_from(c: Column, level: int, cfg: ChunkConfig) -> Column:
-    """Pieces of at most ``size`` characters, trying separators from ``level`` on."""
-    none = F.array().cast("array<string>")
-    whole = F.when(T.strip(c) != "", F.array(c)).otherwise(none)
-    if level == len(RECURSIVE_SEPARATORS):
-        step = max(1, cfg.size - cfg.overlap)
-        blocks = F.regexp_extract_all(c, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
-        per_window = -(-cfg.size // step)
-        forced = T.let(
-            blocks,
-            lambda bs: F.filter(
-                F.transform(
-                    F.sequence(F.lit(1), F.size(bs)),
-                    lambda i: F.left(F.array_join(F.slice(bs, i, per_window), ""), F.lit(cfg.size)),
-                ),
-                lambda p: T.strip(p) != "",
-            ),
-        )
-        return F.when(F.length(c) <= cfg.size, whole).otherwise(forced)
-
-    start = F.struct(none.alias("done"), F.lit("").alias("open"))
-
-    def add(st: Column, p: Column) -> Column:
-        fits = F.length(st["open"]) + F.length(p) <= cfg.size
-        done = F.when(st["open"] != "", F.array_append(st["done"], st["open"])).otherwise(st["done"])
-        big = F.length(p) > cfg.size
-        return F.struct(
-            F.when(fits, st["done"])
-            .when(big, F.concat(done, _split_from(p, level + 1, cfg)))
-            .otherwise(done)
-            .alias("done"),
-            F.when(fits, F.concat(st["open"], p)).when(big, "").otherwise(p).alias("open"),
-        )
-
-    def finish(st: Column) -> Column:
-        return F.when(st["open"] != "", F.array_append(st["done"], st["open"])).otherwise(st["done"])
-
-    def merge(parts: Column) -> Column:
-        # a separator that yields a single piece is skipped: the text itself goes on
-        return F.aggregate(F.when(F.size(parts) > 1, parts).otherwise(F.array(c)), start, add, finish)
-
-    pieces = F.filter(F.split(c, RECURSIVE_SEPARATORS[level]), lambda p: T.strip(p) != "")
-    return F.when(F.length(c) <= cfg.size, whole).otherwise(T.let(pieces, merge))
-
-
-def recursive_chunks(c: Column, cfg: ChunkConfig) -> Column:
-    """Coarse-to-fine separators; an index counts raw pieces, so it has gaps."""
-
-    def build(t: Column) -> Column:
-        start = F.struct(_no_chunks().alias("out"), F.lit(0).alias("at"), F.lit(0).alias("i"))
-
-        def place(st: Column, p: Column) -> Column:
-            found = F.position(p, t, st["at"] + 1)
-            begin = F.when(found > 0, found - 1).otherwise(st["at"])
-            short = F.length(T.strip(p)) < cfg.min_size
-            end = begin + F.length(p)
-            return F.struct(
-                F.when(short, st["out"])
-                .otherwise(F.array_append(st["out"], _chunk(T.strip(p), st["i"], begin, end)))
-                .alias("out"),
-                F.when(short, st["at"]).otherwise(end).alias("at"),
-                (st["i"] + 1).alias("i"),
-            )
-
-        return F.aggregate(_split_from(t, 0, cfg), start, place, lambda st: st["out"])
-
-    return T.let(T.clean_text(c), build)
-
-
 def hashed_sentence_encoder(sentences: list[list[str]]) -> np.ndarray:
     return hashed_matrix(pd.Series(sentences), 256)
 
 
-def neighbour_similarity(
-    sents: Column, factory: Callable[[], Callable[[list[str]], np.ndarray]]
-) -> Column:
-    """Cosine of each sentence with the next, one model call per Arrow batch."""
-
-    @F.pandas_udf("array<double>")
-    def similarity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = factory()
-        for batch in batches:
-            flat = [s for row in batch for s in row]
-            if not flat:
-                yield pd.Series([np.empty(0)] * len(batch))
-                continue
-            m = np.asarray(encode(flat), dtype=np.float64)
-            n = np.linalg.norm(m, axis=1)
-            # rounded, so that equal neighbours stay equal whatever the order of summation
-            sims = np.round((m[:-1] * m[1:]).sum(axis=1) / (n[:-1] * n[1:] + 1e-8), 12)
-            ends = np.cumsum([len(row) for row in batch])
-            starts = np.concatenate([[0], ends[:-1]])
-            yield pd.Series([sims[a : max(a, b - 1)] for a, b in zip(starts, ends)])
-
-    return similarity.asNondeterministic()(sents)
-
-
-def _percentile(values: Column, q: float) -> Column:
-    """Linear-interpolation percentile of an array."""
-
-    def pick(s: Column) -> Column:
-        at = (F.size(s) - 1) * F.lit(q)
-        low = F.get(s, F.floor(at).cast("int"))
-        high = F.get(s, F.ceil(at).cast("int"))
-        return low + (high - low) * (at - F.floor(at))
-
-    return T.let(F.array_sort(values), pick)
-
-
-def semantic_chunks(t: Column, sents: Column, sims: Column, cfg: ChunkConfig) -> Column:
-    """Cut where neighbouring sentences differ most, within the size limits.
-
-    ``t`` is the cleaned text, ``sents`` its sentences, ``sims`` their
-    neighbour similarities.
-    """
-
-    def cuts(limit: Column) -> Column:
-        start = F.struct(
-            F.array().cast("array<int>").alias("at"), F.length(F.get(sents, F.lit(0))).alias("n"), F.lit(1).alias("i")
-        )
-
-        def step(st: Column, sim: Column) -> Column:
-            n = st["n"] + F.length(F.get(sents, st["i"]))
-            cut = ((sim < limit) & (n >= cfg.min_size)) | (n >= cfg.max_size)
-            return F.struct(
-                F.when(cut, F.array_append(st["at"], st["i"])).otherwise(st["at"]).alias("at"),
-                F.when(cut, 0).otherwise(n).alias("n"),
-                (st["i"] + 1).alias("i"),
-            )
-
-        inner = F.aggregate(sims, start, step, lambda st: st["at"])
-        return F.concat(F.array(F.lit(0)), inner)
-
-    def groups(at: Column) -> Column:
-        start = F.struct(_no_chunks().alias("out"), F.lit(0).alias("pos"))
-
-        def place(st: Column, a: Column) -> Column:
-            following = F.get(at, F.array_position(at, a).cast("int"))
-            stop = F.coalesce(following, F.size(sents))
-            body = F.array_join(F.slice(sents, a + 1, stop - a), " ")
-            found = F.position(F.get(sents, a), t, st["pos"] + 1)
-            begin = F.when(found > 0, found - 1).otherwise(st["pos"])
-            end = begin + F.length(body)
-            return F.struct(
-                F.array_append(st["out"], _chunk(body, F.size(st["out"]), begin, end)).alias("out"),
-                end.alias("pos"),
-            )
-
-        return F.aggregate(at, start, place, lambda st: st["out"])
-
-    whole = F.array(_chunk(t, F.lit(0), F.lit(0), F.length(t)))
-    limit = F.greatest(_percentile(sims, 0.2), F.lit(cfg.threshold))
-    return F.when(F.size(sents) <= 1, whole).otherwise(T.let(limit, lambda x: T.let(cuts(x), groups)))
+def _streamed(docs: DataFrame, strategy: str, cfg: ChunkConfig, text_col: str, encoder) -> DataFrame:
+    """Chunks of ``docs`` by the table function; the other columns go along in Arrow, not as Python values."""
+    others = [f for f in docs.schema.fields if f.name != text_col]
+    added = [st.StructField(text_col, st.StringType()), *[st.StructField(f"chunk_{c}", st.IntegerType()) for c in ("index", "start", "end")]]
+    schema = st.StructType([*others, *added, st.StructField("section", st.StringType())])
+    names, arrow = [f.name for f in others], to_arrow_schema(schema)
+    arrow_added = pa.schema(list(arrow)[len(names) :])
+
+    class Chunker:
+        def __init__(self):
+            self.encode = None
+
+        def chunks(self, texts: list[str | None]) -> Iterator[tuple[int, chunk_streams.Chunk]]:
+            given = [(row, text) for row, text in enumerate(texts) if text is not None]
+            if strategy == "semantic" and encoder is not None:
+                self.encode = self.encode or encoder()
+                found = chunk_streams.encoded_chunks([t for _, t in given], self.encode, cfg)
+            else:
+                one = chunk_streams.recursive_chunks if strategy in ("recursive", "semantic") else chunk_streams.markdown_chunks
+                found = (one(text, cfg) for _, text in given)
+            for (row, _), stream in zip(given, found, strict=True):
+                for piece in stream:
+                    yield row, piece
+
+        def eval(self, batch: pa.RecordBatch):
+            rows, pieces, chars = [], [], 0
+
+            def table() -> pa.Table:
+                columns = list(zip(*pieces, strict=True)) or [()] * len(arrow_added)
+                arrays = [pa.array(c, f.type) for c, f in zip(columns, arrow_added, strict=True)]
+                kept = batch.select(names).take(pa.array(rows, pa.int64())).columns if names else []
+                return pa.Table.from_arrays([*kept, *arrays], names=arrow.names)
+
+            for row, piece in self.chunks(batch.column(text_col).to_pylist()):
+                rows.append(row)
+                pieces.append(piece)
+                chars += len(piece[0])
+                if len(rows) >= OUT_ROWS or chars >= OUT_CHARS:
+                    yield table()
+                    rows, pieces, chars = [], [], 0
+            yield table()
+
+    return F.arrow_udtf(Chunker, returnType=schema)(docs.asTable())
 
 
 def chunk(
@@ -357,21 +157,14 @@ def chunk(
 
     Adds ``chunk_index, chunk_start, chunk_end, section`` and replaces the text
     column by the chunk text. An unknown strategy means ``markdown``; semantic
-    chunking without an encoder falls back to recursive.
+    chunking without an encoder falls back to recursive, and so does every text
+    that the encoder fails on. A null text has no chunks.
     """
     cfg = cfg or ChunkConfig()
-    c = F.col(text_col)
-    if strategy == "semantic" and encoder is not None:
-        staged = docs.withColumn("_clean", T.clean_text(c))
-        staged = staged.withColumn("_sents", T.sentences(F.col("_clean")))
-        staged = staged.withColumn("_sims", neighbour_similarity(F.col("_sents"), encoder))
-        chunks = semantic_chunks(F.col("_clean"), F.col("_sents"), F.col("_sims"), cfg)
-    else:
-        staged = docs
-        build = {"fixed": fixed_chunks, "recursive": recursive_chunks, "semantic": recursive_chunks}
-        chunks = build.get(strategy, markdown_chunks)(c, cfg)
+    if strategy != "fixed":
+        return _streamed(docs, strategy, cfg, text_col, encoder)
     others = [x for x in docs.columns if x != text_col]
-    return staged.select(*others, F.explode(chunks).alias("_c")).select(
+    return docs.select(*others, F.explode(fixed_chunks(F.col(text_col), cfg)).alias("_c")).select(
         *others,
         F.col("_c.text").alias(text_col),
         F.col("_c.index").alias("chunk_index"),

@@ -1,7 +1,11 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import chunk_streams
 from corpusloom.operators.chunking import ChunkConfig, chunk, legacy_windows
 
 MD = "# Title\n\nIntro para one.\n\n## Sec A\n\nText a1.\n\nText a2 is here.\n\n###   Sec B\nbody b\n#no heading\n####### seven\n"
@@ -140,3 +144,77 @@ def test_chunks_lie_in_text(spark, sf):
     c = chunk(docs, "fixed").withColumn("whole", T.clean_text(F.col("whole")))
     same = T.strip(F.substring("whole", F.col("chunk_start") + 1, F.col("chunk_end") - F.col("chunk_start")))
     assert c.filter(same != F.col("text")).count() == 0
+
+
+def long_text(chars):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(5000)]
+    out, n = [], 0
+    while n < chars:
+        part = " ".join(rng.choices(words, k=rng.randint(3, 40))) + rng.choice([". ", "! ", "\n", "\n\n", ".\n\n## " + rng.choice(words) + "\n"])
+        out.append(part)
+        n += len(part)
+    return "".join(out)[:chars]
+
+
+@pytest.mark.parametrize("strategy", ["fixed", "markdown", "recursive", "semantic"])
+def test_time_grows_with_the_text(spark, strategy):
+    took = []
+    for chars in (400_000, 1_600_000):
+        df = spark.createDataFrame([(1, long_text(chars))], "doc_id int, text string").cache()
+        df.count()
+        best = min(timed(chunk(df, strategy, encoder=flat_encoder)) for _ in range(3))
+        took.append(best)
+    assert took[1] <= 4.5 * took[0]
+
+
+def flat_encoder():
+    import numpy as np
+
+    return lambda texts: np.array([[len(t) % 7, len(t) % 11, 1.0] for t in texts])
+
+
+def timed(df):
+    began = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began
+
+
+def test_places_far_away():
+    text = long_text(60_000)
+    places = chunk_streams.Places(text)
+    for at, size in [(0, 40), (50_000, 300), (59_950, 50), (59_990, 10), (30_000, 9)]:
+        part = text[at : at + size]
+        for begin in (0, 17, at):
+            assert places.find(part, begin) == text.find(part, begin)
+    assert places.find("no such text anywhere", 5) == -1 == places.find("~~~", 5)
+    assert places.find(text[100:200], 101) == text.find(text[100:200], 101)
+
+
+def raising_encoder():
+    def encode(texts):
+        if any("poison" in t for t in texts):
+            raise RuntimeError("model failed")
+        return one_hot_encoder()(texts)
+
+    return encode
+
+
+def test_texts_that_the_encoder_fails_on_are_cut_recursively(spark):
+    cfg = ChunkConfig(size=30, overlap=5, min_size=6, max_size=100)
+    good, bad = "a one. a two. b one. b two. b three. c one.", "a poison. b first line. b second line. c third line."
+    df = spark.createDataFrame([(i, bad if i in (1, 5) else good) for i in range(9)] + [(9, None), (10, "")], "doc_id int, text string").coalesce(1)
+    found = {}
+    for r in chunk(df, "semantic", cfg, encoder=raising_encoder).orderBy("doc_id", "chunk_index").collect():
+        found.setdefault(r.doc_id, []).append(r.text)
+    assert found.pop(10) == [""] and 9 not in found
+    alone = [g[0] for g in run(spark, bad, "recursive", cfg)[0]]
+    assert all(v == (alone if k in (1, 5) else ["a one. a two.", "b one. b two. b three.", "c one."]) for k, v in found.items())
+
+
+def test_columns_of_any_type_go_along(spark):
+    df = spark.sql("SELECT 1 AS a, named_struct('x', array(1, 2)) AS s, timestamp'2024-01-02 03:04:05' AS t, concat_ws('. ', array_repeat('Some words here', 40)) AS text, map('k', 1) AS m")
+    rows = chunk(df, "recursive").collect()
+    assert len(rows) > 1 and all(r.s.x == [1, 2] and r.m == {"k": 1} and r.t.year == 2024 for r in rows)
+    only = chunk(df.select("text"), "markdown").collect()
+    assert [r.chunk_index for r in only] == list(range(len(only)))
