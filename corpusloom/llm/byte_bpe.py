@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,8 +23,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_STATES = 400_000
-MAX_CHUNKS = 500_000
+#: Bytes of objects that a worker keeps: states and transitions of the transducer, encoded chunks.
+STATE_BYTES, CHUNK_BYTES = 96 << 20, 64 << 20
+# sizes of the objects behind one entry, dictionary slots included, as measured
+MOVE_SIZE, STATE_SIZE, CONFIGURATION_SIZE, CHUNK_SIZE = 170, 200, 90, 240
 # what can end inside a run of other white space; such texts are not cut into chunks
 RARE_SPACE = regex.compile(r"[^\S \t\n\r]|[\x1c-\x1f]")
 CHUNK = re.compile(r"[ \t\n\r]*+[^ \t\n\r]++|[ \t\n\r]++")
@@ -55,8 +58,7 @@ class Transducer:
                     nodes += 1
                 node = self.child[key]
             self.token_at[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.proper: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}  # at most one entry per token
         self._clear()
 
     def _clear(self) -> None:
@@ -64,48 +66,78 @@ class Transducer:
         self.states: dict[tuple, int] = {start: 0}
         self.configurations: list[tuple] = [start]
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.bytes = 0
 
-    def merged(self, piece: bytes) -> list[int]:
-        """The merges themselves: lowest rank first, leftmost among equals."""
+    def _state(self, key: tuple) -> int:
+        state = self.states.get(key)
+        if state is None:
+            state = self.states[key] = len(self.configurations)
+            self.configurations.append(key)
+            self.bytes += STATE_SIZE + sum(CONFIGURATION_SIZE + 8 * len(w) for _, _, w in key)
+        return state
+
+    def merged(self, piece: bytes, least: int = 1) -> list[int]:
+        """The merges themselves: lowest rank first, leftmost among equals, down to ``least`` tokens."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
+        while len(parts) > least:
             rank, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
             if rank == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes ``token``; itself twice for a byte, None if the merges never make it."""
+        if token not in self.halves:
+            piece = self.token_bytes[token]
+            found = self.merged(piece, 2) if len(piece) > 1 else [token, token]
+            self.halves[token] = tuple(found) if len(found) == 2 and self.merged(piece) == [token] else None
+        return self.halves[token]
+
     def _follows(self, last: int, token: int) -> bool:
-        if token not in self.proper:
-            self.proper[token] = self.merged(self.token_bytes[token]) == [token]
-        if not self.proper[token] or last < 0:
-            return self.proper[token]
-        pair = (last, token)
-        if pair not in self.pairs:
-            self.pairs[pair] = self.merged(self.token_bytes[last] + self.token_bytes[token]) == [last, token]
-        return self.pairs[pair]
+        """Whether the merges leave the two tokens as they are next to each other.
+
+        Their merges are taken back, the later one first; a merge across the
+        border that ranks before the one taken back would have come first.
+        """
+        if self._halves(token) is None or last < 0:
+            return self._halves(token) is not None
+        limit, spelt, ranks = 1 << 60, self.token_bytes, self.ranks
+        while True:
+            if ranks.get(spelt[last] + spelt[token], limit) < limit:
+                return False
+            right, left = self._halves(last)[1], self._halves(token)[0]
+            if (last > token and right != last) or left == token:
+                if right == last:
+                    return True
+                limit, last = last, right
+            else:
+                limit, token = token + 1, left
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        child, token_at, inner, follows = self.child, self.token_at, self.inner, self._follows
         found = []
         for node, last, waiting in self.configurations[state]:
-            node = self.child.get(node * 256 + byte)
+            node = child.get(node * 256 + byte)
             if node is None:
                 continue
-            token = self.token_at.get(node)
-            if token is not None and self._follows(last, token):
+            token = token_at.get(node)
+            if token is not None and follows(last, token):
                 found.append((0, token, (*waiting, token)))
-            if node in self.inner:
+            if node in inner:
                 found.append((node, last, waiting))
-        shared = 0
-        while found and all(len(w) > shared and w[shared] == found[0][2][shared] for _, _, w in found):
-            shared += 1
-        out = found[0][2][:shared] if found else ()
-        key = tuple(sorted((node, last, w[shared:]) for node, last, w in found))
-        target = self.states.get(key)
-        if target is None:
-            target = self.states[key] = len(self.configurations)
-            self.configurations.append(key)
+        out: tuple[int, ...] = ()
+        if found and all([w for _, _, w in found]):
+            shared, shortest = 0, min([len(w) for _, _, w in found])
+            while shared < shortest and len({w[shared] for _, _, w in found}) == 1:
+                shared += 1
+            if shared:
+                out = found[0][2][:shared]
+                found = [(node, last, w[shared:]) for node, last, w in found]
+        found.sort()
+        target = self._state(tuple(found))
         self.moves[state * 256 + byte] = target, out
+        self.bytes += MOVE_SIZE + 8 * len(out)
         return target, out
 
     def encode(self, piece: bytes) -> list[int]:
@@ -113,12 +145,14 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.configurations) > MAX_STATES:
-            self._clear()
         state, out, moves = 0, [], self.moves
         for byte in piece:
             step = moves.get(state * 256 + byte)
             if step is None:
+                if self.bytes > STATE_BYTES:  # the walk goes on from the same configurations
+                    here = self.configurations[state]
+                    self._clear()
+                    state, moves = self._state(here), self.moves
                 step = self._move(state, byte)
             state = step[0]
             if step[1]:
@@ -153,12 +187,18 @@ class Utf8Stream:
 
 
 class Codec:
-    """Texts to ids and back. Chunks that no piece can cross are encoded once and kept."""
+    """Texts to ids and back. Chunks that no piece can cross are encoded once and kept while there is room.
+
+    The kept chunks are a memo beside the transducer: in two generations, of
+    which the older goes when the younger holds half of ``CHUNK_BYTES``.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bytes = 0
         self.table = [self.transducer.token_bytes.get(i, b"") for i in range(max(ranks.values()) + 1)]
 
     def _ids(self, text: str) -> bytes:
@@ -173,14 +213,21 @@ class Codec:
             return np.zeros(0, dtype="<u4")
         if RARE_SPACE.search(text):
             return np.frombuffer(self._ids(text), dtype="<u4")
-        known, parts = self.known, CHUNK.findall(text)
-        out = []
-        for part in parts:
+        known, out = self.known, []
+        for found in CHUNK.finditer(text):
+            part = found.group()
             ids = known.get(part)
             if ids is None:
-                if len(known) >= MAX_CHUNKS:
-                    known.clear()
-                ids = known[part] = self._ids(part)
+                ids = self.older.get(part)
+                if ids is None:
+                    ids = self._ids(part)
+                size = CHUNK_SIZE + sys.getsizeof(part) + len(ids)
+                if size < CHUNK_BYTES // 64:
+                    if self.bytes + size > CHUNK_BYTES // 2:
+                        self.older, self.known, self.bytes = known, {}, 0
+                        known = self.known
+                    known[part] = ids
+                    self.bytes += size
             out.append(ids)
         return np.frombuffer(b"".join(out), dtype="<u4")
 
