@@ -14,6 +14,7 @@ from corpusloom.functions import lexicon as L
 from corpusloom.operators import hits as H
 from corpusloom.operators.dense import dense_search, dense_search_approx
 from corpusloom.operators.embedding import embed
+from corpusloom.operators.lsh import dense_search_lsh, recall
 from corpusloom.operators.sparse import Bm25Index, bm25_search, build_bm25_index
 from corpusloom.plans.search import hybrid_search
 from corpusloom.sources.readers import recent_articles
@@ -144,6 +145,14 @@ def dense_search_approx_q(spark: SparkSession, sf: str) -> DataFrame:
     return dense_search_approx(queries, corpus, K).select("query_id", "chunk_id", "score", "rank")
 
 
+@query("dense_search_lsh", "SELECT count(*) AS queries, 10 * count(*) AS expected, true AS recall_reached, 0::BIGINT AS wrong FROM benchmark")
+def dense_search_lsh_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether at least nine in ten of the exact hits are found, and every score is right."""
+    queries, corpus = embedded(spark, sf)
+    found = recall(dense_search_lsh(queries, corpus, K), dense_search(queries, corpus, K))
+    return found.select("queries", "expected", (F.col("found") >= 0.9 * F.col("expected")).alias("recall_reached"), "wrong")
+
+
 @query(
     "fuse_weighted",
     f"WITH {SQL_BENCH}, {SQL_BM25}, {SQL_DENSE}, {sql_fused(0.7, K)} SELECT query_id, chunk_id, score, rank FROM fused",
