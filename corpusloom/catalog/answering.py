@@ -40,9 +40,18 @@ def truncate_ellipsis(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", md5(T.truncate_ellipsis(F.col("text"), n)).alias("text_md5"))
 
 
+def asked_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark's texts and, for each, a query that no document answers."""
+    q = benchmark_queries(spark, sf)
+    return q.unionAll(q.select((-F.col("query_id") - 1).alias("query_id"), md5("query").alias("query")))
+
+
+SQL_ASKED = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark UNION ALL SELECT -item_id - 1, md5(text) FROM benchmark)"
+
+
 def bench_hits(spark: SparkSession, sf: str) -> DataFrame:
     """query_id, rank, score in [0,1], text, source of the term search."""
-    hits = bm25_search(document_index(spark, sf), benchmark_queries(spark, sf), K, "query")
+    hits = bm25_search(document_index(spark, sf), asked_queries(spark, sf), K, "query")
     return hits.join(corpus_chunks(spark, sf), "chunk_id").select(
         "query_id", "chunk_id", "rank", F.round(F.col("score") / (F.col("score") + 60), 4).alias("score"), "text", "source"
     )
@@ -55,7 +64,7 @@ _HEAD = "'[文献' || rank || '] 来源: ' || source || ' (相关度: ' || print
 
 @query(
     "format_context",
-    f"""WITH {SQL_BENCH}, {SQL_BM25}, {SQL_HITS},
+    f"""WITH {SQL_ASKED}, {SQL_BM25}, {SQL_HITS},
  p AS (SELECT query_id, rank, {_HEAD} AS head, {sql_ellipsis('text', '2000')} AS body FROM hits),
  r AS (SELECT *, 12000 - coalesce(sum(length(head) + length(body) + 7) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM p),
  k AS (SELECT query_id, rank, head, CASE WHEN length(head) + length(body) <= room THEN body ELSE {sql_ellipsis('body', '(room - length(head))::BIGINT')} END AS body
@@ -69,17 +78,16 @@ def format_context_q(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "build_messages",
-    f"""WITH {SQL_BENCH}, {SQL_BM25}, {SQL_HITS},
+    f"""WITH {SQL_ASKED}, {SQL_BM25}, {SQL_HITS},
  c AS (SELECT query_id, string_agg(head || {sql_ellipsis('text', '900')}, {sql_str(L.PART_SEPARATOR)} ORDER BY rank) AS ctx
-   FROM (SELECT *, {_HEAD} AS head FROM hits WHERE query_id % 5 <> 0) GROUP BY 1)
+   FROM (SELECT *, {_HEAD} AS head FROM hits) GROUP BY 1)
 SELECT query_id, CASE WHEN ctx IS NULL THEN NULL ELSE md5({sql_str(L.SYSTEM_PROMPT)}) END AS system_md5,
-  md5('参考文献：' || chr(10) || ctx || chr(10) || chr(10) || '用户问题：' || query || chr(10) || chr(10) || '请基于以上参考文献回答用户问题。') AS user_md5,
+  md5(replace(replace({sql_str(L.USER_PROMPT)}, '{{query}}', query), '{{context}}', ctx)) AS user_md5,
   CASE WHEN ctx IS NULL THEN {sql_str(L.NO_ANSWER)} END AS answer FROM q LEFT JOIN c USING (query_id)""",
 )
 def build_messages_q(spark: SparkSession, sf: str) -> DataFrame:
-    """A fifth of the queries has no hits."""
-    contexts = format_context(bench_hits(spark, sf).filter("query_id % 5 <> 0"), None, 900)
-    m = build_messages(benchmark_queries(spark, sf), contexts)
+    contexts = format_context(bench_hits(spark, sf), None, 900)
+    m = build_messages(asked_queries(spark, sf), contexts)
     return m.select(
         "query_id", md5(F.get("messages", F.lit(0))["content"]).alias("system_md5"),
         md5(F.get("messages", F.lit(1))["content"]).alias("user_md5"), "answer",
@@ -88,15 +96,15 @@ def build_messages_q(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "format_results_text",
-    f"""WITH {SQL_BENCH}, {SQL_BM25}, {SQL_HITS},
+    f"""WITH {SQL_ASKED}, {SQL_BM25}, {SQL_HITS},
  f AS (SELECT query_id, string_agg('[文献' || rank || ']' || CASE WHEN chunk_id % 2 = 0 THEN ' T' || chunk_id ELSE '' END || ' (来源: ' || source
-   || ', 相关度: ' || printf('%.4f', score) || ')' || chr(10) || text, {sql_str(L.PART_SEPARATOR)} ORDER BY rank) AS x FROM hits WHERE query_id % 5 <> 0 GROUP BY 1)
+   || ', 相关度: ' || printf('%.4f', score) || ')' || chr(10) || text, {sql_str(L.PART_SEPARATOR)} ORDER BY rank) AS x FROM hits GROUP BY 1)
 SELECT query_id, md5(coalesce(x, {sql_str(L.NO_RESULTS)})) AS formatted_md5 FROM q LEFT JOIN f USING (query_id)""",
 )
 def format_results_text_q(spark: SparkSession, sf: str) -> DataFrame:
-    h = bench_hits(spark, sf).filter("query_id % 5 <> 0").withColumn("original_text", F.lit(None).cast("string"))
+    h = bench_hits(spark, sf).withColumn("original_text", F.lit(None).cast("string"))
     h = h.withColumn("title", F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("T"), F.col("chunk_id").cast("string"))))
-    out = format_results(benchmark_queries(spark, sf), H.format_results_text(h))
+    out = format_results(asked_queries(spark, sf), H.format_results_text(h))
     return out.select("query_id", md5("formatted").alias("formatted_md5"))
 
 
@@ -318,14 +326,14 @@ def expand_synonyms_q(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "expand_synonyms_table",
-    """WITH words AS (SELECT DISTINCT substr(text, 1, 4) AS term FROM benchmark),
+    r"""WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \n]+')) AS term FROM benchmark),
  terms AS (SELECT term, 1 AS syn_ord, term || '-syn' AS synonym FROM words)
 SELECT DISTINCT doc_id AS query_id, synonym FROM documents JOIN terms ON contains(text, term) WHERE NOT contains(lower(text), lower(synonym))""",
 )
 def expand_synonyms_table_q(spark: SparkSession, sf: str) -> DataFrame:
-    """A term table of any size: the openings of the benchmark texts, looked up in all documents."""
-    terms = table(spark, sf, "benchmark").select(F.left("text", F.lit(4)).alias("term")).distinct()
-    terms = terms.select("term", F.lit(1).alias("syn_ord"), F.concat("term", F.lit("-syn")).alias("synonym"))
+    """A term table of any size: every word of the benchmark texts, looked up in all documents."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0))).alias("term")).distinct()
+    terms = words.select("term", F.lit(1).alias("syn_ord"), F.concat("term", F.lit("-syn")).alias("synonym"))
     q = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return U.expand_synonyms_table(q, terms)
 
@@ -381,11 +389,11 @@ def sql_assess(hits: str, queries: str, tag: str = "") -> str:
    WHEN relevance >= 0.4::DOUBLE THEN 'partial' ELSE 'insufficient' END AS decision FROM a{tag})"""
 
 
-_ASSESS = f"""{SQL_BENCH}, {SQL_BM25}, {SQL_HITS}, hh AS (SELECT * FROM hits WHERE query_id % 9 <> 0), {sql_assess('hh', 'q')}"""
+_ASSESS = f"""{SQL_ASKED}, {SQL_BM25}, {SQL_HITS}, {sql_assess('hits', 'q')}"""
 
 
 def _assessed(spark: SparkSession, sf: str) -> DataFrame:
-    return assess(benchmark_queries(spark, sf), bench_hits(spark, sf).filter("query_id % 9 <> 0"))
+    return assess(asked_queries(spark, sf), bench_hits(spark, sf))
 
 
 @query("evaluate_relevance", f"WITH {_ASSESS} SELECT query_id, round(relevance, 6) AS relevance FROM a")

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import lexicon as L
 from corpusloom.functions.ranking import previous_in_group
 from corpusloom.sources.readers import read_documents
 
@@ -67,38 +68,33 @@ def sql_sentences(x: str) -> str:
 
 
 # ---- derived tables -----------------------------------------------------
-# question forms; {w} is the first word of a message, {t} its whole text. Three short ones stand for follow-ups.
-QUESTION_FORMS = [
-    "{w} 哮喘患者可以选择哪些治疗办法？{t}",
-    "{t} 布洛芬一次的剂量应该是几mg？",
-    "{w}为什么会引起下肢水肿，背后的机制如何解释？{t}",
-    "什么是{w}？",
-    "2023年的{w}指南改动了哪些内容？{t}",
-    "CKD患者的eGFR控制目标 {t}",
-    "怎么治疗？",
-    "那么{w}呢？",
-    "{w} hyperlipidemia and COPD 是否影响心率下降 {t}",
-    "{t}",
-    "冠心病患者每次 10ml {w} MRI 检查，妊娠期高血压另作说明 {t}",
-    "还有什么原因？",
-]
-CLINICAL_FORMS = [
-    "复诊：支气管哮喘伴胃溃疡，近期血压平稳。",
-    "近两周反复胸闷、腹泻并咳痰，夜间头晕。",
-    "给予布洛芬 200mg 3次/日，阿莫西林 250 mg 2次/天，必要时加用胰岛素 8U。",
-    "安排MRI检查、尿常规与胸部X线，随后复查B超。",
-    "计划行放疗，随后物理治疗与输液。",
-    "哺乳期慎用，肾功能不全者禁用，磺胺类药物过敏者禁用于长期治疗。",
-    "",
-]
-ANSWER_FORMS = [
-    "如[2]和[1]所述，哮喘应当避免诱因，不宜擅自减量 250mg。",
-    "见[7]，需要复查胃炎的症状。",
-    "此处不列出处。",
-    "可以考虑放疗[3][8]，注意副作用 1.5 ml。",
-    "",
-]
-CONTEXT_FORMS = ["哮喘患者应当避免诱因，每次剂量 250mg，胃炎症状需要复查。", "禁止擅自减量，避免副作用。", "建议定期复查。"]
+# Forms are made of the words in ``lexicon``: one per rule that the operators know, in frames without a meaning of
+# their own. {w} is the first word of a message, {t} its whole text.
+def _question_forms() -> list[str]:
+    unit, abbreviation = L.UNITS.split("|")[0], L.ABBREVIATIONS[1].upper()
+    synonyms = [s for words in L.TERM_SYNONYMS.values() for s in words[:1]]
+    led = [L.RECENCY_WORDS[0], f"20{unit}", abbreviation, *L.SEMANTIC_WORDS[:2], *list(L.TERM_SYNONYMS)[::6], *synonyms[::5], *L.AMBIGUOUS_TERMS]
+    typed = [f"{kind}{term}" for term, kinds in L.AMBIGUOUS_TERMS.items() for kind in list(kinds)[-1:]]
+    alone = [*L.FOLLOW_UP_COMPLETIONS, L.REPEAT_QUESTION]
+    return ["{t}", "什么是{w}？", "那{w}呢", *(f"{word} {{t}}" for word in [*led, *typed]), *alone]
+
+
+def _clinical_forms() -> list[str]:
+    listed = ["、".join(name for _, name in patterns[::4]) for patterns in L.ENTITY_PATTERNS.values()]
+    doses = [f"{name} {n}0mg {n}次/日" for n, (_, name) in enumerate(L.ENTITY_PATTERNS["medication"][:4], 1)]
+    return [*listed, *doses, ""]
+
+
+def _answer_forms() -> tuple[list[str], list[str]]:
+    """Answers cite documents and use one side of an opposed pair, contexts the other."""
+    said = [f"{denied}{term}[{n}][{n + 2}]" for n, ((denied, _), term) in enumerate(zip(L.OPPOSED_PAIRS, L.KEYWORD_TERMS), 1)]
+    held = [f"{agreed.rstrip('?')}{term}" for (_, agreed), term in zip(L.OPPOSED_PAIRS, L.KEYWORD_TERMS)]
+    return [*said, *(f"{term}[7]" for term in L.KEYWORD_TERMS[3:5]), L.KEYWORD_TERMS[5], ""], held
+
+
+QUESTION_FORMS = _question_forms()
+CLINICAL_FORMS = _clinical_forms()
+ANSWER_FORMS, CONTEXT_FORMS = _answer_forms()
 
 
 def pick(forms: list[str], index: Column) -> Column:
@@ -169,8 +165,8 @@ def answers_table(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     return d.select(
         F.col("doc_id").alias("query_id"),
-        F.concat(pick(ANSWER_FORMS, F.col("doc_id")), F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise("")).alias("answer"),
-        F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("糖尿病需要治疗"), F.col("text"))).alias("ground_truth"),
+        F.concat(pick(ANSWER_FORMS, F.col("doc_id")), "text").alias("answer"),
+        F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit(L.KEYWORD_TERMS[0]), F.col("text"))).alias("ground_truth"),
         F.when(F.col("doc_id") % 5 != 0, F.concat(pick(CONTEXT_FORMS, F.col("doc_id")), F.col("text"))).alias("context"),
         (F.col("doc_id") % 4).cast("int").alias("n_documents"),
     )
@@ -178,8 +174,8 @@ def answers_table(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL_ANSWERS = f"""answers AS (
   SELECT doc_id AS query_id,
-    {sql_pick(ANSWER_FORMS, 'doc_id')} || CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END AS answer,
-    CASE WHEN doc_id % 4 <> 0 THEN '糖尿病需要治疗' || text END AS ground_truth,
+    {sql_pick(ANSWER_FORMS, 'doc_id')} || text AS answer,
+    CASE WHEN doc_id % 4 <> 0 THEN '{L.KEYWORD_TERMS[0]}' || text END AS ground_truth,
     CASE WHEN doc_id % 5 <> 0 THEN {sql_pick(CONTEXT_FORMS, 'doc_id')} || text END AS context,
     (doc_id % 4)::INT AS n_documents
   FROM documents)"""

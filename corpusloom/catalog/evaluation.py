@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.catalog.answering import sql_keywords
+from corpusloom.catalog.answering import SQL_ASKED, asked_queries, sql_keywords
 from corpusloom.catalog.base import SQL_ANSWERS, answers_table, query, sql_str, sql_tokens, table
 from corpusloom.catalog.ingest import sql_hashed
 from corpusloom.catalog.retrieval import K, SQL_BENCH, SQL_BM25, SQL_VECTORS, benchmark_queries, corpus_chunks, document_index, vector_tables
@@ -135,22 +135,22 @@ def evaluate_dense_corpus_q(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- multiple choice: items derived from the benchmark -------------------
 def choice_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Three items per document: answered by its whole text, by the letter in brackets, and not at all."""
     d = table(spark, sf, "documents")
     i = F.col("doc_id")
     word = F.regexp_extract("text", "[A-Za-z]+", 0)
     options = F.array(*[F.struct(F.lit(k).alias("key"), F.concat(F.lit(v), F.lit(" "), word).alias("value")) for k, v in zip("ABCD", ["alpha", "beta", "gamma", "delta"])])
     letter = F.get(F.array(*[F.lit(x) for x in "ABCD"]), (i % 4).cast("int"))
+    said = F.array(F.col("text"), F.concat(F.lit("("), letter, F.lit(")")), F.lit(None).cast("string"))
     return d.select(
-        i.alias("query_id"), F.when(i % 7 != 0, F.get(F.array(*[F.lit(n) for n in L.MIRAGE_DATASETS]), (i % 5).cast("int"))).alias("dataset"),
-        options.alias("options"), letter.alias("answer"),
-        F.when(i % 6 == 0, None).when(i % 3 == 0, F.concat(F.lit("("), letter, F.lit(")"))).otherwise(F.col("text")).alias("response"),
-        F.concat(F.col("lang"), F.lit(" "), word).alias("option_text"),
-    )
+        i, F.when(i % 7 != 0, F.get(F.array(*[F.lit(n) for n in L.MIRAGE_DATASETS]), (i % 5).cast("int"))).alias("dataset"),
+        options.alias("options"), letter.alias("answer"), F.posexplode(said).alias("form", "response"),
+    ).select((i * 3 + F.col("form")).alias("query_id"), "dataset", "options", "answer", "response")
 
 
 _SETS = "[" + ", ".join(f"'{n}'" for n in L.MIRAGE_DATASETS) + "]"
-_CHOICE = f"""ch AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 7 <> 0 THEN {_SETS}[doc_id % 5 + 1] ELSE 'unknown' END AS dataset, ['A','B','C','D'][doc_id % 4 + 1] AS answer,
-   coalesce(CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN '(' || ['A','B','C','D'][doc_id % 4 + 1] || ')' ELSE text END, '') AS response FROM documents)"""
+_CHOICE = f"""ch AS (SELECT CASE WHEN doc_id % 7 <> 0 THEN {_SETS}[doc_id % 5 + 1] ELSE 'unknown' END AS dataset, ['A','B','C','D'][doc_id % 4 + 1] AS answer,
+   coalesce(unnest([text, '(' || ['A','B','C','D'][doc_id % 4 + 1] || ')', NULL]), '') AS response FROM documents)"""
 
 
 @query(
@@ -166,7 +166,7 @@ def mirage_accuracy_q(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "context_hit_rate",
     f"""WITH {SQL_BENCH}, {SQL_BM25}, h AS (SELECT query_id, d.text FROM sparse JOIN documents d ON d.doc_id = chunk_id WHERE rank <= {K}),
- i AS (SELECT query_id, list_filter(regexp_split_to_array(trim(substr(query, length(query) - 30)), '\\s+')[1:3], lambda w: length(w) > 3) AS ws FROM q),
+ i AS (SELECT query_id, list_filter(regexp_split_to_array(trim(query), '\\s+')[1:3], lambda w: length(w) > 3) AS ws FROM q),
  s AS (SELECT query_id, bool_or(len(list_filter(ws, lambda w: contains(lower(text), lower(w)))) > 0) AS hit, count(*) AS n FROM h JOIN i USING (query_id) GROUP BY 1)
 SELECT count(*) AS total, count(*) FILTER (hit) AS hits, round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS context_hit_rate,
   round(avg(coalesce(n, 0)::DOUBLE), 6) AS avg_retrieved FROM i LEFT JOIN s USING (query_id)""",
@@ -174,13 +174,13 @@ SELECT count(*) AS total, count(*) FILTER (hit) AS hits, round(avg(CASE WHEN hit
 def context_hit_rate_q(spark: SparkSession, sf: str) -> DataFrame:
     q = benchmark_queries(spark, sf)
     hits = bm25_search(document_index(spark, sf), q, K, "query").join(corpus_chunks(spark, sf), "chunk_id")
-    return M.context_hit_rate(q.select("query_id", F.right("query", F.lit(31)).alias("option_text")), hits)
+    return M.context_hit_rate(q.select("query_id", F.col("query").alias("option_text")), hits)
 
 
 @query("sample_questions", "SELECT doc_id AS query_id FROM documents ORDER BY md5(doc_id || '|42'), doc_id LIMIT 100")
 def sample_questions_q(spark: SparkSession, sf: str) -> DataFrame:
     """A sampling operator: the limit is the feature."""
-    return M.sample_questions(choice_items(spark, sf).select("query_id"), 100)
+    return M.sample_questions(table(spark, sf, "documents").select(F.col("doc_id").alias("query_id")), 100)
 
 
 @query(
@@ -205,14 +205,14 @@ def metric_summary_q(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "build_eval_cases",
-    f"""WITH {SQL_BENCH}, {SQL_BM25}, c AS (SELECT query_id, string_agg(d.text, '|' ORDER BY rank) AS ctx, count(*) AS n FROM sparse JOIN documents d ON d.doc_id = chunk_id
-   WHERE rank <= {K} AND query_id % 7 <> 0 AND d.text <> '' GROUP BY 1)
+    f"""WITH {SQL_ASKED}, {SQL_BM25}, c AS (SELECT query_id, string_agg(d.text, '|' ORDER BY rank) AS ctx, count(*) AS n FROM sparse JOIN documents d ON d.doc_id = chunk_id
+   WHERE rank <= {K} AND d.text <> '' GROUP BY 1)
 SELECT query_id, md5(query) AS question_md5, '' AS expected, CASE WHEN query_id % 2 = 0 THEN 'answer ' || query_id ELSE '' END AS answer,
   md5(coalesce(ctx, '')) AS contexts_md5, coalesce(n, 0) AS n_contexts FROM q LEFT JOIN c USING (query_id)""",
 )
 def build_eval_cases_q(spark: SparkSession, sf: str) -> DataFrame:
-    q = benchmark_queries(spark, sf)
-    hits = bm25_search(document_index(spark, sf), q, K, "query").join(corpus_chunks(spark, sf), "chunk_id").filter("query_id % 7 <> 0")
+    q = asked_queries(spark, sf)
+    hits = bm25_search(document_index(spark, sf), q, K, "query").join(corpus_chunks(spark, sf), "chunk_id")
     answers = q.filter("query_id % 2 = 0").select("query_id", F.concat(F.lit("answer "), F.col("query_id").cast("string")).alias("answer"))
     items = q.select("query_id", F.col("query").alias("question"), F.lit(None).cast("string").alias("expected"))
     c = M.build_eval_cases(items, hits, answers)

@@ -207,24 +207,23 @@ def rerank_q(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# score columns with gaps, derived from the vectors
+# score columns with gaps, derived from the whole vectors
 def scored_vectors(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")
-    x = F.abs(F.col("embedding")[0].cast("double"))
-    y = F.abs(F.col("embedding")[1].cast("double"))
+    x, y = (F.abs(f("embedding").cast("double")) for f in (F.array_max, F.array_min))
     i = F.col("vec_id")
     return v.select(
         (i % 50).alias("query_id"), i.alias("chunk_id"),
         F.when(i % 4 == 0, F.when(i % 8 == 0, 0.0).otherwise(x)).alias("rerank_score"),
         F.when(i % 3 == 0, y).alias("score"),
-        F.when(i % 5 != 0, x + y + F.col("embedding")[2].cast("double")).alias("distance"),
+        F.when(i % 5 != 0, x + y).alias("distance"),
     )
 
 
 SQL_SCORED = """sv AS (SELECT vec_id % 50 AS query_id, vec_id AS chunk_id,
-   CASE WHEN vec_id % 4 = 0 THEN CASE WHEN vec_id % 8 = 0 THEN 0.0::DOUBLE ELSE abs(embedding[1]::DOUBLE) END END AS rerank_score,
-   CASE WHEN vec_id % 3 = 0 THEN abs(embedding[2]::DOUBLE) END AS score,
-   CASE WHEN vec_id % 5 <> 0 THEN abs(embedding[1]::DOUBLE) + abs(embedding[2]::DOUBLE) + embedding[3]::DOUBLE END AS distance FROM embeddings)"""
+   CASE WHEN vec_id % 4 = 0 THEN CASE WHEN vec_id % 8 = 0 THEN 0.0::DOUBLE ELSE abs(list_max(embedding)::DOUBLE) END END AS rerank_score,
+   CASE WHEN vec_id % 3 = 0 THEN abs(list_min(embedding)::DOUBLE) END AS score,
+   CASE WHEN vec_id % 5 <> 0 THEN abs(list_max(embedding)::DOUBLE) + abs(list_min(embedding)::DOUBLE) END AS distance FROM embeddings)"""
 
 
 @query(

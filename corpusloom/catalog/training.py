@@ -29,15 +29,15 @@ def _valid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "pairs_from_pubmedqa",
-    r"""WITH p AS (SELECT doc_id, substr(text, 1, 60) AS q, string_agg(x, ' ' ORDER BY i) AS c FROM (
+    r"""WITH p AS (SELECT doc_id, text AS q, string_agg(x, ' ' ORDER BY i) AS c FROM (
    SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) GROUP BY doc_id, text)
-SELECT doc_id AS pair_id, q AS query, md5(substr(c, 1, 2000)) AS positive_md5 FROM p WHERE length(q) >= 10 AND length(c) >= 50""",
+SELECT doc_id AS pair_id, md5(q) AS query_md5, md5(substr(c, 1, 2000)) AS positive_md5 FROM p WHERE length(q) >= 10 AND length(c) >= 50""",
 )
 def pairs_from_pubmedqa_q(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("pair_id"), F.left("text", F.lit(60)).alias("question"), F.split("text", "\n").alias("contexts")
+        F.col("doc_id").alias("pair_id"), F.col("text").alias("question"), F.split("text", "\n").alias("contexts")
     )
-    return N.pairs_from_pubmedqa(items).select("pair_id", "query", md5("positive").alias("positive_md5"))
+    return N.pairs_from_pubmedqa(items).select("pair_id", md5("query").alias("query_md5"), md5("positive").alias("positive_md5"))
 
 
 @query(
@@ -61,15 +61,14 @@ def pairs_from_medqa_q(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "pairs_from_medmcqa",
-    """WITH p AS (SELECT doc_id, substr(text, 1, 30) AS q, CASE WHEN doc_id % 4 <> 0 THEN text END AS e FROM documents)
-SELECT doc_id AS pair_id, q AS query, md5(substr(e, 1, 2000)) AS positive_md5 FROM p WHERE length(q) >= 10 AND length(e) >= 50""",
+    """WITH p AS (SELECT doc_id, text AS q, text AS e FROM documents)
+SELECT doc_id AS pair_id, md5(q) AS query_md5, md5(substr(e, 1, 2000)) AS positive_md5 FROM p WHERE length(q) >= 10 AND length(e) >= 50""",
 )
 def pairs_from_medmcqa_q(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("pair_id"), F.left("text", F.lit(30)).alias("question"),
-        F.when(F.col("doc_id") % 4 != 0, F.col("text")).alias("explanation"),
+        F.col("doc_id").alias("pair_id"), F.col("text").alias("question"), F.col("text").alias("explanation"),
     )
-    return N.pairs_from_medmcqa(items).select("pair_id", "query", md5("positive").alias("positive_md5"))
+    return N.pairs_from_medmcqa(items).select("pair_id", md5("query").alias("query_md5"), md5("positive").alias("positive_md5"))
 
 
 @query(
@@ -129,7 +128,7 @@ def ordered_split_q(spark: SparkSession, sf: str) -> DataFrame:
     return N.ordered_split(_valid(spark, sf), 0.8).select("pair_id", "split")
 
 
-_ALL = f"""{SQL_PAIRS}, mc AS (SELECT doc_id, substr(text, 1, 30) AS q, text AS e FROM documents WHERE doc_id % 4 <> 0),
+_ALL = f"""{SQL_PAIRS}, mc AS (SELECT doc_id, text AS q, text AS e FROM documents),
  u AS (SELECT 'local' AS source, 'local:' || pair_id AS pair_id, query, positive FROM pairs
    UNION ALL SELECT 'medmcqa', 'medmcqa:' || doc_id, q, substr(e, 1, 2000) FROM mc WHERE length(q) >= 10 AND length(e) >= 50)"""
 
@@ -139,17 +138,16 @@ _ALL = f"""{SQL_PAIRS}, mc AS (SELECT doc_id, substr(text, 1, 30) AS q, text AS
     f"""WITH {_ALL}, h AS (SELECT positive, md5(positive) AS h FROM (SELECT DISTINCT positive FROM u)),
  o AS (SELECT positive, row_number() OVER (ORDER BY md5(h || '|42'), h) - 1 AS pos, count(*) OVER () AS m FROM h),
  w AS (SELECT a.positive, string_agg(b.positive, '|' ORDER BY s) AS negs FROM o a CROSS JOIN range(1, 4) g(s) JOIN o b ON b.pos = (a.pos + s) % a.m GROUP BY 1)
-SELECT source, pair_id, query, md5(positive) AS positive_md5, md5(negs) AS negatives_md5, md5(pair_id || '|42') AS shuffle_key FROM u JOIN w USING (positive)""",
+SELECT source, pair_id, md5(query) AS query_md5, md5(positive) AS positive_md5, md5(negs) AS negatives_md5, md5(pair_id || '|42') AS shuffle_key FROM u JOIN w USING (positive)""",
 )
 def build_all_q(spark: SparkSession, sf: str) -> DataFrame:
     explained = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("pair_id"), F.left("text", F.lit(30)).alias("question"),
-        F.when(F.col("doc_id") % 4 != 0, F.col("text")).alias("explanation"),
+        F.col("doc_id").alias("pair_id"), F.col("text").alias("question"), F.col("text").alias("explanation"),
     )
     sources = {"local": _valid(spark, sf), "medmcqa": N.pairs_from_medmcqa(explained)}
     b = N.build_all(sources)
     return b.select(
-        "source", "pair_id", "query", md5("positive").alias("positive_md5"),
+        "source", "pair_id", md5("query").alias("query_md5"), md5("positive").alias("positive_md5"),
         md5(F.array_join("negatives", "|")).alias("negatives_md5"), "shuffle_key",
     )
 

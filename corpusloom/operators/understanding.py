@@ -8,13 +8,17 @@ become literals of the expression, so there is neither a join nor a shuffle.
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import lexicon as L
 from corpusloom.functions import text as T
+from corpusloom.session import materialize
 
 
 def _any(c: Column, words: list[str]) -> Column:
@@ -171,26 +175,70 @@ def expand_synonyms(q: Column, terms: dict[str, list[str]] | None = None) -> Col
     return T.let(q, expand)
 
 
+#: Characters of the terms of one automaton; a larger term table is dealt into several by the terms' first characters.
+AUTOMATON_CHARS = 1 << 22
+_AUTOMATA: dict[str, tuple] = {}
+
+
+def _automaton(key: str, shared) -> tuple:
+    """The automaton of a broadcast term list and the synonyms of the empty term; built once per worker."""
+    import ahocorasick
+
+    if key not in _AUTOMATA:
+        _AUTOMATA.clear()
+        built, always = ahocorasick.Automaton(), []
+        for term, synonyms in shared.value:
+            if term:
+                built.add_word(term, synonyms)
+            else:
+                always += synonyms
+        built.make_automaton()
+        _AUTOMATA[key] = built, always
+    return _AUTOMATA[key]
+
+
+def _contained(q: Column, shared) -> Column:
+    """array<string>: the synonyms of every term of the broadcast list that the text holds, in one pass over it."""
+    key = uuid.uuid4().hex
+
+    @F.pandas_udf("array<string>")
+    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton, always = _automaton(key, shared)
+        for texts in batches:
+            rows = []
+            for text in texts:
+                found = dict.fromkeys(always) if text is not None else {}
+                if text and len(automaton):
+                    for _, synonyms in automaton.iter(text):
+                        found.update(dict.fromkeys(synonyms))
+                rows.append(list(found))
+            yield pd.Series(rows)
+
+    return match(q)
+
+
 def expand_synonyms_table(queries: DataFrame, terms: DataFrame, query_col: str = "query") -> DataFrame:
     """query_id, synonym: the same rule for a term table ``(term, syn_ord, synonym)``.
 
-    A substring test is not an equi-join. Each query is cut into all substrings
-    of the lengths that occur among the terms, which makes it one: the work is
-    query length x distinct term lengths, whatever the number of terms.
+    The terms are compiled into an automaton that finds all of them in one pass
+    over a text; a row leaves per match, nothing is cut into substrings and
+    nothing is shuffled but the matches. Term tables above AUTOMATON_CHARS are
+    dealt by the terms' first characters, with a scan of the queries for each
+    part. Null queries, terms and synonyms match nothing.
     """
-    lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect()]
-    q = F.col(query_col)
-
-    def cuts(n: int) -> Column:
-        # an empty match at every position, the following n characters captured
-        return F.regexp_extract_all(q, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-
-    pieces = F.flatten(F.array(*[cuts(n) for n in lengths]))
-    cut = queries.select("query_id", F.explode(F.array_distinct(pieces)).alias("term"))
-    found = cut.join(terms.filter("syn_ord <= 2"), "term").select("query_id", "synonym").distinct()
-    # the text itself joins back only for the few (query, synonym) pairs found
-    lowered = queries.select("query_id", F.lower(q).alias("_low"))
-    return found.join(lowered, "query_id").filter(~F.contains("_low", F.lower("synonym"))).drop("_low")
+    given = terms.filter("syn_ord <= 2 AND term IS NOT NULL AND synonym IS NOT NULL")
+    listed = materialize(given.groupBy("term").agg(F.collect_set("synonym").alias("synonyms")), "terms")
+    chars = listed.agg(F.sum(F.length("term") + F.aggregate("synonyms", F.lit(0), lambda n, s: n + F.length(s)))).first()[0]
+    parts = max(1, -(-(chars or 0) // AUTOMATON_CHARS))
+    q, found = F.col(query_col), None
+    for part in range(parts):
+        mine = listed.filter(F.pmod(F.xxhash64(F.left("term", F.lit(4))), F.lit(parts)) == part)
+        shared = queries.sparkSession.sparkContext.broadcast([(r["term"], r["synonyms"]) for r in mine.toLocalIterator()])  # about AUTOMATON_CHARS
+        matched = queries.select("query_id", F.lower(q).alias("low"), _contained(q, shared).alias("synonyms"))
+        missing = F.filter("synonyms", lambda s: ~F.contains(F.col("low"), F.lower(s)))
+        rows = matched.select("query_id", F.explode(missing).alias("synonym"))
+        found = rows if found is None else found.unionAll(rows)
+    return found.distinct()
 
 
 def check_ambiguity(q: Column) -> Column:

@@ -114,3 +114,22 @@ def test_history(spark):
     assert C.history_text(messages(spark, 3), 2).first().history == "助手: m1\n用户: m2"
     r = C.last_user_queries(messages(spark, 4)).first()
     assert (r.last_query, r.previous_query) == ("m2", "m0")
+
+
+def test_term_table_by_automaton(spark, monkeypatch):
+    terms = [("ab", 1, "X"), ("ab", 2, "Y"), ("ab", 3, "Z"), ("b", 1, "bee"), ("", 1, "always"), (None, 1, "n"), ("abc", 1, None), ("糖尿病", 1, "DM"), ("aba", 1, "x1"), ("a" * 50, 1, "long")]
+    texts = [(1, "xabab"), (2, "AB"), (3, None), (4, ""), (5, "糖尿病 dm"), (6, "2型糖尿病"), (7, "ab has X and BEE"), (7, "b"), (8, "a" * 100_000)]
+
+    def brute():
+        out = set()
+        for i, text in texts:
+            for term, order, synonym in terms:
+                if None not in (text, term, synonym) and order <= 2 and term in text and synonym.lower() not in text.lower():
+                    out.add((i, synonym))
+        return out
+
+    q, t = spark.createDataFrame(texts, "query_id long, query string"), spark.createDataFrame(terms, "term string, syn_ord int, synonym string")
+    for chars in (U.AUTOMATON_CHARS, 20):
+        monkeypatch.setattr(U, "AUTOMATON_CHARS", chars)
+        assert {tuple(r) for r in U.expand_synonyms_table(q, t).collect()} == brute()
+    assert U.expand_synonyms_table(q, t.limit(0)).collect() == [] == U.expand_synonyms_table(q.limit(0), t).collect()
