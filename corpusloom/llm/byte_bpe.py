@@ -23,10 +23,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of objects that a worker keeps: states and transitions of the transducer, encoded chunks.
-STATE_BYTES, CHUNK_BYTES = 96 << 20, 64 << 20
+#: Bytes of objects that one worker keeps at most: five eighths for states and transitions, the rest for encoded chunks.
+CACHE_BYTES = 384 << 20
 # sizes of the objects behind one entry, dictionary slots included, as measured
-MOVE_SIZE, STATE_SIZE, CONFIGURATION_SIZE, CHUNK_SIZE = 170, 200, 90, 240
+MOVE_SIZE, OUT_SIZE, STATE_SIZE, CONFIGURATION_SIZE, CHUNK_SIZE = 120, 110, 190, 50, 240
 # what can end inside a run of other white space; such texts are not cut into chunks
 RARE_SPACE = regex.compile(r"[^\S \t\n\r]|[\x1c-\x1f]")
 CHUNK = re.compile(r"[ \t\n\r]*+[^ \t\n\r]++|[ \t\n\r]++")
@@ -39,33 +39,45 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Encoder of single pieces; ``encode`` walks cached transitions and builds missing ones."""
+    """Encoder of single pieces; ``encode`` walks cached transitions and builds missing ones.
 
-    def __init__(self, ranks: dict[bytes, int]):
+    A configuration is a packed number (place in the trie, last token + 1) and
+    its waiting tokens; a state is the flat tuple of its configurations, in
+    order. A transition is the next state alone where nothing is emitted.
+    """
+
+    LAST = 20  # bits of the last token
+
+    def __init__(self, ranks: dict[bytes, int], state_bytes: int = CACHE_BYTES * 5 // 8):
+        self.state_bytes = state_bytes
+        size = max(ranks.values()) + 1
+        if size >= (1 << self.LAST) - 1:
+            raise ValueError("a rank does not fit into a configuration")
         self.ranks = ranks
         self.token_bytes = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}  # trie node * 256 + byte -> node
-        self.token_at: dict[int, int] = {}  # trie node -> token that ends there
-        self.inner: set[int] = {0}  # nodes with children
-        nodes = 1
+        token_at, inner = [-1], bytearray(1)  # by node: token that ends there, whether it goes on
         for token, rank in ranks.items():
             node = 0
             for byte in token:
                 key = node * 256 + byte
                 if key not in self.child:
-                    self.child[key] = nodes
-                    self.inner.add(node)
-                    nodes += 1
+                    self.child[key] = len(token_at)
+                    inner[node] = 1
+                    token_at.append(-1)
+                    inner.append(0)
                 node = self.child[key]
-            self.token_at[node] = rank
-        self.halves: dict[int, tuple[int, int] | None] = {}  # at most one entry per token
+            token_at[node] = rank
+        self.token_at, self.inner = token_at, inner
+        # the two tokens whose merge makes a token: -2 not asked yet, -1 never made, itself for a byte
+        self.left, self.right = [-2] * size, [-2] * size
         self._clear()
 
     def _clear(self) -> None:
-        start = ((0, -1, ()),)
+        start = (0, ())
         self.states: dict[tuple, int] = {start: 0}
         self.configurations: list[tuple] = [start]
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.moves: dict[int, int | tuple[int, tuple[int, ...]]] = {}
         self.bytes = 0
 
     def _state(self, key: tuple) -> int:
@@ -73,7 +85,7 @@ class Transducer:
         if state is None:
             state = self.states[key] = len(self.configurations)
             self.configurations.append(key)
-            self.bytes += STATE_SIZE + sum(CONFIGURATION_SIZE + 8 * len(w) for _, _, w in key)
+            self.bytes += STATE_SIZE + CONFIGURATION_SIZE * (len(key) // 2)
         return state
 
     def merged(self, piece: bytes, least: int = 1) -> list[int]:
@@ -86,13 +98,14 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def _halves(self, token: int) -> tuple[int, int] | None:
-        """The two tokens whose merge makes ``token``; itself twice for a byte, None if the merges never make it."""
-        if token not in self.halves:
+    def _learn(self, token: int) -> bool:
+        """Fill in the halves of ``token``; whether the merges make it."""
+        if self.left[token] == -2:
             piece = self.token_bytes[token]
             found = self.merged(piece, 2) if len(piece) > 1 else [token, token]
-            self.halves[token] = tuple(found) if len(found) == 2 and self.merged(piece) == [token] else None
-        return self.halves[token]
+            made = len(found) == 2 and self.merged(piece) == [token]
+            self.left[token], self.right[token] = found if made else (-1, -1)
+        return self.left[token] >= 0
 
     def _follows(self, last: int, token: int) -> bool:
         """Whether the merges leave the two tokens as they are next to each other.
@@ -100,13 +113,20 @@ class Transducer:
         Their merges are taken back, the later one first; a merge across the
         border that ranks before the one taken back would have come first.
         """
-        if self._halves(token) is None or last < 0:
-            return self._halves(token) is not None
-        limit, spelt, ranks = 1 << 60, self.token_bytes, self.ranks
+        lefts, rights, spelt, get = self.left, self.right, self.token_bytes, self.ranks.get
+        if lefts[token] < 0 and not self._learn(token):
+            return False
+        if last < 0:
+            return True
+        limit = 1 << 60
         while True:
-            if ranks.get(spelt[last] + spelt[token], limit) < limit:
+            if get(spelt[last] + spelt[token], limit) < limit:
                 return False
-            right, left = self._halves(last)[1], self._halves(token)[0]
+            left, right = lefts[token], rights[last]
+            if left == -2 or right == -2:  # halves of made tokens are made themselves
+                self._learn(token)
+                self._learn(last)
+                left, right = lefts[token], rights[last]
             if (last > token and right != last) or left == token:
                 if right == last:
                     return True
@@ -114,31 +134,34 @@ class Transducer:
             else:
                 limit, token = token + 1, left
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        child, token_at, inner, follows = self.child, self.token_at, self.inner, self._follows
-        found = []
-        for node, last, waiting in self.configurations[state]:
-            node = child.get(node * 256 + byte)
+    def _move(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
+        child, token_at, inner, follows, bits = self.child, self.token_at, self.inner, self._follows, self.LAST
+        found, key = [], self.configurations[state]
+        for at in range(0, len(key), 2):
+            packed, waiting = key[at], key[at + 1]
+            node = child.get((packed >> bits) * 256 + byte)
             if node is None:
                 continue
-            token = token_at.get(node)
-            if token is not None and follows(last, token):
-                found.append((0, token, (*waiting, token)))
-            if node in inner:
-                found.append((node, last, waiting))
+            token = token_at[node]
+            last = packed & ((1 << bits) - 1)
+            if token >= 0 and follows(last - 1, token):
+                found.append((token + 1, (*waiting, token)))
+            if inner[node]:
+                found.append((node << bits | last, waiting))
         out: tuple[int, ...] = ()
-        if found and all([w for _, _, w in found]):
-            shared, shortest = 0, min([len(w) for _, _, w in found])
-            while shared < shortest and len({w[shared] for _, _, w in found}) == 1:
+        if found and all([w for _, w in found]):
+            shared, shortest = 0, min([len(w) for _, w in found])
+            while shared < shortest and len({w[shared] for _, w in found}) == 1:
                 shared += 1
             if shared:
-                out = found[0][2][:shared]
-                found = [(node, last, w[shared:]) for node, last, w in found]
+                out = found[0][1][:shared]
+                found = [(packed, w[shared:]) for packed, w in found]
         found.sort()
-        target = self._state(tuple(found))
-        self.moves[state * 256 + byte] = target, out
-        self.bytes += MOVE_SIZE + 8 * len(out)
-        return target, out
+        target = self._state(tuple([x for pair in found for x in pair]))
+        step = (target, out) if out else target
+        self.moves[state * 256 + byte] = step
+        self.bytes += MOVE_SIZE + (OUT_SIZE + 8 * len(out) if out else 0)
+        return step
 
     def encode(self, piece: bytes) -> list[int]:
         """Tokens of one piece; a piece that is a token itself is that token."""
@@ -149,15 +172,18 @@ class Transducer:
         for byte in piece:
             step = moves.get(state * 256 + byte)
             if step is None:
-                if self.bytes > STATE_BYTES:  # the walk goes on from the same configurations
+                if self.bytes > self.state_bytes:  # the walk goes on from the same configurations
                     here = self.configurations[state]
                     self._clear()
                     state, moves = self._state(here), self.moves
                 step = self._move(state, byte)
-            state = step[0]
-            if step[1]:
+            if step.__class__ is int:
+                state = step
+            else:
+                state = step[0]
                 out += step[1]
-        (final,) = [w for node, _, w in self.configurations[state] if node == 0]
+        key = self.configurations[state]
+        (final,) = [key[at + 1] for at in range(0, len(key), 2) if not key[at] >> self.LAST]
         return [*out, *final]
 
 
@@ -190,11 +216,12 @@ class Codec:
     """Texts to ids and back. Chunks that no piece can cross are encoded once and kept while there is room.
 
     The kept chunks are a memo beside the transducer: in two generations, of
-    which the older goes when the younger holds half of ``CHUNK_BYTES``.
+    which the older goes when the younger holds half of its room.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_bytes: int = CACHE_BYTES):
+        self.transducer = Transducer(ranks, cache_bytes * 5 // 8)
+        self.chunk_bytes = cache_bytes * 3 // 8
         self.pieces = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -222,8 +249,8 @@ class Codec:
                 if ids is None:
                     ids = self._ids(part)
                 size = CHUNK_SIZE + sys.getsizeof(part) + len(ids)
-                if size < CHUNK_BYTES // 64:
-                    if self.bytes + size > CHUNK_BYTES // 2:
+                if size < self.chunk_bytes // 64:
+                    if self.bytes + size > self.chunk_bytes // 2:
                         self.older, self.known, self.bytes = known, {}, 0
                         known = self.known
                     known[part] = ids
@@ -253,15 +280,15 @@ def _codec(key: tuple, shared) -> Codec:
     return _CODECS[key]
 
 
-def _shared(spark: SparkSession, path: str, pattern: str):
+def _shared(spark: SparkSession, path: str, pattern: str, cache_bytes: int):
     ranks = read_ranks(spark, path)
-    key = (hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest(),)
-    return key, spark.sparkContext.broadcast((ranks, pattern))  # a vocabulary file, fixed size
+    key = (hashlib.sha256(repr((sorted(ranks.items()), pattern, cache_bytes)).encode()).hexdigest(),)
+    return key, spark.sparkContext.broadcast((ranks, pattern, cache_bytes))  # a vocabulary file, fixed size
 
 
-def encode_column(spark: SparkSession, path: str, pattern: str):
+def encode_column(spark: SparkSession, path: str, pattern: str, cache_bytes: int = CACHE_BYTES):
     """Column function: text -> array<int> of ids (null: empty)."""
-    key, shared = _shared(spark, path, pattern)
+    key, shared = _shared(spark, path, pattern, cache_bytes)
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -274,7 +301,7 @@ def encode_column(spark: SparkSession, path: str, pattern: str):
 
 def decode_column(spark: SparkSession, path: str, pattern: str, step: int = 4096):
     """Column function: array<int> -> text, decoded in steps of so many ids (null: empty)."""
-    key, shared = _shared(spark, path, pattern)
+    key, shared = _shared(spark, path, pattern, CACHE_BYTES)
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -290,15 +317,20 @@ def _steps(ids: np.ndarray, step: int) -> Iterator[list[int]]:
         yield ids[at : at + step].tolist()
 
 
-def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again.
+def encode_digests(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES, keep_ids: bool = False
+) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and the ids) of every text, encoded and decoded again.
 
     Null and empty texts have no tokens; repeated rows are kept. The decoded
     digest is taken over the bytes that the stream decoder gives for the ids.
+    ``cache_bytes`` bounds what a worker keeps between texts: less of it costs
+    time, never a result.
     """
-    key, shared = _shared(docs.sparkSession, path, pattern)
+    key, shared = _shared(docs.sparkSession, path, pattern, cache_bytes)
+    ids_type = ", ids array<int>" if keep_ids else ""
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ids_type)
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(key, shared)
         decimal = [str(i).encode() for i in range(len(codec.table))]
@@ -310,7 +342,8 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
                 back = hashlib.sha256()
                 for part in codec.decode_stream(_steps(ids, 1 << 16)):
                     back.update(part.encode("utf-8"))
-                rows.append((len(listed), hashlib.sha256(b",".join(map(decimal.__getitem__, listed))).hexdigest(), back.hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                row = (len(listed), hashlib.sha256(b",".join(map(decimal.__getitem__, listed))).hexdigest(), back.hexdigest())
+                rows.append((*row, ids.astype(np.int32)) if keep_ids else row)
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 if keep_ids else 3])
 
     return docs.select(F.col(id_col).alias("doc_id"), digest.asNondeterministic()(F.col(text_col)).alias("d")).select("doc_id", "d.*")

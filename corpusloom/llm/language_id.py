@@ -119,9 +119,10 @@ def fit(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge
         rows = np.zeros((len(texts), len(vocabulary) + 1), dtype=np.float32)
         for i, ids in enumerate(texts):
             rows[i, column[ids]] = 1
-        return rows[:, :-1] / np.sqrt(np.array([max(1, len(ids)) for ids in texts]))[:, None]
+            rows[i] /= np.sqrt(np.float32(max(1, len(ids))))  # in place: the rows are the largest thing on the driver
+        return rows[:, :-1]
 
-    marks = presence(chosen).astype(np.float32)
+    marks = presence(chosen)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     kept = values > values.max() * 1e-8
     root = vectors[:, kept] / np.sqrt(values[kept])

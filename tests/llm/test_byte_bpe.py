@@ -42,31 +42,25 @@ def test_random_bytes_through_the_transducer(codec, reference, ranks):
         assert codec.transducer.encode(piece) == ([ranks[piece]] if piece in ranks else codec.transducer.merged(piece))
 
 
-@pytest.mark.parametrize("states, chunks", [(2000, 64 << 10), (96 << 20, 0), (5000, 0)])
-def test_states_and_chunks_can_be_dropped(ranks, reference, monkeypatch, states, chunks):
+@pytest.mark.parametrize("cache", [0, 4000, 200_000])
+def test_states_and_chunks_can_be_dropped(ranks, reference, cache):
     """Also inside a piece; without room for chunks the transducer alone gives all ids."""
-    monkeypatch.setattr(B, "STATE_BYTES", states)
-    monkeypatch.setattr(B, "CHUNK_BYTES", chunks)
-    small = B.Codec(ranks, public_tokenizers.PATTERN)
+    small = B.Codec(ranks, public_tokenizers.PATTERN, cache)
     for text in ["unbelievable transformations everywhere, and somewhere else " * 3, "x" * 3000 + "Donaudampfschifffahrtsgesellschaft" * 20, "日本語のテキスト " * 30]:
         assert small.encode(text).tolist() == reference.encode_ordinary(text)
-    assert not chunks or small.bytes <= chunks
-    assert chunks or not small.known
+    assert small.bytes <= small.chunk_bytes and (cache or not small.known)
 
 
-def test_a_worker_stays_small(ranks, monkeypatch):
-    """Distinct words of 64 characters without end, with a smaller budget: memory stays within it."""
-    monkeypatch.setattr(B, "STATE_BYTES", 8 << 20)
-    monkeypatch.setattr(B, "CHUNK_BYTES", 8 << 20)
-    codec, rng = B.Codec(ranks, public_tokenizers.PATTERN), random.Random(4)
+def test_a_worker_stays_small(ranks):
+    """Distinct words of 64 characters without end, with a small budget: memory stays within it."""
+    codec, rng = B.Codec(ranks, public_tokenizers.PATTERN, 16 << 20), random.Random(4)
     resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
-    # most words repeat their pieces, so that a million of them are encoded in test time
     stems = ["".join(rng.choices("abcdefghij", k=32)) for _ in range(60)]
     codec.encode(" ".join(stems))
     before = resident()
-    for part in range(30):
+    for part in range(20):
         codec.encode(" ".join(f"{rng.choice(stems)}{part * 10_000 + i:032d}" for i in range(10_000)))
-        assert codec.bytes <= B.CHUNK_BYTES and codec.transducer.bytes <= B.STATE_BYTES + 4096
+        assert codec.bytes <= codec.chunk_bytes and codec.transducer.bytes <= codec.transducer.state_bytes + 4096
     assert resident() - before < 80 << 20
 
 
@@ -77,8 +71,8 @@ def test_pairs_are_judged_as_the_merges_do(ranks):
     pairs += [(rng.choice(list(t.token_bytes)[:3000]), rng.choice(list(t.token_bytes)[:3000])) for _ in range(3000)]
     seen = set()
     for a, b in pairs:
-        if t._halves(a) is not None:
-            want = t._halves(b) is not None and t.merged(t.token_bytes[a] + t.token_bytes[b]) == [a, b]
+        if t._learn(a):
+            want = t._learn(b) and t.merged(t.token_bytes[a] + t.token_bytes[b]) == [a, b]
             assert t._follows(a, b) == want
             seen.add(want)
     assert seen == {True, False}
