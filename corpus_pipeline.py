@@ -3,7 +3,7 @@
 Every stage takes the documents its predecessor kept and is stored as Parquet
 before the next one reads it. All stages but the last return the columns of
 ``documents`` (and any others the table has); the last returns the encoded
-documents. Decisions are the operators' own:
+documents: ids, their number and digests. Decisions are the operators' own:
 
 * a document whose language cannot be determined (no letter, or null) goes;
 * of each group of near-duplicates (five-word shingles, similarity 0.8) the
@@ -53,7 +53,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return byte_bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    # the executors still hold what the earlier stages left; the ids themselves are the result
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.encode_digests(docs, vocabulary, public_tokenizers.PATTERN, cache_bytes=160 << 20, keep_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
