@@ -12,6 +12,7 @@ from corpusloom.catalog.base import query, sql_str, sql_tokens, table
 from corpusloom.catalog.ingest import sql_hashed
 from corpusloom.functions import lexicon as L
 from corpusloom.operators import hits as H
+from corpusloom.operators.block_postings import BlockIndex, block_search, build_block_index
 from corpusloom.operators.dense import dense_search, dense_search_approx
 from corpusloom.operators.embedding import embed
 from corpusloom.operators.lsh import dense_search_lsh, recall
@@ -109,6 +110,19 @@ def bm25_search_pruned_q(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+_BLOCKS: dict[tuple[str, str], BlockIndex] = {}
+
+
+@query("bm25_block_search", f"WITH {SQL_BENCH}, {SQL_BM25} SELECT query_id, chunk_id, score, rank FROM sparse WHERE rank <= 20")
+def bm25_block_search_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts as queries, through blocks of postings."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BLOCKS:
+        _BLOCKS[key] = build_block_index(corpus_chunks(spark, sf))
+    hits = block_search(_BLOCKS[key], benchmark_queries(spark, sf), 2 * K, "query")
+    return hits.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 # every stored vector is a query against all of them
 SQL_VECTORS = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
  n AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v),
