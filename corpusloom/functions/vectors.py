@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -74,20 +74,51 @@ def hashed_embedding(toks: Column, dim: int = DEFAULT_DIM) -> Column:
     return embed.asNondeterministic()(toks)
 
 
+def bisected(run: Callable[[list[str]], Iterable], texts: list[str]) -> tuple[list, list[str | None]]:
+    """Results and errors of a batch call: a batch that raises is halved until the texts that raise stand alone."""
+    try:
+        found = list(run(texts))
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} results for {len(texts)} texts")
+        return found, [None] * len(texts)
+    except Exception as failed:  # noqa: BLE001 - whatever the model raises belongs to its text
+        if len(texts) <= 1:
+            return [None] * len(texts), [f"{type(failed).__name__}: {failed}"] * len(texts)
+        half = len(texts) // 2
+        left, right = bisected(run, texts[:half]), bisected(run, texts[half:])
+        return left[0] + right[0], left[1] + right[1]
+
+
 def model_embedding(
-    c: Column, factory: Callable[[], Callable[[list[str]], np.ndarray]], batch_size: int = 32
+    c: Column, factory: Callable[[], Callable[[list[str]], np.ndarray]], batch_size: int = 32, errors: bool = False
 ) -> Column:
-    """Embed texts with a user model; ``factory`` runs once per Python worker."""
+    """Embed texts with a user model; ``factory`` runs once per Python worker.
+
+    With ``errors`` the result is a struct (vector, error): a text that the
+    model fails on has no vector and the message, all others of its batch have
+    theirs. Without it the failure ends the job.
+    """
+
+    def rows(encode: Callable[[list[str]], np.ndarray], texts: list[str]) -> list[np.ndarray]:
+        m = np.asarray(encode(texts), dtype=np.float64)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return list((m / np.where(n == 0, 1.0, n)).astype(np.float32))
+
+    def cut(batch: pd.Series) -> Iterator[list[str]]:
+        for at in range(0, len(batch), batch_size):
+            yield [t or "" for t in batch.iloc[at : at + batch_size]]
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = factory()
         for batch in batches:
-            rows: list[np.ndarray] = []
-            for at in range(0, len(batch), batch_size):
-                m = np.asarray(encode([t or "" for t in batch.iloc[at : at + batch_size]]), dtype=np.float64)
-                n = np.linalg.norm(m, axis=1, keepdims=True)
-                rows.extend((m / np.where(n == 0, 1.0, n)).astype(np.float32))
-            yield pd.Series(rows)
-
-    return embed.asNondeterministic()(c)
+            yield pd.Series([v for texts in cut(batch) for v in rows(encode, texts)])
+
+    @F.pandas_udf("vector array<float>, error string")
+    def embed_apart(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encode = factory()
+        for batch in batches:
+            done = [bisected(lambda texts: rows(encode, texts), texts) for texts in cut(batch)]
+            yield pd.DataFrame({"vector": [v for vs, _ in done for v in vs], "error": [e for _, es in done for e in es]}, dtype=object)
+
+    return (embed_apart if errors else embed).asNondeterministic()(c)

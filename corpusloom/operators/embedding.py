@@ -26,13 +26,24 @@ def embed(
     dim: int = DEFAULT_DIM,
     instruction: str | None = None,
     batch_size: int = 32,
+    error_col: str | None = None,
 ) -> DataFrame:
-    """Adds ``embedding`` (unit length; of a NULL text empty). Queries pass an ``instruction``, documents none."""
+    """Adds ``embedding`` (unit length; of a NULL text empty). Queries pass an ``instruction``, documents none.
+
+    With ``error_col`` a text that the model fails on does not end the job: its
+    vector is empty and the column holds the message, null for all others.
+    """
     c = F.col(text_col)
     if instruction:
         c = instructed(c, instruction)
-    vector = model_embedding(c, model, batch_size) if model else hashed_embedding(T.tokens(c), dim)
     none = F.array().cast("array<float>")
+    if error_col and model:
+        done = df.withColumn("_done", model_embedding(c, model, batch_size, errors=True))
+        vector = F.when(F.col(text_col).isNull(), none).otherwise(F.coalesce("_done.vector", none))
+        return done.withColumn("embedding", vector).withColumn(error_col, F.col("_done.error")).drop("_done")
+    if error_col:
+        df = df.withColumn(error_col, F.lit(None).cast("string"))
+    vector = model_embedding(c, model, batch_size) if model else hashed_embedding(T.tokens(c), dim)
     return df.withColumn("embedding", vector).withColumn("embedding", F.when(F.col(text_col).isNull(), none).otherwise(F.col("embedding")))
 
 

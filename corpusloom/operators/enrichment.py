@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import lexicon as L
 from corpusloom.functions import text as T
+from corpusloom.functions.vectors import bisected
 
 
 def truncate_document(c: Column, max_doc_tokens: int = 6000) -> Column:
@@ -58,15 +59,20 @@ def build_context_prompts(
 
 
 def generate(prompts: DataFrame, factory: Callable[[], Callable[[list[str]], list[str]]]) -> DataFrame:
-    """Run a user text generator over the prompts; it is built once per worker."""
+    """Run a user text generator over the prompts; it is built once per worker.
+
+    A prompt that the generator fails on has the response "", so that its chunk
+    stays as it is; the others of its batch have theirs.
+    """
 
     @F.pandas_udf("string")
     def respond(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = factory()
         for batch in batches:
-            yield pd.Series(run(batch.tolist()))
+            found, errors = bisected(run, batch.tolist())
+            yield pd.Series(["" if e is not None else r for r, e in zip(found, errors, strict=True)], dtype=object)
 
-    return prompts.withColumn("response", respond("prompt"))
+    return prompts.withColumn("response", respond.asNondeterministic()("prompt"))
 
 
 def apply_contexts(chunks: DataFrame, responses: DataFrame | None) -> DataFrame:

@@ -76,7 +76,7 @@ def to_index_rows(chunks: DataFrame) -> DataFrame:
         return F.left(F.coalesce(c, F.lit("")), F.lit(FIELD_CHARS[name])).alias(name)
 
     return chunks.select(
-        *[c for c in ("chunk_id", "doc_id", "embedding", "section") if c in chunks.columns],
+        *[c for c in ("chunk_id", "doc_id", "embedding", "section", "error_message") if c in chunks.columns],
         F.array_join(T.tokens(F.col("text")), " ").alias("text"),
         F.col("text").alias("original_text"),
         F.coalesce("source", F.lit("")).alias("source"),

@@ -7,7 +7,9 @@ from corpusloom.functions import text as T
 from corpusloom.operators.assessment import decide
 from corpusloom.operators.contrastive import PairConfig, build_all, pairs_from_sections
 from corpusloom.operators.embedding import embed, embed_with_cache
-from corpusloom.plans.index_job import index_documents
+from corpusloom.operators.enrichment import generate
+from corpusloom.plans import index_job as J
+from corpusloom.plans.index_job import index_documents, live_rows, remove_superseded
 from corpusloom.session import scratch_root
 from corpusloom.sources import registry as G
 
@@ -58,8 +60,69 @@ def test_a_second_run_replaces_the_rows_of_its_files(spark):
     again = docs.filter("doc_id < 3")
     second = {r["doc_id"]: r["chunk_count"] for r in index_documents(again.select("doc_id"), again, path, "fixed").collect()}
     assert second == {i: first[i] for i in (1, 2)} and first[1] > 1
-    stored = {r["doc_id"]: r["count"] for r in spark.read.parquet(path).groupBy("doc_id").count().collect()}
+    stored = {r["doc_id"]: r["count"] for r in live_rows(spark, path).groupBy("doc_id").count().collect()}
     assert stored == first
+    gone = docs.filter("doc_id = 3").withColumn("text", F.lit(""))
+    index_documents(gone.select("doc_id"), gone, path, "fixed").collect()
+    assert len(remove_superseded(spark, path)) == 1 and spark.read.parquet(path).select("run").distinct().count() == 1
+    assert {r["doc_id"]: r["count"] for r in live_rows(spark, path).groupBy("doc_id").count().collect()} == {i: first[i] for i in (1, 2)}
+
+
+def poisoned_model():
+    import numpy as np
+
+    def encode(texts):
+        if any("poison" in t for t in texts):
+            raise RuntimeError("cannot encode")
+        return np.array([[len(t), 1.0] for t in texts])
+
+    return encode
+
+
+def test_poison_texts_fail_alone(spark):
+    path = f"{scratch_root(spark)}/poison"
+    bad = {3, 17, 40}
+    docs = spark.createDataFrame([(i, ("poison " if i in bad else "plain ") * 200) for i in range(60)], "doc_id long, text string").coalesce(2)
+    docs = docs.selectExpr("*", "'s' AS source", "'p' AS path", "'2024' AS indexed_at")
+    got = {r["doc_id"]: r for r in index_documents(docs.select("doc_id"), docs, path, "fixed", model=poisoned_model).collect()}
+    assert {i for i, r in got.items() if r["status"] == "failed"} == bad and len(got) == 60
+    assert all(got[i]["error_message"] == "RuntimeError: cannot encode" and got[i]["chunk_count"] == 0 for i in bad)
+    assert {r["doc_id"] for r in live_rows(spark, path).select("doc_id").distinct().collect()} == set(range(60)) - bad
+
+
+def test_a_killed_run_leaves_every_old_row(spark, monkeypatch):
+    path = f"{scratch_root(spark)}/killed"
+    docs = spark.createDataFrame([(i, "old words " * 200) for i in range(4)], "doc_id long, text string")
+    docs = docs.selectExpr("*", "'s' AS source", "'p' AS path", "'2024' AS indexed_at")
+    index_documents(docs.select("doc_id"), docs, path, "fixed")
+    before = sorted(map(str, live_rows(spark, path).collect()))
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(J, "index_outcome", killed)
+    changed = docs.withColumn("text", F.lit("new words " * 200))
+    with pytest.raises(KeyboardInterrupt):
+        index_documents(changed.select("doc_id"), changed, path, "fixed")
+    monkeypatch.undo()
+    assert spark.read.parquet(path).count() > len(before)  # the rows were written
+    assert sorted(map(str, live_rows(spark, path).collect())) == before
+    assert remove_superseded(spark, path) == []
+    index_documents(changed.select("doc_id"), changed, path, "fixed")
+    assert live_rows(spark, path).filter("original_text LIKE 'old%'").count() == 0 and live_rows(spark, path).count() == len(before)
+
+
+def test_a_generator_that_fails_leaves_its_chunks_as_they_are(spark):
+    def factory():
+        def run(prompts):
+            if "b" in prompts:
+                raise ValueError
+            return [p.upper() for p in prompts]
+
+        return run
+
+    rows = generate(spark.createDataFrame([("a",), ("b",), ("c",)], "prompt string").coalesce(1), factory).collect()
+    assert [r["response"] for r in rows] == ["A", "", "C"]
 
 
 def test_a_null_text_fails_alone(spark):
