@@ -15,7 +15,8 @@ from corpusloom.functions import lexicon as L
 from corpusloom.operators.embedding import embed
 from corpusloom.plans.agentic import agentic_retrieve
 from corpusloom.session import materialize, scratch_path
-from corpusloom.streaming.jobs import dedup_stream, entity_stream, ingest_stream, session_memory_stream
+from corpusloom.sources.registry import commit_registry, latest_version, read_file_registry
+from corpusloom.streaming.jobs import dedup_stream, dedup_stream_stored, entity_stream, ingest_stream, session_memory_stream
 
 
 def _sql_pass(n: int, queries: str) -> str:
@@ -97,6 +98,51 @@ def ingest_stream_q(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(outcome).select("doc_id", "status", "chunk_count")
 
 
+@query(
+    "ingest_stream_registry",
+    f"""WITH {_FIXED}, n AS (SELECT doc_id, count(*) AS c FROM fixed GROUP BY 1)
+SELECT doc_id::VARCHAR AS id, CASE WHEN c > 0 THEN 'indexed' ELSE 'failed' END AS status, coalesce(c, 0) AS chunk_count,
+  CASE WHEN c IS NULL THEN '解析失败，无文本块' END AS error_message, TIMESTAMP '2024-03-01' AS updated_at, 8::BIGINT AS changes FROM documents LEFT JOIN n USING (doc_id)""",
+)
+def ingest_stream_registry_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Registered files are indexed by a stream; then all its batches come a second time, a day later.
+
+    ``changes`` counts the registry's versions after the first: two a batch, none for the replay.
+    """
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "text", "source", F.lit("").alias("path"), F.lit("2024-03-01").alias("indexed_at")
+    )
+    path, registry = _split_files(docs, "arriving", 4), scratch_path(spark, "stream-registry")
+    day = F.lit("2024-02-01").cast("timestamp")
+    files = docs.select(
+        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("filename"), "path", F.length("text").cast("bigint").alias("size_bytes"),
+        F.lit("pending").alias("status"), F.lit(0).cast("bigint").alias("chunk_count"), F.lit(None).cast("string").alias("error_message"),
+        day.alias("created_at"), day.alias("updated_at"),
+    )
+    commit_registry(files, registry)
+    for now in ("2024-03-01", "2024-03-02"):
+        index, outcome, check = (scratch_path(spark, x) for x in ("stream-index", "stream-outcome", "stream-checkpoint"))
+        stream = _stream(spark, path, docs.schema, 1)
+        ingest_stream(stream, index, outcome, check, "fixed", registry=registry, now=F.lit(now)).awaitTermination()
+    changes = F.lit(latest_version(spark, registry) - 1).cast("bigint").alias("changes")
+    return read_file_registry(spark, registry).select("id", "status", "chunk_count", "error_message", "updated_at", changes)
+
+
+@query("dedup_stream_stored", "SELECT sha256(text) AS text_sha256 FROM documents GROUP BY 1")
+def dedup_stream_stored_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in the order of their events, which lie weeks apart; the stream remembers one day."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"))
+    timed = materialize(table(spark, sf, "documents").select("doc_id", "text").join(e, "doc_id"), "timed")
+    ends = timed.agg(F.min("ts").cast("double").alias("low"), F.max("ts").cast("double").alias("high")).first()
+    step = max(1.0, (ends["high"] - ends["low"]) / 4)
+    quarter = F.least(F.floor((F.col("ts").cast("double") - ends["low"]) / step), F.lit(3))
+    path, hashes, out, check = (scratch_path(spark, x) for x in ("arriving", "hashes", "dedup", "dedup-checkpoint"))
+    for n in range(4):  # files arrive one after the other, each a quarter of the time
+        timed.filter(quarter == n).coalesce(1).write.mode("append").parquet(path)
+    dedup_stream_stored(_stream(spark, path, timed.schema, 1), "text", "ts", "1 day", hashes, out, check).awaitTermination()
+    return spark.read.parquet(out).select("text_sha256")
+
+
 @query("dedup_stream", "SELECT sha256(text) AS text_sha256 FROM documents GROUP BY 1")
 def dedup_stream_q(spark: SparkSession, sf: str) -> DataFrame:
     """Documents timed by the event of the same number; all lie within the watermark."""

@@ -85,9 +85,12 @@ def latest_version(spark: SparkSession, path: str) -> int:
     return max(_versions(spark, path), default=0)
 
 
-def commit_registry(registry: DataFrame, path: str, base: int | None = None) -> int:
+def commit_registry(registry: DataFrame, path: str, base: int | None = None, applied: dict[str, int] | None = None) -> int:
     """Write the version after ``base`` (the newest one unless given); returns its number.
 
+    ``applied`` names the last batch of each stream that the version contains;
+    it is stored inside the version, so both become visible together.
+
     The rows go to a private folder that is renamed into place. A rename onto a
     version that exists fails, so of two writers that read the same version one
     commits and the other gets ``RegistryConflict``: it reads again and retries.
@@ -96,6 +99,8 @@ def commit_registry(registry: DataFrame, path: str, base: int | None = None) ->
     version = (latest_version(spark, path) if base is None else base) + 1
     private = f"{path}/_new-{uuid.uuid4().hex}"
     registry.write.mode("errorifexists").parquet(private)
+    if applied:
+        spark.createDataFrame(sorted(applied.items()), APPLIED).coalesce(1).write.parquet(f"{private}/_applied")
     hadoop = spark._jvm.org.apache.hadoop.fs
     source, target = hadoop.Path(private), hadoop.Path(f"{path}/v={version}")
     conf = spark._jsc.hadoopConfiguration()
@@ -110,6 +115,38 @@ def commit_registry(registry: DataFrame, path: str, base: int | None = None) ->
     return version
 
 
+APPLIED = "stream string, batch bigint"
+
+
+def applied_batches(spark: SparkSession, path: str, version: int) -> dict[str, int]:
+    """Last batch of each stream that a version contains: one row per stream."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={version}/_applied")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return {}
+    return {r["stream"]: r["batch"] for r in spark.read.schema(APPLIED).parquet(str(folder)).collect()}
+
+
+def apply_batch(spark: SparkSession, path: str, changes: DataFrame, now: Column, stream: str, batch: int, attempts: int = 10) -> bool:
+    """Apply a stream's batch of status changes once; False if the registry contains it already.
+
+    Batches of one stream come in order, so the last number is enough to know a
+    replay. If another writer takes the version, the batch is applied to the
+    version that this writer has made.
+    """
+    for _ in range(attempts):
+        version = latest_version(spark, path)
+        applied = applied_batches(spark, path, version)
+        if batch <= applied.get(stream, -1):
+            return False
+        changed = upsert_registry(spark.read.parquet(f"{path}/v={version}"), changes, now)
+        try:
+            commit_registry(changed, path, version, {**applied, stream: batch})
+            return True
+        except RegistryConflict:
+            continue
+    raise RegistryConflict(f"batch {batch} of {stream} found another writer {attempts} times")
+
+
 def read_file_registry(spark: SparkSession, path: str) -> DataFrame:
     done = _versions(spark, path)
     if not done:

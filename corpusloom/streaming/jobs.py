@@ -8,7 +8,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -17,6 +17,7 @@ from corpusloom.functions import lexicon as L
 from corpusloom.operators.chunking import ChunkConfig
 from corpusloom.operators.extraction import extract_entities
 from corpusloom.plans.index_job import index_documents
+from corpusloom.sources.registry import apply_batch
 
 
 def dedup_stream(stream: DataFrame, text_col: str, time_col: str, delay: str) -> DataFrame:
@@ -25,6 +26,39 @@ def dedup_stream(stream: DataFrame, text_col: str, time_col: str, delay: str) ->
     return hashed.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["text_sha256"])
 
 
+def dedup_stream_stored(
+    stream: DataFrame, text_col: str, time_col: str, delay: str, hashes: str, out: str, checkpoint: str, trigger: dict[str, Any] | None = None
+):
+    """First arrival of each content hash over any span of time; returns the started query.
+
+    State holds the hashes of one ``delay`` only. What is older lies in the
+    table ``hashes``: each batch is joined against it where it is stored and
+    adds its own new ones. A batch has a folder of its own in ``hashes`` and in
+    ``out`` and does not look at its own or later folders, so a replayed batch
+    finds and writes the same rows again.
+    """
+    spark = stream.sparkSession
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # rows of the batch itself are already unique: the state has seen them
+        known = _folders_before(spark, hashes, batch_id)
+        fresh = batch if known is None else batch.join(known, "text_sha256", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark.read.parquet(f"{out}/batch={batch_id}").select("text_sha256").write.mode("overwrite").parquet(f"{hashes}/batch={batch_id}")
+
+    writer = dedup_stream(stream, text_col, time_col, delay).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _folders_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The hashes that earlier batches have stored."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not batch_id or not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        return None
+    stored = spark.read.schema("text_sha256 string, batch bigint").parquet(path)
+    return stored.filter(F.col("batch") < batch_id).select("text_sha256")
+
+
 def entity_stream(stream: DataFrame, id_col: str = "doc_id", text_col: str = "text", patterns=None) -> DataFrame:
     """Entities of arriving texts; stateless, the batch operator as it is."""
     return extract_entities(stream, id_col, text_col, patterns)
@@ -39,21 +73,35 @@ def ingest_stream(
     cfg: ChunkConfig | None = None,
     on_batch: Callable[[DataFrame, int], None] | None = None,
     trigger: dict[str, Any] | None = None,
+    registry: str | None = None,
+    stream_id: str = "ingest",
+    now: Column | None = None,
     **embed_args: Any,
 ):
     """Index arriving documents; returns the started query.
 
-    ``on_batch(outcome, batch_id)`` can update the file registry; ``trigger``
-    are the arguments of the writer's trigger (default: all that is available).
+    ``registry`` is the folder of a file registry: a batch's files are set to
+    ``indexing`` before and to their outcome after it is indexed, each once per
+    (``stream_id``, batch): a replayed batch changes nothing a second time.
+    ``on_batch(outcome, batch_id)`` is called after that; ``trigger`` are the
+    arguments of the writer's trigger (default: all that is available).
 
     Each micro-batch writes its own ``batch=<id>`` folder with overwrite, so a
     replay after a failure replaces the same folder: the result is exactly once.
     """
 
+    spark, stamp = stream.sparkSession, F.current_timestamp() if now is None else now
+
+    def note(changes: DataFrame, step: str, batch_id: int) -> None:
+        if registry:
+            apply_batch(spark, registry, changes.withColumn("id", F.col("id").cast("string")), stamp, f"{stream_id}/{step}", batch_id)
+
     def run(batch: DataFrame, batch_id: int) -> None:
+        note(batch.select(F.col("doc_id").alias("id"), F.lit("indexing").alias("status")).distinct(), "indexing", batch_id)
         target = f"{index_path}/batch={batch_id}"
         outcome = index_documents(batch.select("doc_id"), batch, target, strategy, cfg, recreate=True, **embed_args)
         outcome.write.mode("overwrite").parquet(f"{outcome_path}/batch={batch_id}")
+        note(outcome.withColumnRenamed("doc_id", "id"), "outcome", batch_id)
         if on_batch:
             on_batch(outcome, batch_id)
 
