@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.workers import give_back
+
 SIZES = (2, 3, 4)
 #: n-grams are folded into 2**BITS buckets.
 BITS = 18
@@ -192,6 +194,7 @@ def predict(docs: DataFrame, model: KernelModel, text_col: str = "text") -> Colu
         for texts in batches:
             names, scores = shared.value.score(texts.tolist())
             yield pd.DataFrame({"lang_pred": names, "score": scores})
+        give_back()
 
     return scored.asNondeterministic()(F.col(text_col))
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.hash_filter import bloom_of, mix
+from corpusloom.llm.workers import lean
 from corpusloom.session import materialize
 
 SKETCH = 64
@@ -46,9 +47,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
 _SALT = np.random.default_rng(20).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
 @dataclass(frozen=True)
@@ -61,20 +60,12 @@ class JoinSettings:
     pivots: int = 4
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 17)
-        inverse = pow(_BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            for i, base in enumerate((_BASE, inverse)):
-                steps = np.full(size, base, dtype=np.uint64)
-                steps[0] = 1
-                _POWERS[i] = np.multiply.accumulate(steps)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def word_hashes(text: str) -> np.ndarray:
-    """64-bit hash of every word (maximal run without ASCII white space, A-Z lower-cased) of the whole text."""
+    """64-bit hash of every word (maximal run without ASCII white space, A-Z lower-cased) of the whole text.
+
+    Every byte is mixed with its place in the word before the sum is taken: a
+    polynomial modulo 2^64 would be the same for words that any base confuses.
+    """
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     found, at = [], 0
     while at < len(raw):
@@ -86,12 +77,14 @@ def word_hashes(text: str) -> np.ndarray:
         letter = ~_SPACE[part]
         edge = np.flatnonzero(np.diff(letter, prepend=False, append=False))
         starts, ends = edge[::2], edge[1::2]
-        up, down = _powers(len(part))
+        if not len(starts):
+            continue
+        lengths = ends - starts
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(lengths.sum()) - np.repeat(first, lengths)
         with np.errstate(over="ignore"):
-            total = np.zeros(len(part) + 1, dtype=np.uint64)
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-            value = (total[ends] - total[starts]) * down[starts] if len(starts) else np.zeros(0, dtype=np.uint64)
-            found.append(mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+            value = np.add.reduceat(mix((place.astype(np.uint64) << np.uint64(8)) + part[letter]), first)
+            found.append(mix(value + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
     return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
@@ -118,6 +111,7 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketches(words: int):
+    @lean
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "k1", "k2", "bits", "sketch"]
         weights = np.uint64(1) << np.arange(SKETCH, dtype=np.uint64)
@@ -267,6 +261,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, how: JoinSettings) -> DataFrame
     rows = asked.join(texts, "rep").select(*key, F.lit(-1).alias("d"), F.col("rep").alias("a"), none.cast(kind).alias("b"), "text")
     rows = rows.unionAll(dealt.select(*key, F.col("d").cast("int"), "a", "b", none.cast("string").alias("text")))
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, sets, merged = None, {}, _Merged()
         for batch in batches:
@@ -319,6 +314,7 @@ def _dense_links(dense: DataFrame, labels: DataFrame, texts: DataFrame, how: Joi
                     out.append((min(a, b), max(a, b)))
         return out
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, sides, rep_type = None, ([], []), None
         emit = lambda out: pa.record_batch([pa.array([x[i] for x in out], rep_type) for i in (0, 1)], ["a", "b"])

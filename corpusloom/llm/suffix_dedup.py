@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.hash_filter import HashFilter, bloom_of, mix
+from corpusloom.llm.workers import lean
 from corpusloom.session import materialize
 
 LENGTH = 100
@@ -354,6 +355,7 @@ def _send_runs(repeat, ranges: int):
             deal = pa.array([s[1] % ranges for s in spans], pa.int32())
             yield pa.record_batch([deal, *[pa.nulls(len(spans), pa.binary())] * 2, *_span_batch(spans)], names)
 
+    @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_filter, hot = repeat.value
         records, often, held, held_often = [], [], 0, 0
@@ -383,6 +385,7 @@ def _send_runs(repeat, ranges: int):
     return send
 
 
+@lean
 def _merge_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow over rows sorted by range: merged runs, compared windows, spans.
 

@@ -83,3 +83,16 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, **{100 + i: 100 for i in range(40)}}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_polynomials_confuse_differ(spark, n):
+    """Thue-Morse words and their exchange agree in every polynomial modulo 2^64."""
+    pair = [thue_morse(n), thue_morse(n, "ba")]
+    assert len(set(N.word_hashes(" ".join(pair)).tolist())) == 2
+    plain, tailed = ([set(N.shingle_set(word + tail, 2).tolist()) for word in pair] for tail in ("", " tail word"))
+    assert not plain[0] & plain[1] and len(tailed[0] & tailed[1]) == 1  # the shingle of the tail alone
