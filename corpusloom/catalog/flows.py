@@ -17,6 +17,7 @@ from corpusloom.plans.agentic import agentic_retrieve
 from corpusloom.session import materialize, scratch_path
 from corpusloom.sources.registry import commit_registry, latest_version, read_file_registry
 from corpusloom.streaming.jobs import dedup_stream, dedup_stream_stored, entity_stream, ingest_stream, session_memory_stream
+from corpusloom.streaming.sessions import session_stream
 
 
 def _sql_pass(n: int, queries: str) -> str:
@@ -164,6 +165,34 @@ def entity_stream_q(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "entity_type", "normalized", F.col("start_pos").cast("bigint").alias("start_pos"))
 
 
+@query(
+    "session_stream",
+    """WITH m AS (SELECT conv_id, turn, role, text, TIMESTAMP '2024-01-01' + to_hours(conv_id::INT) + to_minutes(turn::INT) AS ts FROM conversations),
+ w AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last, max(turn) OVER (PARTITION BY conv_id, role) AS own FROM m),
+ s AS (SELECT conv_id, count(*) AS n, max(ts) AS last_ts, list(DISTINCT role || '=' || own) FILTER (last - own < 3) AS vars,
+   string_agg(turn || ':' || role || ':' || text, chr(10) ORDER BY turn) AS said FROM w GROUP BY 1)
+SELECT conv_id::VARCHAR AS session_id, CASE WHEN last_ts + INTERVAL 30 MINUTE < (SELECT max(ts) - INTERVAL 630 SECOND FROM m) THEN 'ended' ELSE 'open' END AS event,
+  n AS n_messages, last_ts, array_to_string(list_sort(coalesce(vars, [])), ',') AS variables,
+  CASE WHEN last_ts + INTERVAL 30 MINUTE < (SELECT max(ts) - INTERVAL 630 SECOND FROM m) THEN md5(said) END AS messages_md5 FROM s""",
+)
+def session_stream_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations an hour apart, a message a minute; every message notes its turn under its role for three minutes."""
+    c = table(spark, sf, "conversations")
+    ts = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("conv_id").cast("int"), F.col("turn").cast("int"), F.lit(0))
+    rows = c.select(F.col("conv_id").alias("session_id"), ts.alias("ts"), "turn", "role", F.col("text").alias("content"), F.create_map("role", F.col("turn").cast("string")).alias("variables"))
+    rows = materialize(rows, "timed-messages")
+    edges = rows.agg(F.percentile_approx("ts", [0.25, 0.5, 0.75]).alias("e")).first()["e"]
+    part = sum((F.col("ts") > F.lit(e)).cast("int") for e in edges)
+    path = scratch_path(spark, "sessions-arriving")
+    for n in range(4):  # files arrive one after the other, each a quarter of the messages
+        rows.filter(part == n).coalesce(1).write.mode("append").parquet(path)
+    states = _run(session_stream(_stream(spark, path, rows.schema, 1), "630 seconds", 30 * 60_000, 3 * 60_000), "sessions", "update")
+    last = states.groupBy("session_id").agg(F.max_by(F.struct("event", "n_messages", "last_ts", "variables", "messages"), F.struct("batch_id", F.col("event") == "ended")).alias("s"))
+    said = F.array_join(F.transform("s.messages", lambda m: F.concat_ws(":", m.turn.cast("string"), m.role, m.content)), "\n")
+    live = F.array_sort(F.transform(F.map_entries("s.variables"), lambda v: F.concat_ws("=", v.key, v.value)))
+    return last.select("session_id", "s.event", "s.n_messages", "s.last_ts", F.array_join(live, ",").alias("variables"), F.md5(said).alias("messages_md5"))
+
+
 _TOPICS = ", ".join(f"CASE WHEN t{i} THEN '{t}' END" for i, t in enumerate(L.SUMMARY_TOPICS))
 
 
