@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.workers import give_back
+
 #: Bytes of objects that one worker keeps at most: five eighths for states and transitions, the rest for encoded chunks.
 CACHE_BYTES = 384 << 20
 # sizes of the objects behind one entry, dictionary slots included, as measured
@@ -280,6 +282,11 @@ def _codec(key: tuple, shared) -> Codec:
     return _CODECS[key]
 
 
+def _forget() -> None:
+    _CODECS.clear()
+    give_back()
+
+
 def _shared(spark: SparkSession, path: str, pattern: str, cache_bytes: int):
     ranks = read_ranks(spark, path)
     key = (hashlib.sha256(repr((sorted(ranks.items()), pattern, cache_bytes)).encode()).hexdigest(),)
@@ -318,14 +325,15 @@ def _steps(ids: np.ndarray, step: int) -> Iterator[list[int]]:
 
 
 def encode_digests(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES, keep_ids: bool = False
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES, keep_ids: bool = False, keep_codec: bool = True
 ) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and the ids) of every text, encoded and decoded again.
 
     Null and empty texts have no tokens; repeated rows are kept. The decoded
     digest is taken over the bytes that the stream decoder gives for the ids.
     ``cache_bytes`` bounds what a worker keeps between texts: less of it costs
-    time, never a result.
+    time, never a result. Without ``keep_codec`` a task leaves nothing of it in
+    its worker, for what runs there next.
     """
     key, shared = _shared(docs.sparkSession, path, pattern, cache_bytes)
     ids_type = ", ids array<int>" if keep_ids else ""
@@ -345,5 +353,8 @@ def encode_digests(
                 row = (len(listed), hashlib.sha256(b",".join(map(decimal.__getitem__, listed))).hexdigest(), back.hexdigest())
                 rows.append((*row, ids.astype(np.int32)) if keep_ids else row)
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 if keep_ids else 3])
+        if not keep_codec:
+            del codec
+            _forget()
 
     return docs.select(F.col(id_col).alias("doc_id"), digest.asNondeterministic()(F.col(text_col)).alias("d")).select("doc_id", "d.*")
