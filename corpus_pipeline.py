@@ -55,7 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     # the executors still hold what the earlier stages left; the ids themselves are the result
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.encode_digests(docs, vocabulary, public_tokenizers.PATTERN, cache_bytes=160 << 20, keep_ids=True)
+    return byte_bpe.encode_digests(docs, vocabulary, public_tokenizers.PATTERN, cache_bytes=128 << 20, keep_ids=True, keep_codec=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
