@@ -52,16 +52,31 @@ def _lines(df: DataFrame, label: str) -> str:
   CASE WHEN doc_id % 2 = 0 THEN md5(text) ELSE '' END AS context, '' AS answer FROM documents""",
 )
 def read_qa_json_q(spark: SparkSession, sf: str) -> DataFrame:
-    """Question cases as JSON arrays, one file per source."""
+    """Question cases as JSON arrays, each as large as the writer's part of the table."""
     i = F.col("doc_id")
     case = F.struct(
         F.concat(F.lit("Q "), i.cast("string")).alias("question"), F.when(i % 3 == 0, F.col("lang")).alias("ground_truth"),
         F.col("lang").alias("language"), F.when(i % 2 == 0, md5("text")).alias("context"),
     )
-    path = scratch_path(spark, "qa")
-    by_file = table(spark, sf, "documents").groupBy(F.concat_ws("-", "source", (i % 16).cast("string")).alias("file"))
-    by_file.agg(F.to_json(F.collect_list(case)).alias("value")).write.partitionBy("file").text(path)
-    return R.read_qa_json(spark, path)
+    return R.read_qa_json(spark, _arrays(table(spark, sf, "documents").select(F.to_json(case).alias("value")), "qa"))
+
+
+def _arrays(elements: DataFrame, label: str) -> str:
+    """A folder of JSON arrays: every part of ``elements(value)`` becomes one file, element by element."""
+
+    def bracket(batches):
+        import pyarrow as pa
+
+        sign = "["
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"value": [("," if n or sign != "[" else "[") + v for n, v in enumerate(values)]})
+            sign = ","
+        yield pa.RecordBatch.from_pydict({"value": ["]" if sign != "[" else "[]"]})
+
+    path = scratch_path(elements.sparkSession, label)
+    elements.mapInArrow(bracket, "value string").write.text(path)
+    return path
 
 
 @query(

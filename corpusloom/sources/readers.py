@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import lexicon as L
+from corpusloom.sources.json_arrays import read_json_array
 from corpusloom.session import input_bytes
 
 QA_SCHEMA = "question string, ground_truth string, language string, category string, context string, answer string"
@@ -64,8 +65,8 @@ def read_markdown_dir(spark: SparkSession, path: str, glob: str = "*.md") -> Dat
 
 
 def read_qa_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array of question cases; absent text fields become ''."""
-    rows = spark.read.schema(QA_SCHEMA).json(path, multiLine=True)
+    """JSON arrays of question cases; absent text fields become ''. One file is read by as many tasks as it has splits."""
+    rows = read_json_array(spark, path, QA_SCHEMA)
     filled = [F.coalesce(c, F.lit("")).alias(c) for c in ("question", "context", "answer")]
     return rows.select(*filled, "ground_truth", "language", "category")
 

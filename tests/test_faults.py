@@ -10,7 +10,7 @@ from corpusloom.operators.embedding import embed, embed_with_cache
 from corpusloom.operators.enrichment import generate
 from corpusloom.plans import index_job as J
 from corpusloom.plans.index_job import index_documents, live_rows, remove_superseded
-from corpusloom.session import scratch_root
+from corpusloom.session import scratch_path, scratch_root
 from corpusloom.sources import registry as G
 
 CACHE = "model_id string, text_sha256 string, embedding array<float>, text_len int, created_at timestamp"
@@ -53,7 +53,7 @@ def test_null_texts_have_empty_vectors(spark):
 
 
 def test_a_second_run_replaces_the_rows_of_its_files(spark):
-    path = f"{scratch_root(spark)}/rerun"
+    path = scratch_path(spark, "rerun")
     text = "A sentence about the heart. " * 60
     docs = spark.createDataFrame([(i, text, "s", "p", "2024") for i in (1, 2, 3)], "doc_id long, text string, source string, path string, indexed_at string")
     first = {r["doc_id"]: r["chunk_count"] for r in index_documents(docs.select("doc_id"), docs, path, "fixed", recreate=True).collect()}
@@ -80,7 +80,7 @@ def poisoned_model():
 
 
 def test_poison_texts_fail_alone(spark):
-    path = f"{scratch_root(spark)}/poison"
+    path = scratch_path(spark, "poison")
     bad = {3, 17, 40}
     docs = spark.createDataFrame([(i, ("poison " if i in bad else "plain ") * 200) for i in range(60)], "doc_id long, text string").coalesce(2)
     docs = docs.selectExpr("*", "'s' AS source", "'p' AS path", "'2024' AS indexed_at")
@@ -91,7 +91,7 @@ def test_poison_texts_fail_alone(spark):
 
 
 def test_a_killed_run_leaves_every_old_row(spark, monkeypatch):
-    path = f"{scratch_root(spark)}/killed"
+    path = scratch_path(spark, "killed")
     docs = spark.createDataFrame([(i, "old words " * 200) for i in range(4)], "doc_id long, text string")
     docs = docs.selectExpr("*", "'s' AS source", "'p' AS path", "'2024' AS indexed_at")
     index_documents(docs.select("doc_id"), docs, path, "fixed")
