@@ -120,28 +120,41 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content"))
 
 
-_SESSIONS = """SELECT conv_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, md5(text) AS content_md5
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 20"""
+_SESSIONS = """SELECT conv_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, md5(text) AS content_md5,
+  '2024-01-01 00:' || lpad(turn::VARCHAR, 2, '0') AS timestamp, 'by=' || role || '|turn=' || turn AS metadata, 'said=' || n AS context
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE r <= 20"""
+
+
+def _sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """The last messages of every conversation with time and metadata, and how many there were as a context variable."""
+    said = _messages(spark, sf)
+    turn = F.col("turn").cast("string")
+    noted = last_n_messages(said).withColumns({
+        "timestamp": F.concat(F.lit("2024-01-01 00:"), F.lpad(turn, 2, "0")), "metadata": F.create_map(F.lit("by"), "role", F.lit("turn"), turn),
+    })
+    contexts = said.groupBy("session_id").agg(F.create_map(F.lit("said"), F.count("*").cast("string")).alias("context"))
+    return W.session_rows(noted, contexts=contexts)
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    flat = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e.key, e.value))), "|")
+    return rows.select("session_id", "turn", "role", md5("content").alias("content_md5"), "timestamp", flat("metadata").alias("metadata"), flat("context").alias("context"))
 
 
 @query("read_sessions_json", _SESSIONS)
 def read_sessions_json_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Session objects as JSON lines, in files of the writer's size."""
+    objects = _sessions(spark, sf).select(F.to_json(F.struct("session_id", "messages", "summary", "context")).alias("value"))
     path = scratch_path(spark, "sessions")
-    rows = W.session_rows(last_n_messages(_messages(spark, sf)))
-    rows.select("session_id", F.to_json(F.struct("session_id", "messages", "summary", "context")).alias("value")).withColumn(
-        "s", F.col("session_id")
-    ).select("value", "s").write.partitionBy("s").text(path)
-    return R.read_sessions_json(spark, path).select("session_id", "turn", "role", md5("content").alias("content_md5"))
+    objects.write.text(path)
+    return _shown(R.read_sessions_json(spark, path, lines=True))
 
 
 @query("write_sessions_json", _SESSIONS)
 def write_sessions_json_q(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "saved-sessions")
-    W.write_sessions_json(W.session_rows(last_n_messages(_messages(spark, sf))), path)
-    rows = spark.read.schema(R.SESSION_SCHEMA).json(path)
-    return rows.select("session_id", F.posexplode("messages").alias("turn", "m")).select(
-        "session_id", F.col("turn").cast("bigint").alias("turn"), "m.role", md5("m.content").alias("content_md5")
-    )
+    W.write_sessions_json(_sessions(spark, sf), path)
+    return _shown(R.read_sessions_json(spark, path, lines=True))
 
 
 @query(

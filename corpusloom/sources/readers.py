@@ -93,11 +93,17 @@ def read_mirage_json(spark: SparkSession, path: str, dataset: str = "all") -> Da
     return rows.filter(F.col("dataset").isin(wanted)).select("dataset", "question", ordered.alias("options"), "answer")
 
 
-def read_sessions_json(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per session, exploded to a row per message."""
-    rows = spark.read.schema(SESSION_SCHEMA).option("recursiveFileLookup", "true").json(path, multiLine=True)
-    return rows.select("session_id", "summary", F.posexplode("messages").alias("turn", "_m")).select(
-        "session_id", F.col("turn").cast("bigint").alias("turn"), "_m.role", "_m.content", "_m.timestamp", "summary"
+def read_sessions_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Sessions exploded to a row per message, with its timestamp and metadata and the session's summary and context.
+
+    One JSON object per file, or one per line (as ``write_sessions_json``
+    leaves them) with ``lines``. Absent metadata and contexts are empty maps.
+    """
+    rows = spark.read.schema(SESSION_SCHEMA).option("recursiveFileLookup", "true").json(path, multiLine=not lines)
+    none = F.create_map().cast("map<string,string>")
+    return rows.select("session_id", "summary", F.coalesce("context", none).alias("context"), F.posexplode("messages").alias("turn", "_m")).select(
+        "session_id", F.col("turn").cast("bigint").alias("turn"), "_m.role", "_m.content", "_m.timestamp",
+        F.coalesce("_m.metadata", none).alias("metadata"), "summary", "context",
     )
 
 

@@ -60,19 +60,40 @@ def write_sessions_json(sessions: DataFrame, path: str, files: int | None = None
     spread.select("session_id", "messages", "summary", "context").write.mode("overwrite").json(path)
 
 
-def session_rows(messages: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
-    """Messages (already limited by ``last_n_messages``) gathered to session objects."""
-    entry = F.struct("turn", "role", "content")
+def session_rows(messages: DataFrame, summaries: DataFrame | None = None, contexts: DataFrame | None = None) -> DataFrame:
+    """Messages (already limited by ``last_n_messages``) gathered to session objects.
+
+    ``messages`` may have ``timestamp`` (any type that casts to a string) and
+    ``metadata`` (a map of strings); without them a message has none.
+    ``summaries(session_id, summary)`` and ``contexts(session_id, context)``, a
+    map of the session's variables, are joined where given; a session without
+    one has no summary and an empty context.
+    """
+    given = set(messages.columns)
+    stamp = F.col("timestamp").cast("string") if "timestamp" in given else F.lit(None).cast("string")
+    notes = F.col("metadata").cast("map<string,string>") if "metadata" in given else F.lit(None).cast("map<string,string>")
+    # a map has no order, so it travels as text while the messages are sorted
+    entry = F.struct("turn", "role", "content", stamp.alias("timestamp"), F.to_json(notes).alias("metadata"))
     rows = messages.groupBy("session_id").agg(F.array_sort(F.collect_list(entry)).alias("_m"))
     rows = rows.select(
         F.col("session_id").cast("string").alias("session_id"),
-        F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"),
+        F.transform(
+            "_m",
+            lambda m: F.struct(
+                m["role"].alias("role"), m["content"].alias("content"), m["timestamp"].alias("timestamp"),
+                F.coalesce(F.from_json(m["metadata"], "map<string,string>"), F.create_map().cast("map<string,string>")).alias("metadata"),
+            ),
+        ).alias("messages"),
     )
+    none = F.create_map().cast("map<string,string>")
     if summaries is None:
         rows = rows.withColumn("summary", F.lit(None).cast("string"))
     else:
         rows = rows.join(summaries.select(F.col("session_id").cast("string"), "summary"), "session_id", "left")
-    return rows.withColumn("context", F.create_map().cast("map<string,string>"))
+    if contexts is None:
+        return rows.withColumn("context", none)
+    rows = rows.join(contexts.select(F.col("session_id").cast("string"), "context"), "session_id", "left")
+    return rows.withColumn("context", F.coalesce("context", none))
 
 
 __all__ = [

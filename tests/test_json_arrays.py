@@ -5,7 +5,7 @@ import pytest
 
 from corpusloom.session import scratch_path
 from corpusloom.sources import json_arrays as J
-from corpusloom.sources.readers import QA_SCHEMA
+from corpusloom.sources.readers import QA_SCHEMA, read_sessions_json
 
 
 def text_of(rng):
@@ -51,3 +51,17 @@ def test_small_arrays(spark):
     assert J.read_json_array(spark, write(spark, []), QA_SCHEMA).count() == 0
     path = write(spark, [{"question": "q"}, 5, "s}", [{"question": "inner"}], None, {"question": "r", "context": None}, {}])
     assert sorted(str(r["question"]) for r in J.read_json_array(spark, path, QA_SCHEMA).collect()) == ["None", "q", "r"]
+
+
+def test_a_session_comes_back_with_its_notes(spark):
+    """One indented object per file, with and without the optional fields."""
+    full = {"session_id": "a", "messages": [{"role": "user", "content": "q", "timestamp": "2024-01-01T00:00:01", "metadata": {"k": "v"}}, {"role": "assistant", "content": "r"}], "summary": "s", "context": {"x": "1"}}
+    bare = {"session_id": "b", "messages": [{"role": "user", "content": "only"}]}
+    got = {}
+    for one in (full, bare):
+        for r in read_sessions_json(spark, write(spark, one, 2)).collect():
+            got[r["session_id"], r["turn"]] = (r["role"], r["content"], r["timestamp"], r["metadata"], r["summary"], r["context"])
+    assert got == {
+        ("a", 0): ("user", "q", "2024-01-01T00:00:01", {"k": "v"}, "s", {"x": "1"}), ("a", 1): ("assistant", "r", None, {}, "s", {"x": "1"}),
+        ("b", 0): ("user", "only", None, {}, None, {}),
+    }
