@@ -33,9 +33,9 @@ def read_documents_q(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("read_markdown_dir", "SELECT md5(text || chr(10)) AS text_md5, (strlen(text) + 1)::BIGINT AS file_size FROM documents")
 def read_markdown_dir_q(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document as a text file of its own, read back by folder."""
+    """Every document as a text file of its own, read back from a fixed number of folders."""
     path = scratch_path(spark, "parsed")
-    table(spark, sf, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    W.write_text_files(table(spark, sf, "documents"), path)
     files = R.read_markdown_dir(spark, path, "*.txt")
     return files.select(md5("text").alias("text_md5"), "file_size")
 

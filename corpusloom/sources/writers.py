@@ -100,3 +100,37 @@ __all__ = [
     "write_index", "read_index", "drop_index", "count_index", "write_training_jsonl", "write_pairs_json",
     "read_pairs_json", "write_metrics", "write_sessions_json", "session_rows", "training_rows",
 ]
+
+
+def write_text_files(texts: DataFrame, path: str, suffix: str = ".txt", folders: int = 64) -> int:
+    """Every row of ``texts(text)`` as a file of its own, a line break at its end; returns their number.
+
+    The tasks write through Arrow's file systems, since Hadoop's local one
+    starts processes for the permissions of each file. Files are named by task
+    and row, so a repeated task writes its own files again, and are dealt into
+    a fixed number of folders, however many there are.
+    """
+
+    def write(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        files, root = arrow_path(path)
+        task, n = TaskContext.get().partitionId(), 0
+        for f in range(folders):
+            files.create_dir(f"{root}/{f:03d}")
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                with files.open_output_stream(f"{root}/{n % folders:03d}/{task:06d}-{n:08d}{suffix}") as out:
+                    out.write(f"{text or ''}\n".encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    return texts.select("text").mapInArrow(write, "files bigint").agg(F.sum("files")).first()[0] or 0
+
+
+def arrow_path(path: str):
+    """Arrow's file system of a folder and its path there; local ones come with or without a scheme."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri("/" + path[5:].lstrip("/") if path.startswith("file:") else path)
