@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.catalog.answering import SQL_REWRITTEN, SQL_TYPED, sql_assess, sql_entities, sql_scored
@@ -54,19 +55,47 @@ def agentic_retrieve_q(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _split_files(df: DataFrame, label: str, files: int) -> str:
-    """The rows as a folder of several files, the arrival order of a stream."""
+def _split_files(df: DataFrame, label: str) -> str:
+    """The rows as a folder of files, two for each slot: a stream that takes a file a slot needs two batches."""
     path = scratch_path(df.sparkSession, label)
-    df.repartition(files).write.parquet(path)
+    df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     return path
 
 
-def _stream(spark: SparkSession, path: str, schema, per_batch: int = 2) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+def _stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", spark.sparkContext.defaultParallelism).parquet(path)
 
 
-def _run(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Drive a stream over what is there and read its result table."""
+def _store_parts(df: DataFrame, part: Column, label: str) -> str:
+    """The rows as one folder of files for each part, written by all tasks."""
+    path = scratch_path(df.sparkSession, label)
+    df.withColumn("part", part).write.partitionBy("part").parquet(path)
+    return path
+
+
+def _arriving(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream that takes all files which have come to ``path`` since its last run as one batch."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def _feed(spark: SparkSession, stored: str, path: str, run: Callable[[], object]) -> None:
+    """Let the parts below ``stored`` come to ``path`` in their order, each followed by a run of the stream.
+
+    A batch is then one part, however many files and tasks have written it.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(stored)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(root)]
+    for name in sorted((n for n in names if n.startswith("part=")), key=lambda n: int(n[5:])):
+        if not files.rename(*(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{name}") for at in (stored, path))):
+            raise OSError(f"{name} could not be moved to {path}")
+        run()
+
+
+def _run(stream: DataFrame, label: str, mode: str = "append", feed: tuple[str, str] | None = None) -> DataFrame:
+    """Drive a stream over what is there, or over the parts of ``feed`` (where they lie, where they come to), and read its result table."""
     spark = stream.sparkSession
     out, check = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
 
@@ -77,8 +106,9 @@ def _run(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     # a stream keeps the number of state partitions it starts with: one per slot here
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    run = lambda: writer.trigger(availableNow=True).start().awaitTermination()
     try:
-        writer.trigger(availableNow=True).start().awaitTermination()
+        _feed(spark, *feed, run) if feed else run()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.parquet(out).drop("batch")
@@ -93,7 +123,7 @@ def ingest_stream_q(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(
         "doc_id", "text", "source", F.lit("").alias("path"), F.lit("2024-03-01").alias("indexed_at")
     )
-    path = _split_files(docs, "arriving", 4)
+    path = _split_files(docs, "arriving")
     index, outcome, check = (scratch_path(spark, x) for x in ("stream-index", "stream-outcome", "stream-checkpoint"))
     ingest_stream(_stream(spark, path, docs.schema), index, outcome, check, "fixed").awaitTermination()
     return spark.read.parquet(outcome).select("doc_id", "status", "chunk_count")
@@ -113,7 +143,7 @@ def ingest_stream_registry_q(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(
         "doc_id", "text", "source", F.lit("").alias("path"), F.lit("2024-03-01").alias("indexed_at")
     )
-    path, registry = _split_files(docs, "arriving", 4), scratch_path(spark, "stream-registry")
+    stored, registry = _store_parts(docs, F.pmod(F.xxhash64("doc_id"), F.lit(4)), "waiting"), scratch_path(spark, "stream-registry")
     day = F.lit("2024-02-01").cast("timestamp")
     files = docs.select(
         F.col("doc_id").cast("string").alias("id"), F.col("source").alias("filename"), "path", F.length("text").cast("bigint").alias("size_bytes"),
@@ -123,8 +153,10 @@ def ingest_stream_registry_q(spark: SparkSession, sf: str) -> DataFrame:
     commit_registry(files, registry)
     for now in ("2024-03-01", "2024-03-02"):
         index, outcome, check = (scratch_path(spark, x) for x in ("stream-index", "stream-outcome", "stream-checkpoint"))
-        stream = _stream(spark, path, docs.schema, 1)
-        ingest_stream(stream, index, outcome, check, "fixed", registry=registry, now=F.lit(now)).awaitTermination()
+        path = scratch_path(spark, "arriving")
+        stream = _arriving(spark, path, docs.schema)
+        _feed(spark, stored, path, lambda: ingest_stream(stream, index, outcome, check, "fixed", registry=registry, now=F.lit(now)).awaitTermination())  # noqa: B023
+        stored = path
     changes = F.lit(latest_version(spark, registry) - 1).cast("bigint").alias("changes")
     return read_file_registry(spark, registry).select("id", "status", "chunk_count", "error_message", "updated_at", changes)
 
@@ -138,9 +170,9 @@ def dedup_stream_stored_q(spark: SparkSession, sf: str) -> DataFrame:
     step = max(1.0, (ends["high"] - ends["low"]) / 4)
     quarter = F.least(F.floor((F.col("ts").cast("double") - ends["low"]) / step), F.lit(3))
     path, hashes, out, check = (scratch_path(spark, x) for x in ("arriving", "hashes", "dedup", "dedup-checkpoint"))
-    for n in range(4):  # files arrive one after the other, each a quarter of the time
-        timed.filter(quarter == n).coalesce(1).write.mode("append").parquet(path)
-    dedup_stream_stored(_stream(spark, path, timed.schema, 1), "text", "ts", "1 day", hashes, out, check).awaitTermination()
+    stream = _arriving(spark, path, timed.schema)
+    run = lambda: dedup_stream_stored(stream, "text", "ts", "1 day", hashes, out, check).awaitTermination()
+    _feed(spark, _store_parts(timed, quarter, "waiting"), path, run)  # a quarter of the time after the other
     return spark.read.parquet(out).select("text_sha256")
 
 
@@ -149,7 +181,7 @@ def dedup_stream_q(spark: SparkSession, sf: str) -> DataFrame:
     """Documents timed by the event of the same number; all lie within the watermark."""
     e = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"))
     timed = table(spark, sf, "documents").select("doc_id", "text").join(e, "doc_id")
-    path = _split_files(timed, "timed", 4)
+    path = _split_files(timed, "timed")
     schema = spark.read.parquet(path).schema
     return _run(dedup_stream(_stream(spark, path, schema), "text", "ts", "400 days"), "dedup").select("text_sha256")
 
@@ -160,7 +192,7 @@ def dedup_stream_q(spark: SparkSession, sf: str) -> DataFrame:
 )
 def entity_stream_q(spark: SparkSession, sf: str) -> DataFrame:
     docs = clinical_documents(spark, sf)
-    path = _split_files(docs, "clinical", 4)
+    path = _split_files(docs, "clinical")
     found = _run(entity_stream(_stream(spark, path, docs.schema)), "entities")
     return found.select("doc_id", "entity_type", "normalized", F.col("start_pos").cast("bigint").alias("start_pos"))
 
@@ -184,9 +216,8 @@ def session_stream_q(spark: SparkSession, sf: str) -> DataFrame:
     edges = rows.agg(F.percentile_approx("ts", [0.25, 0.5, 0.75]).alias("e")).first()["e"]
     part = sum((F.col("ts") > F.lit(e)).cast("int") for e in edges)
     path = scratch_path(spark, "sessions-arriving")
-    for n in range(4):  # files arrive one after the other, each a quarter of the messages
-        rows.filter(part == n).coalesce(1).write.mode("append").parquet(path)
-    states = _run(session_stream(_stream(spark, path, rows.schema, 1), "630 seconds", 30 * 60_000, 3 * 60_000), "sessions", "update")
+    feed = (_store_parts(rows, part, "sessions-waiting"), path)  # a quarter of the messages after the other
+    states = _run(session_stream(_arriving(spark, path, rows.schema), "630 seconds", 30 * 60_000, 3 * 60_000), "sessions", "update", feed)
     last = states.groupBy("session_id").agg(F.max_by(F.struct("event", "n_messages", "last_ts", "variables", "messages"), F.struct("batch_id", F.col("event") == "ended")).alias("s"))
     said = F.array_join(F.transform("s.messages", lambda m: F.concat_ws(":", m.turn.cast("string"), m.role, m.content)), "\n")
     live = F.array_sort(F.transform(F.map_entries("s.variables"), lambda v: F.concat_ws("=", v.key, v.value)))
@@ -207,11 +238,11 @@ SELECT session_id::VARCHAR AS session_id, n AS n_messages, CASE WHEN last IS NUL
   CASE WHEN last IS NOT NULL THEN CASE WHEN concat_ws(', ', {_TOPICS}) <> '' THEN '讨论主题: ' || concat_ws(', ', {_TOPICS}) ELSE '对话包含 ' || seen || ' 条消息' END END AS summary FROM a""",
 )
 def session_memory_stream_q(spark: SparkSession, sf: str) -> DataFrame:
-    """Messages replayed in turn order, three turns a batch; the last state of each session."""
+    """Messages replayed in turn order, about a quarter of them a batch; the last state of each session."""
     m = derived_messages(spark, sf)
+    edges = m.agg(F.percentile_approx("turn", [0.25, 0.5, 0.75]).alias("e")).first()["e"] or []
+    part = sum(((F.col("turn") > F.lit(e)).cast("int") for e in edges), F.lit(0))
     path = scratch_path(spark, "messages")
-    m.withColumn("part", F.floor(F.col("turn") / 3)).repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
-    streams = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path).drop("part")
-    states = _run(session_memory_stream(streams, threshold=3, max_history=4), "memory", "update")
+    states = _run(session_memory_stream(_arriving(spark, path, m.schema), threshold=3, max_history=4), "memory", "update", (_store_parts(m, part, "messages-waiting"), path))
     final = states.groupBy("session_id").agg(F.max_by(F.struct("n_messages", "held", "last_query", "summary"), "n_messages").alias("s"))
     return final.select("session_id", "s.n_messages", "s.held", F.md5("s.last_query").alias("last_md5"), "s.summary")
