@@ -14,9 +14,13 @@ SEGMENT_BITS = 1 << 19
 
 def mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+        y = x >> np.uint64(30)
+        y ^= x
+        y *= np.uint64(0xBF58476D1CE4E5B9)
+        y ^= y >> np.uint64(27)
+        y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
 
 
 class HashFilter:

@@ -22,7 +22,9 @@ window hash, dealt by that hash; all but the earliest of these are removed.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -39,7 +41,7 @@ GRAM = 32
 #: Bits of the filter of repeated anchors, at most.
 FILTER_BITS = 1 << 28
 #: Bytes of records that a run holds before it is sorted and sent.
-RUN_BYTES = 48 << 20
+RUN_BYTES = 32 << 20
 #: Bytes of text that one pass over a long document looks at.
 PIECE = 1 << 22
 #: Context bytes whose windows are compared at once; a larger group (at most HOT_RECORDS) is held as a whole.
@@ -67,7 +69,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _prefix(raw: np.ndarray) -> np.ndarray:
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(len(raw))[0], out=total[1:])
+        terms = raw.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= _powers(len(raw))[0]
+        np.cumsum(terms, out=total[1:])
     return total
 
 
@@ -77,7 +82,9 @@ def _hashes(total: np.ndarray, starts: np.ndarray | slice, length: int) -> np.nd
     with np.errstate(over="ignore"):
         if isinstance(starts, slice):
             n = len(total) - length
-            return mix((total[length:] - total[:n]) * down[:n])
+            spans = total[length:] - total[:n]
+            spans *= down[:n]
+            return mix(spans)
         return mix((total[starts + length] - total[starts]) * down[starts])
 
 
@@ -96,7 +103,7 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
             width *= 2
         least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
         place = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(place, prepend=-1))
+        cut = np.append(0, np.flatnonzero(place[1:] != place[:-1]) + 1)
         last = np.append(cut[1:], len(place)) - 1
         found.append((gram[place[cut]], place[cut] + at, cut + at, last + at))
     if not found:
@@ -145,21 +152,24 @@ def shared_length(a: bytes, b: bytes, start: int = 0) -> int:
 
 
 def front_code(records: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
-    """Sorted (suffix, left, doc, text hash, start), packed: lengths, places and documents as arrays, then the bytes that are new."""
-    n, before = len(records), b""
-    shared, rest, lefts, bodies = np.zeros(n, "<u2"), np.zeros(n, "<u2"), np.zeros(n, "<u1"), []
-    for i, (suffix, left, _, _, _) in enumerate(records):
-        same = shared_length(before, suffix)
-        shared[i], rest[i], lefts[i] = same, len(suffix) - same, len(left)
-        bodies.append(suffix[same:])
-        bodies.append(left)
-        before = suffix
+    """Sorted (suffix, left, doc, text hash, start), packed: lengths, places and documents as arrays, then the bytes that are new, then those to the left."""
+    n, suffixes = len(records), [r[0] for r in records]
+    sizes = np.fromiter(map(len, suffixes), np.int64, n)
+    place = np.arange(sizes.max() + 1)
+    held = place < sizes[:, None]
+    grid = np.zeros(held.shape, dtype=np.uint8)
+    grid[held] = np.frombuffer(b"".join(suffixes), dtype=np.uint8)
+    differ = (grid[1:] != grid[:-1]) | (place >= np.minimum(sizes[1:], sizes[:-1])[:, None])
+    shared = np.append(0, differ.argmax(axis=1))
+    fresh = grid[held & (place >= shared[:, None])]
+    lefts = np.fromiter((len(r[1]) for r in records), np.int64, n)
     known = {d: i for i, d in enumerate(dict.fromkeys((doc, text) for _, _, doc, text, _ in records))}
     which = np.array([known[doc, text] for _, _, doc, text, _ in records], dtype="<u4")
     starts = np.array([r[4] for r in records], dtype="<u4")
     table = np.array(list(known), dtype="<i8").reshape(len(known), 2)
     head = n.to_bytes(4, "little") + len(known).to_bytes(4, "little")
-    plain = b"".join([head, shared.tobytes(), rest.tobytes(), lefts.tobytes(), which.tobytes(), starts.tobytes(), table.tobytes(), *bodies])
+    columns = [shared.astype("<u2"), (sizes - shared).astype("<u2"), lefts.astype("<u1"), which, starts, table, fresh]
+    plain = b"".join([head, *(c.tobytes() for c in columns), *(r[1] for r in records)])
     return len(plain).to_bytes(4, "little") + pa.Codec("zstd").compress(plain, asbytes=True)
 
 
@@ -169,16 +179,17 @@ def read_run(packed: bytes) -> Iterator[tuple[int, bytes, bytes, int, int, int]]
     n, known, at = int.from_bytes(block[:4], "little"), int.from_bytes(block[4:8], "little"), 8
     columns = []
     for kind, width in (("<u2", 2), ("<u2", 2), ("<u1", 1), ("<u4", 4), ("<u4", 4)):
-        columns.append(np.frombuffer(block, kind, n, at).tolist())
+        columns.append(np.frombuffer(block, kind, n, at))
         at += width * n
     table = np.frombuffer(block, "<i8", 2 * known, at).reshape(known, 2).tolist()
     at += 16 * known
-    suffix = b""
-    for same, more, left, which, start in zip(*columns, strict=True):
-        suffix = suffix[:same] + block[at : at + more]
-        at += more
-        yield same, suffix, block[at : at + left], *table[which], start
-        at += left
+    suffix, beside = b"", at + int(columns[1].sum())
+    for part in range(0, n, 1024):  # numbers of few records at a time: as objects they are larger than the records
+        for same, more, left, which, start in zip(*(c[part : part + 1024].tolist() for c in columns), strict=True):
+            suffix = suffix[:same] + block[at : at + more]
+            at += more
+            yield same, suffix, block[beside : beside + left], *table[which], start
+            beside += left
 
 
 def merge_runs(blocks: list[bytes]) -> Iterator[tuple[int, bytes, bytes, int, int, int]]:
@@ -229,8 +240,9 @@ def merge_runs(blocks: list[bytes]) -> Iterator[tuple[int, bytes, bytes, int, in
         known[best] = -1 if following is None else following[0]
         node = (best + size) // 2
         while node:
-            if not beats(best, losers[node]):
-                best, losers[node] = losers[node], best
+            other = losers[node]
+            if known[best] < known[other] or (known[best] == known[other] and not beats(best, other)):
+                best, losers[node] = other, best
             node //= 2
 
 
@@ -238,9 +250,10 @@ def merge_runs(blocks: list[bytes]) -> Iterator[tuple[int, bytes, bytes, int, in
 def compare_windows(group: list[tuple[bytes, int, int, int]]) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
     """Spans (doc, text hash, from, to) under windows of the records (context, doc, text hash, start) that also start earlier in them,
     and the other windows as rows (window hash, doc, text hash, start)."""
+    group = sorted(group, key=itemgetter(1, 3))
     sizes = np.array([len(c) for c, _, _, _ in group])
     raw = np.frombuffer(b"".join(c for c, _, _, _ in group), dtype=np.uint8)
-    numbers = np.array([g[1:] for g in group], dtype=np.int64)
+    numbers = np.stack([np.fromiter(c, np.int64, len(group)) for c in list(zip(*group, strict=True))[1:]], axis=1)
     each = sizes - LENGTH + 1
     owner = np.repeat(np.arange(len(group)), each)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
@@ -257,9 +270,21 @@ def compare_windows(group: list[tuple[bytes, int, int, int]]) -> tuple[list[tupl
     return spans, np.stack([value[first].view(np.int64), doc[first], numbers[owner[first], 1], start[first]], axis=1)
 
 
+def _by_hash(value: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Order by hash, doc and start: windows that come by doc and start need one sort of numbers, the hash's high bits over the window's place."""
+    low = np.uint64((1 << 20) - 1)
+    if len(value) <= low and np.all((doc[1:] > doc[:-1]) | ((doc[1:] == doc[:-1]) & (start[1:] >= start[:-1]))):
+        packed = np.sort((value.astype(np.uint64) & ~low) | np.arange(len(value), dtype=np.uint64))
+        order = (packed & low).astype(np.int64)
+        v = value[order]
+        if not np.any(((packed[1:] ^ packed[:-1]) <= low) & (v[1:] != v[:-1])):  # else two hashes are alike in the high bits
+            return order
+    return np.lexsort((start, doc, value))
+
+
 def _later(value: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Which windows come after the earliest place of their hash."""
-    order = np.lexsort((start, doc, value))
+    order = _by_hash(value, doc, start)
     v, d, s = value[order], doc[order], start[order]
     opens = np.flatnonzero(np.diff(v, prepend=v[:1] ^ v.dtype.type(1)) != 0)
     lead = np.repeat(opens, np.diff(np.append(opens, len(v))))
@@ -316,6 +341,8 @@ def _span_batch(spans: list[tuple[int, int, int, int]]) -> list[pa.Array]:
 def _send_runs(repeat, ranges: int):
     """mapInArrow over (doc, text_hash, text): front-coded runs by key range, windows of hot anchors by hash range, and spans that are settled here."""
 
+    edges = [(-(-(k << 64) // ranges)).to_bytes(8) for k in range(1, ranges)]
+
     def settle(records: list[tuple]) -> tuple[list[tuple], list[tuple]]:
         records.sort()
         kept, spans, first = [], [], None
@@ -332,12 +359,8 @@ def _send_runs(repeat, ranges: int):
 
     def output(records: list[tuple], often: list[tuple]) -> Iterator[pa.RecordBatch]:
         kept, spans = settle(records)
-        keys = [int.from_bytes(r[0][:8]) * ranges >> 64 for r in kept]
-        blocks, at = [], 0
-        for i in range(1, len(kept) + 1):
-            if i == len(kept) or keys[i] != keys[at]:
-                blocks.append((keys[at], front_code(kept[at:i])))
-                at = i
+        cuts = [bisect_left(kept, (edge,)) for edge in edges]  # a range begins at the first suffix that is not below its edge
+        blocks = [(k, front_code(kept[i:j])) for k, (i, j) in enumerate(zip([0, *cuts], [*cuts, len(kept)], strict=True)) if i < j]
         kept, more = settle(often)
         found, rows = _hot_windows(kept)
         deal = ((rows[:, 0].view(np.uint64) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
