@@ -10,8 +10,9 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,14 @@ ENTITY = (
 )
 
 
+ENTITY_FIELDS = {
+    "entity_type": pa.string(), "normalized": pa.string(), "text": pa.string(),
+    "start_pos": pa.int32(), "end_pos": pa.int32(), "confidence": pa.float64(),
+}
+#: Characters of text whose entities are found before they become an Arrow array.
+SLICE_CHARS = 1 << 20
+
+
 def folded(text: str) -> str:
     """Lower case of the same length, so that offsets stay true.
 
@@ -74,20 +83,43 @@ class EntityFinder:
 def entities_of(text: Column, patterns: dict[str, list[tuple[str, str]]] | None = None) -> Column:
     """ARRAY of entity structs in the order of the pattern table; empty for NULL.
 
-    The patterns are compiled once per worker and run over Arrow batches.
+    The patterns are compiled once per worker and run over Arrow batches; only
+    SLICE_CHARS of text and their entities are Python objects at a time.
     """
     table = patterns or L.ENTITY_PATTERNS
-    names = ("entity_type", "normalized", "text", "start_pos", "end_pos", "confidence")
 
-    @F.pandas_udf(ENTITY)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ENTITY)
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         finder = EntityFinder(table)
         for batch in batches:
-            yield pd.Series([[dict(zip(names, e, strict=True)) for e in finder.find(t)] for t in batch], dtype=object)
+            parts = [_entity_lists(finder, texts) for texts in _texts(batch)]
+            yield pa.concat_arrays(parts) if parts else _entity_lists(finder, [])
+            del parts
+            pa.default_memory_pool().release_unused()
 
     return find.asNondeterministic()(text)
 
 
+def _texts(batch: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a batch, about SLICE_CHARS at a time."""
+    texts, size = [], 0
+    for text in batch:
+        texts.append(text.as_py())
+        size += len(texts[-1] or "")
+        if size >= SLICE_CHARS:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
+
+
+def _entity_lists(finder: EntityFinder, texts: list[str | None]) -> pa.Array:
+    found = [finder.find(t) for t in texts]
+    columns = list(zip(*[e for row in found for e in row], strict=True)) or [[]] * len(ENTITY_FIELDS)
+    entities = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, ENTITY_FIELDS.values(), strict=True)], list(ENTITY_FIELDS))
+    return pa.ListArray.from_arrays(pa.array(accumulate(map(len, found), initial=0), pa.int32()), entities)
+
+
 def extract_entities(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", patterns=None
 ) -> DataFrame:
