@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.workers import lean
+
 SEGMENT_BITS = 1 << 19
 
 
@@ -52,6 +54,7 @@ def bloom_of(hashes: DataFrame, most: int) -> HashFilter:
     digits = filled.digits
     segment = F.shiftrightunsigned("hash", 64 - digits).cast("int") if digits else F.lit(0)
 
+    @lean
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, now, bits = HashFilter(0, most), None, None
         packed = lambda: pa.record_batch([pa.array([now], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["segment", "bits"])

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from operator import itemgetter
 
 import numpy as np
@@ -41,9 +41,11 @@ GRAM = 32
 #: Bits of the filter of repeated anchors, at most.
 FILTER_BITS = 1 << 28
 #: Bytes of records that a run holds before it is sorted and sent.
-RUN_BYTES = 32 << 20
+RUN_BYTES = 24 << 20
 #: Bytes of text that one pass over a long document looks at.
 PIECE = 1 << 22
+#: Bytes of short texts that are looked at together.
+JOINED = 1 << 17
 #: Context bytes whose windows are compared at once; a larger group (at most HOT_RECORDS) is held as a whole.
 GROUP_BYTES = 1 << 20
 #: Anchors that occur more often are dealt by their windows; a window is a row of 32 bytes, so fewer records are cheaper as a group.
@@ -88,8 +90,11 @@ def _hashes(total: np.ndarray, starts: np.ndarray | slice, length: int) -> np.nd
         return mix((total[starts + length] - total[starts]) * down[starts])
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, anchor, first, last) of the runs of window starts with one anchor."""
+def anchors(raw: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, anchor, first, last) of the runs of window starts with one anchor.
+
+    ``raw`` may be several texts in a row with the given ends; windows across an end do not count.
+    """
     found: list[tuple] = []
     windows = len(raw) - LENGTH + 1
     span = LENGTH - GRAM + 1
@@ -103,8 +108,13 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
             width *= 2
         least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
         place = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
+        for end in [] if ends is None else (ends[:-1] - at).tolist():
+            place[max(end - LENGTH + 1, 0) : max(end, 0)] = -1
         cut = np.append(0, np.flatnonzero(place[1:] != place[:-1]) + 1)
         last = np.append(cut[1:], len(place)) - 1
+        if ends is not None:
+            inside = place[cut] >= 0
+            cut, last = cut[inside], last[inside]
         found.append((gram[place[cut]], place[cut] + at, cut + at, last + at))
     if not found:
         return (np.zeros(0, dtype=np.uint64),) + (np.zeros(0, dtype=np.int64),) * 3
@@ -116,14 +126,29 @@ def _raw(text: pa.Scalar) -> np.ndarray:
     return np.frombuffer(value, dtype=np.uint8) if value is not None and value.size else np.zeros(0, dtype=np.uint8)
 
 
+def joined(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first, bytes, ends) of texts in a row: at most JOINED bytes, or one text."""
+    first, held, size = 0, [], 0
+    for n, text in enumerate(texts):
+        raw = _raw(text)
+        if held and size + len(raw) > min(JOINED, PIECE):
+            yield first, np.concatenate(held), np.cumsum([len(r) for r in held])
+            first, held, size = n, [], 0
+        held.append(raw)
+        size += len(raw)
+    if held:
+        yield first, np.concatenate(held), np.cumsum([len(r) for r in held])
+
+
 def repeated_anchors(docs: DataFrame) -> tuple[HashFilter, np.ndarray]:
     """Filter of the anchor hashes that occur at least twice in column ``text``; sorted hashes of those over HOT_RECORDS."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                held.append(anchors(_raw(text))[0])
+            for _, raw, ends in joined(batch.column(0)):
+                held.append(anchors(raw, ends)[0])
                 n += len(held[-1])
                 if n > 1 << 20:
                     yield counted(held)
@@ -382,20 +407,23 @@ def _send_runs(repeat, ranges: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_filter, hot = repeat.value
         records, often, held, held_often = [], [], 0, 0
-        for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, text_hash, text in zip(docs, texts, batch.column(2), strict=True):
-                raw = _raw(text)
-                value, place, first, last = anchors(raw)
+
+        def add(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            nonlocal records, often, held, held_often
+            docs, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for number, raw, ends in joined(batch.column(2)):
+                value, place, first, last = anchors(raw, ends)
                 if not len(value):
                     continue
                 again = held_filter.may_hold(value)
-                value = value[again]
+                value, begin = value[again], first[again]
                 is_hot = hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value if len(hot) else np.zeros(len(value), dtype=bool)
-                data = raw.tobytes()
-                columns = (mix(value), is_hot, place[again], first[again], last[again])
-                for h, many, a, s, e in zip(*(c.tolist() for c in columns), strict=True):
-                    (often if many else records).append((h.to_bytes(8) + data[a : e + LENGTH], data[s:a], doc, text_hash, s))
+                owner = np.searchsorted(ends, begin, side="right")
+                starts = np.append(0, ends[:-1])[owner]
+                data, ids = raw.tobytes(), list(zip(docs[number:][: len(ends)].tolist(), hashes[number:][: len(ends)].tolist(), strict=True))
+                columns = (mix(value), is_hot, place[again], begin, last[again], owner, begin - starts)
+                for h, many, a, s, e, i, at in zip(*(c.tolist() for c in columns), strict=True):
+                    (often if many else records).append((h.to_bytes(8) + data[a : e + LENGTH], data[s:a], *ids[i], at))
                     held, held_often = (held, held_often + e + LENGTH - s) if many else (held + e + LENGTH - s, held_often)
                 if held > RUN_BYTES:
                     yield from output(records, [])
@@ -403,6 +431,10 @@ def _send_runs(repeat, ranges: int):
                 if held_often > HOT_BYTES:
                     yield from output([], often)
                     often, held_often = [], 0
+
+        for batch in batches:
+            yield from add(batch)
+            del batch  # no text is held while the next ones come
         yield from output(records, often)
 
     return send
@@ -529,25 +561,35 @@ def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def may_hold(hashes: pd.Series) -> pd.Series:
         return pd.Series(held.value.may_hold(hashes.to_numpy().view(np.uint64)))
 
-    # texts that surely lose nothing are not moved to the join
-    marked = keyed.withColumn("_cut", may_hold(key))
-    whole = marked.filter("NOT _cut").drop("_cut").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    rows = marked.filter("_cut").drop("_cut").join(spans, ["doc", "text_hash"], "left").unionByName(whole)
-    rows = rows.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).cast(docs.schema[id_col].dataType).alias("doc_id"), "text", "spans")
     kind = docs.schema[id_col].dataType.simpleString()
+    doc_id = F.when(F.col("doc") != -(1 << 63), F.col("doc")).cast(kind).alias("doc_id")
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
+    def digests(ids: pa.Array, texts: Iterable[pa.Scalar], cuts: Iterable[list[dict] | None]) -> pa.RecordBatch:
+        out = []
+        for text, cut in zip(texts, cuts, strict=True):
+            data = _raw(text).tobytes()
+            kept = kept_bytes(data, cut)
+            out.append((len(data), len(data) - len(kept), len(cut or []), hashlib.sha256(kept).hexdigest()))
+        columns = list(zip(*out, strict=True)) or [[], [], [], []]
+        types = [pa.int64()] * 3 + [pa.string()]
+        return pa.record_batch([ids, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    @lean
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, cut in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = _raw(text).tobytes()
-                kept = kept_bytes(data, cut)
-                out.append((len(data), len(data) - len(kept), len(cut or []), hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            types = [pa.int64()] * 3 + [pa.string()]
-            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield digests(batch.column(0), batch.column(1), batch.column(2).to_pylist())
 
-    return rows.mapInArrow(digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    @lean
+    def digest_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sure = np.flatnonzero(~held.value.may_hold(batch.column(2).to_numpy().view(np.uint64)))
+            texts = batch.column(1)
+            yield digests(batch.column(0).take(pa.array(sure)), (texts[i] for i in sure.tolist()), [None] * len(sure))
+
+    # texts that surely lose nothing are not moved to the join; a task has one Python worker at a time in either way
+    moved = keyed.filter(may_hold(key)).join(spans, ["doc", "text_hash"], "left").select(doc_id, "text", "spans")
+    return moved.mapInArrow(digest, schema).unionByName(keyed.select(doc_id, "text", key.alias("key")).mapInArrow(digest_whole, schema))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -564,12 +606,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = docs.join(spans, (own == F.col("_doc")) & (F.xxhash64(docs[text_col]) == F.col("_hash")), "left")
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        out = []
-        for text, s, e in zip(texts, starts, ends, strict=True):
-            if text is not None and s is not None:
-                text = kept_bytes(text.encode("utf-8"), [{"s": a, "e": b} for a, b in zip(s, e, strict=True)]).decode("utf-8", "ignore")
-            out.append(text)
-        return pd.Series(out, dtype=object)
+    @lean
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, starts, ends in batches:
+            out = []
+            for text, s, e in zip(texts, starts, ends, strict=True):
+                if text is not None and s is not None:
+                    text = kept_bytes(text.encode("utf-8"), [{"s": a, "e": b} for a, b in zip(s, e, strict=True)]).decode("utf-8", "ignore")
+                out.append(text)
+            yield pd.Series(out, dtype=object)
 
     return joined.withColumn(text_col, cut(F.col(text_col), F.col("_from"), F.col("_to"))).drop("_doc", "_hash", "_from", "_to")
