@@ -40,7 +40,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    cut = suffix_dedup.remove_repeats(docs)
+    # the executors still hold what the earlier stages left
+    cut = suffix_dedup.remove_repeats(docs, run_bytes=8 << 20)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut

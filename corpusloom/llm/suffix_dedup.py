@@ -363,10 +363,11 @@ def _span_batch(spans: list[tuple[int, int, int, int]]) -> list[pa.Array]:
     return [pa.array(c) for c in columns]
 
 
-def _send_runs(repeat, ranges: int):
+def _send_runs(repeat, ranges: int, run_bytes: int | None = None):
     """mapInArrow over (doc, text_hash, text): front-coded runs by key range, windows of hot anchors by hash range, and spans that are settled here."""
 
     edges = [(-(-(k << 64) // ranges)).to_bytes(8) for k in range(1, ranges)]
+    run_bytes = run_bytes or RUN_BYTES
 
     def settle(records: list[tuple]) -> tuple[list[tuple], list[tuple]]:
         records.sort()
@@ -425,7 +426,7 @@ def _send_runs(repeat, ranges: int):
                 for h, many, a, s, e, i, at in zip(*(c.tolist() for c in columns), strict=True):
                     (often if many else records).append((h.to_bytes(8) + data[a : e + LENGTH], data[s:a], *ids[i], at))
                     held, held_often = (held, held_often + e + LENGTH - s) if many else (held + e + LENGTH - s, held_often)
-                if held > RUN_BYTES:
+                if held > run_bytes:
                     yield from output(records, [])
                     records, held = [], 0
                 if held_often > HOT_BYTES:
@@ -497,19 +498,19 @@ def _merge_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from finish(blocks, windows)
 
 
-def repeated_spans(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, ranges: int | None = None, run_bytes: int | None = None) -> DataFrame:
     """doc, text_hash, spans: merged (start, end) byte ranges to remove, for documents that have any.
 
     ``docs`` has doc (bigint), text_hash and text. A byte is removed if a
     100-byte string that covers it also starts earlier: in a smaller doc, or
     earlier in the same one. Rows with one doc do not count as earlier than
-    each other at the same place.
+    each other at the same place. ``run_bytes`` takes the place of RUN_BYTES.
     """
     spark = docs.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     repeat = spark.sparkContext.broadcast(repeated_anchors(docs))  # at most FILTER_BITS, and 8 bytes per HOT_RECORDS anchors
     sent = docs.select("doc", "text_hash", "text").mapInArrow(
-        _send_runs(repeat, ranges), "range int, block binary, windows binary, doc long, text_hash long, `from` long, `to` long"
+        _send_runs(repeat, ranges, run_bytes), "range int, block binary, windows binary, doc long, text_hash long, `from` long, `to` long"
     )
     dealt = sent.repartition(ranges, "range").sortWithinPartitions("range")
     spans = dealt.mapInArrow(_merge_ranges, "doc long, text_hash long, `from` long, `to` long")
@@ -592,12 +593,12 @@ def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return moved.mapInArrow(digest, schema).unionByName(keyed.select(doc_id, "text", key.alias("key")).mapInArrow(digest_whole, schema))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int | None = None) -> DataFrame:
     """``docs`` with the repeated bytes cut out of the texts, other columns as they were.
 
-    A character that a cut divides goes as a whole.
+    A character that a cut divides goes as a whole. Smaller runs (``run_bytes``) leave more memory to others.
     """
-    spans = materialize(repeated_spans(_keyed(docs, id_col, text_col)), "spans")
+    spans = materialize(repeated_spans(_keyed(docs, id_col, text_col), run_bytes=run_bytes), "spans")
     spans = spans.select(
         F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"),
         F.transform("spans", lambda x: x.s).alias("_from"), F.transform("spans", lambda x: x.e).alias("_to"),
