@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class HashFilter:
-    """Bloom filter of 64-bit hashes, in segments that their upper bits choose; at most ``most`` bits."""
+    """Bloom filter of 64-bit hashes, in segments that their upper bits choose (so these must be spread evenly); at most ``most`` bits."""
 
     def __init__(self, n: int, most: int):
         self.digits, self.k = 0, 4

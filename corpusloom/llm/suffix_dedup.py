@@ -141,14 +141,14 @@ def joined(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def repeated_anchors(docs: DataFrame) -> tuple[HashFilter, np.ndarray]:
-    """Filter of the anchor hashes that occur at least twice in column ``text``; sorted hashes of those over HOT_RECORDS."""
+    """Filter of the (mixed) anchor hashes that occur at least twice in column ``text``; sorted hashes of those over HOT_RECORDS."""
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             for _, raw, ends in joined(batch.column(0)):
-                held.append(anchors(raw, ends)[0])
+                held.append(mix(anchors(raw, ends)[0]))  # the least of many are small numbers; the filter takes its segments by upper bits
                 n += len(held[-1])
                 if n > 1 << 20:
                     yield counted(held)
@@ -416,13 +416,14 @@ def _send_runs(repeat, ranges: int, run_bytes: int | None = None):
                 value, place, first, last = anchors(raw, ends)
                 if not len(value):
                     continue
+                value = mix(value)
                 again = held_filter.may_hold(value)
                 value, begin = value[again], first[again]
                 is_hot = hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value if len(hot) else np.zeros(len(value), dtype=bool)
                 owner = np.searchsorted(ends, begin, side="right")
                 starts = np.append(0, ends[:-1])[owner]
                 data, ids = raw.tobytes(), list(zip(docs[number:][: len(ends)].tolist(), hashes[number:][: len(ends)].tolist(), strict=True))
-                columns = (mix(value), is_hot, place[again], begin, last[again], owner, begin - starts)
+                columns = (value, is_hot, place[again], begin, last[again], owner, begin - starts)
                 for h, many, a, s, e, i, at in zip(*(c.tolist() for c in columns), strict=True):
                     (often if many else records).append((h.to_bytes(8) + data[a : e + LENGTH], data[s:a], *ids[i], at))
                     held, held_often = (held, held_often + e + LENGTH - s) if many else (held + e + LENGTH - s, held_often)
