@@ -27,6 +27,8 @@ from corpusloom.llm.workers import give_back
 
 #: Bytes of objects that one worker keeps at most: five eighths for states and transitions, the rest for encoded chunks.
 CACHE_BYTES = 384 << 20
+#: Ids that are sent on together where a result holds them.
+SENT_IDS = 1 << 18
 # sizes of the objects behind one entry, dictionary slots included, as measured
 MOVE_SIZE, OUT_SIZE, STATE_SIZE, CONFIGURATION_SIZE, CHUNK_SIZE = 120, 110, 190, 50, 240
 # what can end inside a run of other white space; such texts are not cut into chunks
@@ -324,6 +326,25 @@ def _steps(ids: np.ndarray, step: int) -> Iterator[list[int]]:
         yield ids[at : at + step].tolist()
 
 
+def _digest_frames(codec: Codec, decimal: list[bytes], texts: Iterable[str | None], keep_ids: bool) -> Iterator[pd.DataFrame]:
+    """Rows of the texts in order; with ids, which are as large as the texts, in frames of about SENT_IDS of them."""
+    names, rows, held = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 if keep_ids else 3], [], 0
+    for text in texts:
+        ids = codec.encode(text)
+        listed = ids.tolist()
+        back = hashlib.sha256()
+        for part in codec.decode_stream(_steps(ids, 1 << 16)):
+            back.update(part.encode("utf-8"))
+        row = (len(listed), hashlib.sha256(b",".join(map(decimal.__getitem__, listed))).hexdigest(), back.hexdigest())
+        rows.append((*row, ids.astype(np.int32)) if keep_ids else row)
+        held += len(listed)
+        if keep_ids and held > SENT_IDS:
+            yield pd.DataFrame(rows, columns=names)
+            rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
+
+
 def encode_digests(
     docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES, keep_ids: bool = False, keep_codec: bool = True
 ) -> DataFrame:
@@ -343,16 +364,7 @@ def encode_digests(
         codec = _codec(key, shared)
         decimal = [str(i).encode() for i in range(len(codec.table))]
         for texts in batches:
-            rows = []
-            for text in texts:
-                ids = codec.encode(text)
-                listed = ids.tolist()
-                back = hashlib.sha256()
-                for part in codec.decode_stream(_steps(ids, 1 << 16)):
-                    back.update(part.encode("utf-8"))
-                row = (len(listed), hashlib.sha256(b",".join(map(decimal.__getitem__, listed))).hexdigest(), back.hexdigest())
-                rows.append((*row, ids.astype(np.int32)) if keep_ids else row)
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 if keep_ids else 3])
+            yield from _digest_frames(codec, decimal, texts, keep_ids)
         if not keep_codec:
             del codec
             _forget()
