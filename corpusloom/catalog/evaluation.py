@@ -15,22 +15,29 @@ from corpusloom.operators import ranking_metrics as M
 from corpusloom.operators.dense import dense_search
 from corpusloom.operators.embedding import embed
 from corpusloom.operators.sparse import bm25_search
+from corpusloom.session import materialize
 
 KS = [1, 5, 10]
 
 
 # ---- ranking: vectors of the same label are relevant to each other -------
-def labelled_run(spark: SparkSession, sf: str, reverse: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The judged vector run, also with its top ten turned round."""
-    queries, corpus = vector_tables(spark, sf)
+def judged_run(spark: SparkSession, sf: str, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
     v = table(spark, sf, "embeddings")
-    rank = K + 1 - F.col("rank") if reverse else F.col("rank")
-    hits = dense_search(queries, corpus, K).select("query_id", F.col("chunk_id").alias("item"), rank.alias("rank"))
     return M.judge_by_labels(
         hits, v.select(F.col("vec_id").alias("query_id"), "label"), v.select(F.col("vec_id").alias("item"), "label")
     )
 
 
+def vector_run(spark: SparkSession, sf: str) -> DataFrame:
+    queries, corpus = vector_tables(spark, sf)
+    return dense_search(queries, corpus, K).select("query_id", F.col("chunk_id").alias("item"), "rank")
+
+
+def labelled_run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The judged vector run."""
+    return judged_run(spark, sf, vector_run(spark, sf))
+
+
 def sql_metrics(knn: str, ks: list[int]) -> str:
     per = []
     for k in ks:
@@ -85,8 +92,9 @@ SELECT metric, k, a.value AS first, b.value AS second, round(b.value - a.value,
 )
 def compare_runs_q(spark: SparkSession, sf: str) -> DataFrame:
     """The run against its own top ten in reverse order."""
-    run, back = labelled_run(spark, sf), labelled_run(spark, sf, reverse=True)
-    return M.compare_runs(M.evaluate_run(run, KS), M.evaluate_run(back, KS))
+    run = materialize(vector_run(spark, sf), "vector-run")  # searched once
+    back = run.withColumn("rank", K + 1 - F.col("rank"))
+    return M.compare_runs(*(M.evaluate_run(judged_run(spark, sf, hits), KS) for hits in (run, back)))
 
 
 # each benchmark text with its first half as positive, the next text's half as negative
