@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,17 +46,16 @@ def _bucket(term: str, dim: int) -> int:
     return int(hashlib.md5(term.encode("utf-8")).hexdigest()[:8], 16) % dim
 
 
-def hashed_matrix(token_lists: pd.Series, dim: int) -> np.ndarray:
+def hashed_matrix(tokens: pa.ListArray, dim: int) -> np.ndarray:
     """Rows of unit-length bucket counts; each distinct term is hashed once a batch."""
-    lengths = np.fromiter((0 if t is None else len(t) for t in token_lists), dtype=np.int64, count=len(token_lists))
-    out = np.zeros((len(token_lists), dim), dtype=np.float64)
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(tokens), dim), dtype=np.float64)
     if lengths.sum() == 0:
         return out
-    flat = np.concatenate([np.asarray(t, dtype=object) for t in token_lists if t is not None and len(t)])
-    codes, terms = pd.factorize(flat)
-    buckets = np.fromiter((_bucket(t, dim) for t in terms), dtype=np.int64, count=len(terms))
-    rows = np.repeat(np.arange(len(token_lists)), lengths)
-    out = np.bincount(rows * dim + buckets[codes], minlength=out.size).reshape(out.shape)
+    coded = tokens.flatten().dictionary_encode()
+    buckets = np.fromiter((_bucket(t, dim) for t in coded.dictionary.to_pylist()), dtype=np.int64, count=len(coded.dictionary))
+    rows = np.repeat(np.arange(len(tokens)), lengths)
+    out = np.bincount(rows * dim + buckets[coded.indices.to_numpy()], minlength=out.size).reshape(out.shape)
     norms = np.sqrt((out.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
     return out / np.where(norms == 0, 1.0, norms)
 
@@ -66,10 +67,11 @@ def hashed_embedding(toks: Column, dim: int = DEFAULT_DIM) -> Column:
     expression (the filter it infers below an explode, say) would run it twice.
     """
 
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series(list(hashed_matrix(batch, dim).astype(np.float32)))
+            found = hashed_matrix(batch, dim).astype(np.float32)
+            yield pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * dim, found.ravel())
 
     return embed.asNondeterministic()(toks)
 

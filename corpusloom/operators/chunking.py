@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,7 +97,7 @@ def fixed_chunks(c: Column, cfg: ChunkConfig) -> Column:
 
 
 def hashed_sentence_encoder(sentences: list[list[str]]) -> np.ndarray:
-    return hashed_matrix(pd.Series(sentences), 256)
+    return hashed_matrix(pa.array(sentences, pa.list_(pa.string())), 256)
 
 
 def _streamed(docs: DataFrame, strategy: str, cfg: ChunkConfig, text_col: str, encoder) -> DataFrame:
